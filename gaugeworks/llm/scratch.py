@@ -1,0 +1,54 @@
+"""Intermediate tables in the folder that all executors share.
+
+An iterative or multi-pass operator cuts its lineage by writing a table and
+reading it back, so that a lost executor costs a re-read and not a re-run.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a folder of our own where it is
+    unset, which only a single-machine session may do."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
+        spark.sparkContext.setCheckpointDir(_OWN[app])
+    return _OWN[app]
+
+
+class Scratch:
+    """Tables of one operator run, under one folder."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return it as read back."""
+        return self.keep_at(df, name)[0]
+
+    def keep_at(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, path: str) -> None:
+        """Remove a table that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
