@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import line_dedup, simhash
+from gaugeworks.llm import line_dedup, secret_scan, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op3_secret_scan": op3_secret_scan,
+    "op6_url_filter": op6_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 
