@@ -176,3 +176,94 @@ def bit_majority(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
             word |= (2 * counts[:, j] > half[:, 0]).astype(_U) << _U(8 * j + k)
     out[full] = word
     return out
+
+
+# ------------------------------------------------------- word shingle hashes
+_BASE = _U(0x9E3779B97F4A7C15)
+_BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
+#: Bytes that end a word: all of ASCII but letters and digits.
+NOT_WORD = np.zeros(256, dtype=bool)
+NOT_WORD[:128] = True
+for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
+    NOT_WORD[_lo:_hi] = False
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(n, 1 << 16).bit_length()
+        for base in (_BASE, _BASE_INV):
+            p = np.full(size, base, dtype=_U)
+            p[0] = 1
+            _POWERS.append(np.cumprod(p, dtype=_U))
+        _POWERS[:] = _POWERS[-2:]
+    return _POWERS[0], _POWERS[1]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def slice_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice, from prefix sums of a polynomial."""
+    up, down = _powers(len(buf) + 1)
+    prefix = np.zeros(len(buf) + 1, dtype=_U)
+    np.cumsum((buf.astype(_U) + _U(1)) * up[: len(buf)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U))
+
+
+def word_hashes(part: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each lower-cased word (letters and digits) of each text, in
+    order, and the index of each text's first word (n + 1 values)."""
+    low = pa.record_batch([pc.utf8_lower(pc.fill_null(part.column(column).cast(pa.large_string()), ""))], names=["t"])
+    buf, offsets = text_bytes(low, "t")
+    starts, ends, first = word_bounds(NOT_WORD[buf], offsets)
+    return slice_hashes(buf, starts, ends), first
+
+
+def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of ``width`` words within a text, and the index of each
+    text's first run (n + 1 values). A shorter text has none."""
+    count = np.maximum(np.diff(first) - width + 1, 0)
+    begin = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(count, out=begin[1:])
+    n = len(words) - width + 1
+    if n <= 0 or not begin[-1]:
+        return np.zeros(0, dtype=_U), begin
+    total = np.zeros(n, dtype=_U)
+    for j in range(width):
+        total = total * _U(0xD6E8FEB86659FD93) + words[j : j + n]
+    at = np.arange(begin[-1]) - np.repeat(begin[:-1], count) + np.repeat(first[:-1], count)
+    return mix(total)[at], begin
+
+
+class HashSet:
+    """Which values of an array are in a fixed set: a bit table first, then a
+    binary search among the few that pass it."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values.astype(_U))
+        bits = max(16, int(max(len(self.values), 1) * 64).bit_length())
+        self.mask = _U((1 << min(bits, 26)) - 1)
+        self.table = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.table[self.values & self.mask] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``x`` that hold a value of the set, and which value."""
+        at = np.flatnonzero(self.table[x & self.mask])
+        if not len(at) or not len(self.values):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i = np.minimum(np.searchsorted(self.values, x[at]), len(self.values) - 1)
+        ok = self.values[i] == x[at]
+        return at[ok], i[ok]
+
+
+def ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts c: the owner of each of the sum(c) items, and its number
+    among the owner's."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    return owner, np.arange(len(owner)) - first[owner]

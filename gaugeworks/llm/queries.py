@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import byte_bpe, kneser_ney, line_dedup, secret_scan, simhash, url_filter
+from gaugeworks.llm import byte_bpe, decontaminate, kneser_ney, license_scan, line_dedup, secret_scan, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +31,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,9 @@ QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op6_url_filter": op6_url_filter,
+    "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
