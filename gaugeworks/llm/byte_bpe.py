@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -174,10 +175,11 @@ class Vocabulary:
     def learn(self, pieces) -> None:
         """Encode the pieces that are not remembered."""
         seen = self.seen
-        fresh = [p for p in set(pieces) if p not in seen]
+        wanted = set(pieces)
+        fresh = [p for p in wanted if p not in seen]
         if len(seen) + len(fresh) > REMEMBERED:
             seen.clear()
-            fresh = list(set(pieces))
+            fresh = wanted
         by_size: dict[int, tuple[list[str], list[bytes]]] = {}
         for p in fresh:
             raw = p.encode()
@@ -197,7 +199,7 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
         split = [self.split(t) for t in texts]
-        self.learn(p for pieces in split for p in pieces)
+        self.learn(chain.from_iterable(split))
         get = self.seen.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
