@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.llm import kernels as K
 
@@ -219,20 +220,24 @@ def _default(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or P.path("byte_bpe_50k.tiktoken"), pattern or P.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with ``ids array<int>``, the token ids of the whole text.
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, checked: bool = False) -> DataFrame:
+    """``docs`` with ``ids array<int>``, the token ids of the whole text; where
+    ``checked``, ids that do not decode to the text are an error.
 
     Each match of ``pattern`` is encoded by itself and special tokens are plain
     text. A null text is empty and has no ids. Repeated rows each get a row; a
     column named ``ids`` is replaced; the other columns pass through.
     """
     path, pattern = _default(path, pattern)
-    schema = docs.drop("ids").schema.add("ids", "array<int>")
+    schema = docs.drop("ids").schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         for batch in batches:
             for part in K.slices(batch):
-                ids = vocabulary(path, pattern).encode([t or "" for t in part.column("text").to_pylist()])
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = vocabulary(path, pattern).encode(texts)
+                if checked and any(vocabulary(path, pattern).decode(x) != t.encode() for x, t in zip(ids, texts)):
+                    raise ValueError("ids do not decode to their text")
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), dtype="<i4")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
@@ -245,7 +250,7 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = Non
     """``tokens`` with ``decoded binary``, the bytes of column ``ids`` (null ids
     as none)."""
     path, pattern = _default(path, pattern)
-    schema = tokens.drop("decoded").schema.add("decoded", "binary")
+    schema = tokens.drop("decoded").schema.add("decoded", T.BinaryType())
 
     def run(batches):
         for batch in batches:

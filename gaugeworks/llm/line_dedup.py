@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.scratch import Scratch
+
 BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,8 +22,9 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``(doc_id, text, kept, n_lines, n_dropped)`` of each row of ``docs``.
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: list[str] = ()) -> DataFrame:
+    """``(doc_id, text, kept, n_lines, n_dropped)`` of each row of ``docs``, and
+    its columns ``carry``.
 
     A text is split at line feeds; null and empty are one empty line. A key of
     at least ``min_chars`` code points that is found in at least ``min_docs``
@@ -38,7 +41,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     per key is combined before its shuffle, and a common key meets its lines in
     a sort-merge join, whose large partitions Spark splits.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     line = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     key = line.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
@@ -46,6 +49,8 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     held = keyed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     common = held.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    # read back, it is a plain side of the join, whose other side Spark can then split
+    common = Scratch(docs.sparkSession, "lines").keep(common, "common")
     lost = (
         keyed.join(common.select("h1", "h2", "last"), ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("last")))
@@ -61,6 +66,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
         (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)],
     )
 
 

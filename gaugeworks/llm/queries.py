@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import byte_bpe, decontaminate, kneser_ney, license_scan, line_dedup, lsh_forest, secret_scan, simhash, url_filter
+from gaugeworks.llm import byte_bpe, decontaminate, kneser_ney, license_scan, line_dedup, lsh_forest, secret_scan, simhash, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.search(_table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_lsh_forest": op5_lsh_forest,
     "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
