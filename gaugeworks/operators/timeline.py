@@ -95,9 +95,9 @@ def nearest(targets: DataFrame, samples: DataFrame, keys: list[str], at: str, sa
     before = F.last(pair, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     after = F.first(pair, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
     seen = both.withColumns({"__b": before, "__a": after}).where("__target = 1")
-    gap = lambda a, b: F.timestamp_diff("SECOND", a, b)
+    gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
     db, da = gap(F.col("__b.__of"), F.col("__at")), gap(F.col("__at"), F.col("__a.__of"))
-    limit = tolerance_minutes * 60
+    limit = tolerance_minutes * 60_000_000
     b_ok, a_ok = F.coalesce(db <= limit, F.lit(False)), F.coalesce(da <= limit, F.lit(False))
     pick = F.when(b_ok & (~a_ok | (db <= da)), F.col("__b.__value")).when(a_ok, F.col("__a.__value"))
     return targets.join(seen.select(*keys, F.col("__at").alias(at), pick.alias(f"nearest_{value}")), [*keys, at], "left")
