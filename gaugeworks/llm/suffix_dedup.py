@@ -252,6 +252,28 @@ def _records(cols: list[np.ndarray], texts: list[bytes | None] | None, found: bo
         yield pa.record_batch([*arrays, pa.array(own, pa.binary()), pa.array(np.full(len(name), found))], names=_COLUMNS)
 
 
+def _merged(doc, version, start, end) -> tuple[np.ndarray, ...]:
+    """Spans of each document with those that touch made one."""
+    order = np.lexsort((start, version, doc))
+    doc, version, start, end = (c[order] for c in (doc, version, start, end))
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    shift = np.cumsum(new) << 40  # keeps a document's reach out of the next one's
+    reach = np.maximum.accumulate(end + shift)
+    new[1:] |= (start + shift)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], version[first], start[first], (reach - shift)[last] if len(first) else end
+
+
+def _found(doc, version, start, windows, span: int):
+    """Rows of spans that are known to go. They are dealt by document: the
+    copies of a common string are of no one task's."""
+    doc, version, start, end = _merged(doc, version, start, start + windows + span - 1)
+    spread = K.mix(doc.view(_U) ^ version.view(_U))
+    return _records([spread, np.zeros(len(doc), _U), doc, version, start, end - start - span + 1], None, True)
+
+
 def _not_first(name, second, doc, version, start) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the first occurrence of each content, and of the later ones.
     Rows of one document and place are one occurrence."""
@@ -291,7 +313,7 @@ def _segments_of(docs: DataFrame, repeated: Names, crowded: Names, span: int) ->
                 windows = np.concatenate([seg.windows[one], np.ones(len(single), np.int64)])
                 cols = [name, second, doc[text], version[text], start - offsets[text], windows]
                 first, later = _not_first(*cols[:5])
-                yield from _records([c[later] for c in cols], None, True)
+                yield from _found(*(c[later] for c in cols[2:]), span)
                 for to, c in zip(kept, cols):
                     to.append(c[first])
                 raw = buf.tobytes()
@@ -299,7 +321,7 @@ def _segments_of(docs: DataFrame, repeated: Names, crowded: Names, span: int) ->
         if texts:
             cols = [np.concatenate(k) for k in kept]
             first, later = _not_first(*cols[:5])
-            yield from _records([c[later] for c in cols], None, True)
+            yield from _found(*(c[later] for c in cols[2:]), span)
             yield from _records([c[first] for c in cols], [texts[i] for i in first.tolist()], False)
 
     return docs.mapInArrow(run, _ROW)
@@ -344,7 +366,7 @@ def _spans_of(segments: DataFrame, span: int) -> DataFrame:
                 begin = np.flatnonzero(new)
                 end = np.append(begin[1:], len(row)) - 1
                 out.append((col["doc"][row[begin]], col["version"][row[begin]], at[begin], at[end] + span))
-        doc, version, start, end = (np.concatenate(c) for c in zip(*out))
+        doc, version, start, end = _merged(*(np.concatenate(c) for c in zip(*out)))
         return pa.record_batch([pa.array(x) for x in (doc, version, start, end)], names=["doc", "version", "start", "end"])
 
     def run(batches):
