@@ -255,5 +255,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
     named = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # read back, it is a plain side of the join, whose other side Spark can then split
+    named = scratch.keep(named, "named")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return every.join(named, "fp", "left").select("doc_id", hexed, "component_id")
