@@ -70,3 +70,11 @@ def calendar(hour: Column, year_days: float) -> dict[str, Column]:
     return {
         "hour_sin": F.sin(turn * day), "hour_cos": F.cos(turn * day), "doy_sin": F.sin(turn * of_year), "doy_cos": F.cos(turn * of_year),
     }
+
+
+def correlation(a, b) -> Column:
+    """Pearson correlation of rows where both have a value; null if either is
+    constant, which ``corr`` would call an error."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

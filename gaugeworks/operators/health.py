@@ -179,7 +179,7 @@ def component_correlation(scored: DataFrame) -> DataFrame:
     """Pearson correlation of each two components, in one aggregation."""
     names = list(WEIGHTS)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    one = scored.where("health_total is not null").agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = scored.where("health_total is not null").agg(*[C.correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])
     return one.select(F.inline(rows))
 

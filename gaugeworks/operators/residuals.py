@@ -112,7 +112,7 @@ def lag_scan(hours: DataFrame, reference: DataFrame, channel: str, lags=range(-3
     own = hours.where(F.col(channel).isNotNull()).select("station_id", "hour_utc", F.col(channel).alias("x"), shifts.alias("lag"))
     own = own.withColumn("at", F.expr("hour_utc + make_dt_interval(0, CAST(lag AS INT), 0, 0)"))
     ref = reference.where(F.col(f"ref_{channel}").isNotNull()).select(F.col("hour_utc").alias("at"), F.col(f"ref_{channel}").alias("y"))
-    r = own.join(ref, "at").groupBy("station_id", "lag").agg(F.round(F.corr("x", "y"), 6).alias("r"), F.count(F.lit(1)).alias("n")).where("n >= 3 and r is not null and not isnan(r)")
+    r = own.join(ref, "at").groupBy("station_id", "lag").agg(F.round(C.correlation("x", "y"), 6).alias("r"), F.count(F.lit(1)).alias("n")).where("n >= 3 and r is not null")
     best = W.partitionBy("station_id").orderBy(F.desc("r"), "lag")
     return r.withColumn("k", F.row_number().over(best)).where("k = 1").select("station_id", F.col("lag").alias("best_lag"), "r", "n")
 

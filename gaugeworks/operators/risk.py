@@ -96,19 +96,21 @@ def channel_features(grid: DataFrame, channel: str, lags=(1, 3, 24), windows=(6,
 def ewma(grid: DataFrame, channel: str, span: int, frame: int = 200) -> DataFrame:
     """Exponentially weighted mean (not adjusted): a null hour repeats the mean
     and lets the weight of the past decay, so the next value weighs more. The
-    recurrence is folded over the last ``frame`` hours, beyond which a weight is
-    under machine precision for the spans in use."""
+    recurrence is folded over the last ``frame`` values, beyond which a weight
+    is under machine precision for the spans in use."""
     alpha = 2.0 / (span + 1)
-    values = F.collect_list(F.struct(F.col(channel).alias("x"))).over(TL.back(frame, K))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("w"))
+    rows = grid.select(K, "hour_utc", F.col(channel).alias("x"), F.row_number().over(TL.by(K)).alias("i"))
+    values = F.collect_list(F.struct("x", "i")).over(TL.back(frame, K))
+    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0).alias("i"))
 
     def step(acc, item):
-        w_old = acc.w * (1 - alpha)
-        fresh = F.struct(F.when(acc.m.isNull(), item.x).otherwise((w_old * acc.m + alpha * item.x) / (w_old + alpha)).alias("m"), F.lit(1.0).alias("w"))
-        aged = F.struct(acc.m.alias("m"), F.when(acc.m.isNull(), F.lit(1.0)).otherwise(w_old).alias("w"))
-        return F.when(item.x.isNull(), aged).otherwise(fresh)
+        w = F.pow(F.lit(1 - alpha), item.i - acc.i)
+        mean = F.when(acc.m.isNull(), item.x).otherwise((w * acc.m + alpha * item.x) / (w + alpha))
+        return F.struct(mean.alias("m"), item.i.alias("i"))
 
-    return grid.select(K, "hour_utc", F.aggregate(values, start, step, lambda acc: acc.m).alias("ewma"))
+    known = rows.where("x is not null").withColumn("m", F.aggregate(values, start, step, lambda acc: acc.m)).select(K, "hour_utc", "m")
+    met = rows.select(K, "hour_utc").join(known, [K, "hour_utc"], "left")
+    return met.select(K, "hour_utc", F.last("m", ignorenulls=True).over(TL.by(K)).alias("ewma"))
 
 
 def slopes(grid: DataFrame, channel: str, window: int = 24, least: int | None = None) -> DataFrame:

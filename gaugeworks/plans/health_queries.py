@@ -32,6 +32,11 @@ def _r(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _r9(df, *names):
+    """To nine places: shares of up to 720 hours have no ties there."""
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
 QUERIES = {
     "health_grid": lambda s, d: H.health_grid(_grid(s, d)).select("station_id", "hour_utc", "is_transmitting", "availability_class", *[f"has_{g}" for g in GROUPS]),
     "detector_evidence": lambda s, d: H.detector_evidence(_grid(s, d)).select("station_id", "hour_utc", "physical", "stuck", "deviation"),
@@ -46,7 +51,7 @@ QUERIES = {
     "outage_duration_curve": lambda s, d: s.createDataFrame([(1,), (6,), (24,), (168,)], "hours int").select(
         "hours", F.round(C.outage_multiplier(F.col("hours"), F.lit(0)), 9).alias("full"), F.round(C.outage_multiplier(F.lit(0), F.col("hours")), 9).alias("partial")),
     "future_targets": lambda s, d: risk.future_targets(_states(s, d)),
-    "risk_features": lambda s, d: _r(risk.features(_states(s, d)), "missing_6h", "missing_24h", "missing_72h", "log_since_gap", "log_up_run", "uptime", "log_gaps", "network_absent", "network_gap_24h"),
+    "risk_features": lambda s, d: _r9(risk.features(_states(s, d)), "missing_6h", "missing_24h", "missing_72h", "log_since_gap", "log_up_run", "uptime", "log_gaps", "network_absent", "network_gap_24h"),
     "incident_targets": lambda s, d: risk.incident_targets(_states(s, d), 3, 12),
     "event_history": lambda s, d: risk.event_history(_states(s, d)),
     "channel_features": lambda s, d: risk.channel_features(_grid(s, d), X),
@@ -128,12 +133,12 @@ ORACLE_SQL = {
     "outage_duration_curve": "SELECT h AS hours, round(exp(-h / 24.0), 9) AS \"full\", round(exp(-h / 72.0), 9) AS partial FROM (VALUES (1), (6), (24), (168)) t(h)",
     "future_targets": with_tables("grid", "SELECT *, " + ", ".join(f"count(*) {f} = {h} AND is_scoreable AS eligible_{h}h, CASE WHEN count(*) {f} = {h} AND is_scoreable THEN max(is_outage::INT) {f} ELSE 0 END AS y_{h}h"
         for h in (1, 6, 24) for f in [f"{_W} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"]) + " FROM st", **_ST),
-    "risk_features": with_tables("grid", """SELECT f.* EXCLUDE (gap_24h), round(a, 6) AS network_absent, round(b, 6) AS network_gap_24h FROM f JOIN (SELECT hour_utc, avg(is_outage::INT) AS a, avg(gap_24h) AS b FROM f GROUP BY 1) USING (hour_utc)""", **_ST,
+    "risk_features": with_tables("grid", """SELECT f.* EXCLUDE (gap_24h), round(a, 9) AS network_absent, round(b, 9) AS network_gap_24h FROM f JOIN (SELECT hour_utc, avg(is_outage::INT) AS a, avg(gap_24h) AS b FROM f GROUP BY 1) USING (hour_utc)""", **_ST,
         g=f"SELECT *, is_outage AND NOT coalesce(lag(is_outage) {_W}), false) AS gap, sum(is_outage::INT) {_W}) AS blk FROM st",
-        f=f"""SELECT station_id, hour_utc, is_outage, is_scoreable, gap, {", ".join(f"round(avg(is_outage::INT) {_back(w)}, 6) AS missing_{w}h" for w in (6, 24, 72))}, CAST(sum(gap::INT) {_back(72)} AS BIGINT) AS gap_starts_72h,
-          round(ln(1 + least(coalesce(date_diff('hour', max(CASE WHEN gap THEN hour_utc END) {_W}), hour_utc), 720), 720)), 6) AS log_since_gap,
-          round(ln(1 + CASE WHEN is_outage THEN 0 ELSE sum((NOT is_outage)::INT) OVER (PARTITION BY station_id, blk ORDER BY hour_utc) END), 6) AS log_up_run,
-          round(avg((NOT is_outage)::INT) {_W}), 6) AS uptime, round(ln(1 + sum(gap::INT) {_W})), 6) AS log_gaps, max(gap::INT) {_back(24)} AS gap_24h FROM g"""),
+        f=f"""SELECT station_id, hour_utc, is_outage, is_scoreable, gap, {", ".join(f"round(avg(is_outage::INT) {_back(w)}, 9) AS missing_{w}h" for w in (6, 24, 72))}, CAST(sum(gap::INT) {_back(72)} AS BIGINT) AS gap_starts_72h,
+          round(ln(1 + least(coalesce(date_diff('hour', max(CASE WHEN gap THEN hour_utc END) {_W}), hour_utc), 720), 720)), 9) AS log_since_gap,
+          round(ln(1 + CASE WHEN is_outage THEN 0 ELSE sum((NOT is_outage)::INT) OVER (PARTITION BY station_id, blk ORDER BY hour_utc) END), 9) AS log_up_run,
+          round(avg((NOT is_outage)::INT) {_W}), 9) AS uptime, round(ln(1 + sum(gap::INT) {_W})), 9) AS log_gaps, max(gap::INT) {_back(24)} AS gap_24h FROM g"""),
     "incident_targets": with_tables("grid", f"""SELECT station_id, hour_utc, starts, eligible, CASE WHEN eligible AND fs IS NOT NULL THEN 1 ELSE 0 END AS y, fs AS first_start FROM
       (SELECT *, count(*) {_W} ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING) = 14 AND NOT is_outage AS eligible, min(CASE WHEN starts THEN hour_utc END) {_W} ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS fs FROM
         (SELECT *, is_outage AND NOT coalesce(lag(is_outage) {_W}), true) AND sum(is_outage::INT) OVER (PARTITION BY station_id, b) >= 3 AS starts FROM (SELECT *, sum((NOT is_outage)::INT) {_W}) AS b FROM st)))""", **_ST),
