@@ -41,8 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    held = decontaminate.matches(docs, _read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("held")).distinct()
-    return docs.join(held, F.col("doc_id") == F.col("held"), "left_anti")
+    found = decontaminate.matches(docs, _read(spark, sf_dir, "benchmark"))
+    held = found.select(F.col("doc_id").alias("held")).distinct()
+    return docs.join(held, docs["doc_id"] == held["held"], "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = ids.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
 
 
 STAGES = [
