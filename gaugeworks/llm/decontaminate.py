@@ -55,8 +55,8 @@ class _Group:
         seen = Counter(x for bag in self.bags for x in bag)
         probes = []
         for item, (bag, n) in enumerate(zip(self.bags, self.size.tolist())):
-            # of two bags of n, J >= s needs n * 2s / (1 + s) in common
-            spare = n - ceil(n * 2 * similarity / (1 + similarity) - 1e-9)
+            # J >= s needs n * s in common, and no less of a text shorter than the item
+            spare = n - ceil(n * similarity - 1e-9)
             for x in sorted(bag, key=lambda x: (seen[x], x)):
                 probes.append((x, item))
                 spare -= bag[x]

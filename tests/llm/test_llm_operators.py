@@ -395,6 +395,9 @@ def test_leaks_equal_all_windows(spark, docs):
         for _ in range(rng.choice([0, 0, 1, 2])):
             own[rng.randrange(len(own))] = "changed"
         rows.append((1000 + i, f"{prose(rng, rng.choice([0, 9, 200]))} {' '.join(own)}. {prose(rng, rng.choice([0, 40]))}"))
+    for i, (_, t) in enumerate(items[4:8]):  # texts that are a part of an item
+        own = t.split()
+        rows += [(2000 + 10 * i + k, " ".join(own[round(len(own) * cut) :])) for k, cut in enumerate((0.05, 0.1, 0.14, 0.3))]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     bench = spark.createDataFrame([i for i in items if i[0] is not None], "item_id long, text string").withColumn("doc_id", F.lit(1))
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(df, bench).collect()}
