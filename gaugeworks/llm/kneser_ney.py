@@ -3,6 +3,11 @@
 The model counts trigrams of characters over all trusted text. Characters are
 mapped to ``ALPHABET`` symbols, so the tables of all orders have a proven bound
 (``ALPHABET ** 3`` cells) whatever the corpus; the counts in them grow with it.
+
+A text of a few words over and over has an ordinary perplexity under the model,
+each word being one of the language. So a second perplexity mixes the model
+evenly with the trigrams of the text's own last ``RECENT`` symbols: how far that
+lowers the first one, the text's echo, is the low side of the cut.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from gaugeworks.sources.scratch import Scratch
 ALPHABET = 128
 #: Symbol of a text's edges; two stand before its first character.
 EDGE = 0
+#: Symbols of a text that its own later ones are held against.
+RECENT = 32
 _OTHER = 98
 
 _SYMBOL = np.empty(0x10000, dtype=np.int32)
@@ -125,17 +132,43 @@ class Model:
         tri.reshape(-1)[t3.gram.to_numpy(np.int64)] = t3.p
         return cls(np.log(tri).astype(np.float32).reshape(-1))
 
-    def perplexity(self, texts: list[str], sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-        """Perplexity of each text, and what it is surely above: the same from
-        the mean log probability less ``sigmas`` standard errors."""
+    def perplexity(self, texts: list[str], sigmas: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Perplexity of each text; what it is surely above: the same from the
+        mean log probability less ``sigmas`` standard errors; and how many
+        times the text's own recent trigrams surely lower it."""
         if not texts:
-            return np.zeros(0), np.zeros(0)
+            return np.zeros(0), np.zeros(0), np.zeros(0)
         g, first = grams(texts)
         n, nll = np.diff(first), -self.logp[g].astype(np.float64)
-        mean = np.add.reduceat(nll, first[:-1]) / n
-        spread = np.sqrt(np.clip(np.add.reduceat(nll * nll, first[:-1]) / n - mean**2, 0, None))
-        # a text of few symbols has a spread too small by chance: never under 1 nat
-        return np.exp(mean), np.exp(mean - sigmas * np.maximum(spread, 1.0) / np.sqrt(n))
+        mean, off = _mean(nll, first)
+        gain, about = _mean(nll - _recent(g, first, nll), first)
+        return np.exp(mean), np.exp(mean - sigmas * off), np.exp(gain - sigmas * about)
+
+
+def _mean(nll: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of each text and its standard error."""
+    n = np.diff(first)
+    mean = np.add.reduceat(nll, first[:-1]) / n
+    spread = np.sqrt(np.clip(np.add.reduceat(nll * nll, first[:-1]) / n - mean**2, 0, None))
+    # a text of few symbols has a spread too small by chance: never under 1 nat
+    return mean, np.maximum(spread, 1.0) / np.sqrt(n)
+
+
+def _recent(g: np.ndarray, first: np.ndarray, nll: np.ndarray) -> np.ndarray:
+    """``nll`` with each probability averaged with the share of its trigram among
+    those of its context in the ``RECENT`` places before; as it is where the
+    context is not among them."""
+    context, g = (g // ALPHABET).astype(np.int32), g.astype(np.int32)
+    place = np.arange(len(g)) - np.repeat(first[:-1], np.diff(first))
+    same, of = np.zeros(len(g), dtype=np.uint8), np.zeros(len(g), dtype=np.uint8)
+    for back in range(1, min(RECENT, len(g) - 1) + 1):
+        own = place[back:] >= back
+        same[back:] += (g[back:] == g[:-back]) & own
+        of[back:] += (context[back:] == context[:-back]) & own
+    seen = of > 0
+    out = nll.copy()
+    out[seen] = -np.log((np.exp(-nll[seen]) + same[seen] / of[seen]) / 2)
+    return out
 
 
 def _spread(t, n: int) -> np.ndarray:
@@ -146,7 +179,7 @@ def _spread(t, n: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, sigmas: float = 2.0) -> DataFrame:
-    """``(doc_id, lang, n_symbols, perplexity, floor)`` of each row."""
+    """``(doc_id, lang, n_symbols, perplexity, floor, echo)`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model.logp)
 
     def run(batches):
@@ -156,23 +189,29 @@ def score(docs: DataFrame, model: Model, sigmas: float = 2.0) -> DataFrame:
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 sizes, scores = pa.array([len(t) + 1 for t in texts]), map(pa.array, own.perplexity(texts, sigmas))
                 columns = [part.column("doc_id"), part.column("lang"), sizes, *scores]
-                yield pa.record_batch(columns, names=["doc_id", "lang", "n_symbols", "perplexity", "floor"])
+                yield pa.record_batch(columns, names=["doc_id", "lang", "n_symbols", "perplexity", "floor", "echo"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double, floor double")
+    return rows.mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double, floor double, echo double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.05, sigmas: float = 2.0) -> DataFrame:
-    """``(doc_id, lang, n_symbols, perplexity, floor, threshold, keep)`` of each row.
+    """``(doc_id, lang, n_symbols, perplexity, floor, threshold, echo, limit,
+    keep)`` of each row.
 
     Trusted are the documents that ``labels`` call of good quality and not
     toxic; the model counts all of their texts. A document's floor is the
     perplexity that it surely exceeds, ``sigmas`` standard errors below its own,
     so that a short text is not rejected by chance. A language's threshold is
     the ``quantile`` of the floors of its trusted documents, times ``slack``; a
-    language without any, or a null one, gets that of all trusted documents. A
-    document is kept if its floor is at most its threshold; with no trusted
-    document at all, every one is kept.
+    language without any, or a null one, gets that of all trusted documents.
+
+    On the low side, a document's echo is how many times its own recent trigrams
+    surely lower its perplexity, by the same standard errors; a language's limit
+    is the ``quantile`` of the echoes of its trusted documents, times ``slack``.
+    (A low perplexity alone rejects nothing: a text of well known lines is left
+    to line dedup.) A document is kept if its floor is at most its threshold and
+    its echo at most its limit; with no trusted document at all, every one is.
 
     Null and empty texts are one edge symbol, kept like any other; labels of
     unknown doc_ids or with nulls are not trusted; a doc_id labelled both ways
@@ -189,11 +228,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     model = Model.fit(text.join(trusted, "doc_id", "left_semi"), scratch)
     scored = scratch.keep(score(docs, model, sigmas), "scored")
     known = scored.join(trusted, "doc_id", "left_semi")
-    bound = (F.percentile_approx("floor", quantile, 10000) * slack).alias("threshold")
-    own = known.where("lang is not null").groupBy("lang").agg(bound)
-    overall = known.agg(bound).first().threshold
-    other = F.lit(float("inf") if overall is None else overall)
+    bound = [
+        (F.percentile_approx("floor", quantile, 10000) * slack).alias("threshold"),
+        (F.percentile_approx("echo", quantile, 10000) * slack).alias("limit"),
+    ]
+    own = known.where("lang is not null").groupBy("lang").agg(*bound)
+    overall = known.agg(*bound).first()
+    every = [F.lit(float("inf") if v is None else v) for v in (overall.threshold, overall.limit)]
     limits = scored.select("lang").distinct().join(own, "lang", "left")
-    limits = limits.select(F.col("lang").alias("of"), F.coalesce("threshold", other).alias("threshold"))
+    limits = limits.select(F.col("lang").alias("of"), F.coalesce("threshold", every[0]).alias("threshold"), F.coalesce("limit", every[1]).alias("limit"))
     met = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left")
-    return met.select("doc_id", "lang", "n_symbols", "perplexity", "floor", "threshold", (F.col("floor") <= F.col("threshold")).alias("keep"))
+    keep = (F.col("floor") <= F.col("threshold")) & (F.col("echo") <= F.col("limit"))
+    return met.select("doc_id", "lang", "n_symbols", "perplexity", "floor", "threshold", "echo", "limit", keep.alias("keep"))

@@ -367,6 +367,32 @@ def test_perplexity_equals_the_textbook(spark, docs):
     assert all(r.keep for r in kneser_ney.classify(docs, labels.where("doc_id < 0")).collect())
 
 
+def test_repeated_words_are_rejected(spark):
+    rng = random.Random(14)
+    vocab = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    plain = [" ".join(rng.choice(vocab) for _ in range(rng.choice([60, 300]))) for _ in range(120)]
+    runs = [" ".join(" ".join([w] * n) for w in rng.sample(vocab, 8)) for n in (9, 60, 400) for _ in range(10)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(plain + runs)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(df, labels).collect()}
+    assert sum(got[i].floor <= got[i].threshold for i in range(120, 150)) > 15  # ordinary to the model itself
+    assert not any(got[i].keep for i in range(120, 150))
+    assert sum(got[i].keep for i in range(120)) >= 116
+
+
+def test_recent_trigrams_by_hand():
+    texts = ["abcabd" * 9, "", "xyz", "aa" * 40]
+    g, first = kneser_ney.grams(texts)
+    nll = np.linspace(0.5, 4, len(g))
+    got = kneser_ney._recent(g, first, nll)
+    for lo, hi in zip(first, first[1:]):
+        for i in range(lo, hi):
+            past = [int(x) for x in g[max(lo, i - kneser_ney.RECENT) : i]]
+            of = sum(x // kneser_ney.ALPHABET == g[i] // kneser_ney.ALPHABET for x in past)
+            want = nll[i] if not of else -math.log((math.exp(-nll[i]) + past.count(int(g[i])) / of) / 2)
+            assert got[i] == pytest.approx(want)
+
+
 # --------------------------------------------------------- 9 contamination
 def brute_leaks(text: str, items: list[tuple[int, str]]) -> dict[int, float]:
     words, out = words_of(text), {}
