@@ -55,6 +55,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 
+#: Notices that grant nothing; of fewer words than a shingle.
+RESERVED: dict[str, tuple[str, ...]] = {"All-rights-reserved": ("All rights reserved.",)}
+
 
 def minhashes(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Least salted hash of each non-empty run, one column per band."""
@@ -64,6 +67,14 @@ def minhashes(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def grouped(names: list[str], texts: list[str], width: int) -> list[Templates]:
+    """The templates that have words, in groups of one shingle width: a template
+    of fewer words than ``width`` is one shingle of all of them."""
+    _, first = K.word_hashes(pa.record_batch([pa.array(texts, pa.string())], names=["text"]))
+    own = np.minimum(np.diff(first), width)
+    return [Templates([names[i] for i in at], [texts[i] for i in at], w) for w in range(1, width + 1) if len(at := np.flatnonzero(own == w))]
+
+
 class Templates:
     def __init__(self, names: list[str], texts: list[str], width: int):
         words, first = K.word_hashes(pa.record_batch([pa.array(texts, pa.string())], names=["text"]))
@@ -129,25 +140,27 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, w
 
     Words are lower-cased runs of letters and digits, shingles have ``width``
     words; a notice is held if a window has at least ``containment`` of its
-    distinct shingles. Null, empty and shorter texts hold none; templates of
-    fewer words are not searched; a license with several notices gives the best
-    of them; repeated rows each give their rows. Other columns are ignored.
+    distinct shingles. A template of fewer words is one shingle of them all, so
+    it is held word for word; one without words is not held. Null, empty and
+    shorter texts hold none; a license with several notices gives the best of
+    them; repeated rows each give their rows. Other columns are ignored.
 
     Templates are a parameter of stated size; the texts are read once, without a
     shuffle.
     """
-    flat = [(name, text) for name, texts in (templates or TEMPLATES).items() for text in texts]
+    flat = [(name, text) for name, texts in (TEMPLATES | RESERVED if templates is None else templates).items() for text in texts]
     names, texts = [f[0] for f in flat], [f[1] for f in flat]
 
     def run(batches):
-        known = Templates(names, texts, width)
+        groups = grouped(names, texts, width)
         for batch in batches:
             for part in K.slices(batch):
                 words, first = K.word_hashes(part)
                 best: dict[tuple[int, str], tuple[float, int]] = {}
-                for d, t, c, s in known.scan(words, first, containment):
-                    key = (d, known.names[t])
-                    best[key] = max(best.get(key, (0.0, 0)), (c, -s))
+                for known in groups:
+                    for d, t, c, s in known.scan(words, first, containment):
+                        key = (d, known.names[t])
+                        best[key] = max(best.get(key, (0.0, 0)), (c, -s))
                 doc = part.column("doc_id").take(pa.array([k[0] for k in best], pa.int64()))
                 yield pa.record_batch(
                     [

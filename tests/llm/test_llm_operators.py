@@ -310,6 +310,16 @@ def test_licenses_equal_all_windows(spark, docs):
     assert license_scan.scan(empty(docs)).count() == 0
 
 
+def test_short_notices_are_found(spark):
+    rows = [(1, "x\nALL rights reserved."), (2, "all rights are reserved"), (3, "all rights reserved"), (4, "See the MIT  license, or public\ndomain."), (5, ""), (6, None), (7, "mit")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collected(license_scan.scan(df), "doc_id", "license", "containment", "first_word")
+    assert got == [(1, "All-rights-reserved", 1.0, 0), (3, "All-rights-reserved", 1.0, 0)]
+    own = {"MIT": ("MIT License",), "PD": ("Public domain.", "!"), "one": ("mit",)}
+    assert collected(license_scan.scan(df, own), "doc_id", "license") == [(4, "MIT"), (4, "PD"), (4, "one"), (7, "one")]
+    assert license_scan.scan(df, {}).count() == 0
+
+
 # --------------------------------------------------------------- 8 quality
 def symbols(t: str) -> list[int]:
     return [0, 0, *(int(kneser_ney._SYMBOL[ord(c) & 0xFFFF]) for c in t), 0]
