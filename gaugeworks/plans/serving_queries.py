@@ -116,8 +116,8 @@ def _stream(kind):
     def run(s, d):
         scratch = Scratch(s, "stream")
         events = outages.read_events(s, d, "events*.parquet")
-        made = outages.activity_sessions(events) if kind == "sessions" else outages.hourly_counts(events)
-        outages.run_available(made, f"{scratch.root}/out", f"{scratch.root}/state")
+        made = outages.activity_sessions(events, late=None) if kind == "sessions" else outages.hourly_counts(events, late=None)
+        outages.run_available(made, f"{scratch.root}/out", f"{scratch.root}/state", mode="complete")
         return s.read.parquet(f"{scratch.root}/out")
 
     return run
