@@ -2,10 +2,10 @@
 
 Every window of an item's size whose weighted shingle similarity to the item is
 at least ``similarity`` is found. Such a window shares a shingle with each large
-enough subset of the item's shingles, so only windows around the item's rarest
-shingles are fingerprinted; a fingerprint must agree with the item's in one of
-``radius + 1`` blocks of bits, which any within ``radius`` bits do; then the
-similarity itself is computed.
+enough subset of the item's shingles, so windows around the item's rarest
+shingles are all that can be near; of each, the similarity itself is computed.
+No fingerprint stands between: two bags of similarity 0.98 can differ in half
+the bits of theirs.
 """
 
 from __future__ import annotations
@@ -22,13 +22,6 @@ from gaugeworks.llm import kernels as K
 
 #: Items, and bytes of their texts, that are held against all documents in one pass.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32_000_000
-RADIUS = 24
-
-
-def hamming_blocks(radius: int) -> np.ndarray:
-    """Masks that share out 64 bits among ``radius + 1`` blocks."""
-    cut = np.linspace(0, 64, radius + 2).astype(int)
-    return np.array([sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cut, cut[1:])], dtype=np.uint64)
 
 
 class Items:
@@ -50,11 +43,14 @@ class _Group:
         first = np.cumsum([0, *map(len, words)])
         flat, begin = K.shingles(np.concatenate(words), first, width)
         self.size = np.diff(begin)
-        self.fp = K.bit_majority(flat, begin)
-        self.bags = [Counter(flat[a:b].tolist()) for a, b in zip(begin, begin[1:])]
-        seen = Counter(x for bag in self.bags for x in bag)
+        self.known = K.HashSet(flat)
+        # what item holds which shingle, in order, and how often
+        place = np.repeat(np.arange(len(self.size)), self.size) * len(self.known.values) + np.searchsorted(self.known.values, flat)
+        self.held, self.weight = np.unique(place, return_counts=True)
+        bags = [Counter(flat[a:b].tolist()) for a, b in zip(begin, begin[1:])]
+        seen = Counter(x for bag in bags for x in bag)
         probes = []
-        for item, (bag, n) in enumerate(zip(self.bags, self.size.tolist())):
+        for item, (bag, n) in enumerate(zip(bags, self.size.tolist())):
             # J >= s needs n * s in common, and no less of a text shorter than the item
             spare = n - ceil(n * similarity - 1e-9)
             for x in sorted(bag, key=lambda x: (seen[x], x)):
@@ -68,8 +64,21 @@ class _Group:
         self.items = np.array([p[1] for p in probes])
         self.count, self.begin = counts, np.cumsum(counts) - counts
 
-
-def windows(group: _Group, words, first, similarity: float, radius: int) -> list[tuple[int, int, float, int]]:
+    def common(self, item: np.ndarray, own: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """For windows, each held against one ``item``: the size of the common
+        bag. ``own`` and ``value`` are the windows' shingles: of which window,
+        and which."""
+        place, shingle = self.known.find(value)
+        pair = own[place] * len(self.known.values) + shingle
+        pair, often = np.unique(pair, return_counts=True)
+        own, shingle = pair // len(self.known.values), pair % len(self.known.values)
+        code = item[own] * len(self.known.values) + shingle
+        at = np.minimum(np.searchsorted(self.held, code), len(self.held) - 1)
+        both = np.where(self.held[at] == code, np.minimum(often, self.weight[at]), 0)
+        return np.bincount(own, both, minlength=len(item)).astype(np.int64)
+
+
+def windows(group: _Group, words, first, similarity: float) -> list[tuple[int, int, float, int]]:
     """``(text, item, similarity, first word)``: the best window of each text
     and item, the earliest of equal ones."""
     flat, begin = K.shingles(words, first, group.width)
@@ -88,26 +97,21 @@ def windows(group: _Group, words, first, similarity: float, radius: int) -> list
     short = begin[doc + 1] - begin[doc] < n
     start, ok = np.where(short, begin[doc], start), ok | short
     cand = np.unique(np.stack([doc[ok], item[own][ok], start[ok]], axis=1), axis=0)
-    blocks, best = hamming_blocks(radius), {}
+    best = {}
     for lo in range(0, len(cand), 20000):
         doc, item, start = cand[lo : lo + 20000].T
         n = np.minimum(group.size[item], begin[doc + 1] - start)
         which, nth = K.ranges(n)
-        fp = K.bit_majority(flat[start[which] + nth], np.concatenate([[0], np.cumsum(n)]))
-        diff = fp ^ group.fp[item]
-        near = ((diff[:, None] & blocks[None, :]) == 0).any(axis=1) & (np.bitwise_count(diff) <= radius)
-        for i in np.flatnonzero(near).tolist():
-            bag = group.bags[item[i]]
-            mine = Counter(flat[start[i] : start[i] + n[i]].tolist())
-            common = sum(min(k, bag[x]) for x, k in mine.items() if x in bag)
-            j = common / (int(n[i]) + int(group.size[item[i]]) - common)
+        common = group.common(item, which, flat[start[which] + nth])
+        near = common / (n + group.size[item] - common)
+        for i in np.flatnonzero(near >= similarity - 1e-12).tolist():
             key = (int(doc[i]), int(item[i]))
-            if j >= similarity - 1e-12 and j > best.get(key, (0.0, 0))[0]:
-                best[key] = (j, int(start[i] - begin[doc[i]]))
+            if near[i] > best.get(key, (0.0, 0))[0]:
+                best[key] = (float(near[i]), int(start[i] - begin[doc[i]]))
     return [(d, t, j, s) for (d, t), (j, s) in sorted(best.items())]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word)``: each item that a row of
     ``docs`` contains, with its best window.
 
@@ -127,12 +131,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: f
     out = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas() if blocks > 1 else items.toPandas()
-        one = _against(rows, own.item_id.tolist(), own.text.tolist(), width, similarity, radius)
+        one = _against(rows, own.item_id.tolist(), own.text.tolist(), width, similarity)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _against(rows: DataFrame, ids: list[int], texts: list[str], width: int, similarity: float, radius: int) -> DataFrame:
+def _against(rows: DataFrame, ids: list[int], texts: list[str], width: int, similarity: float) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((ids, texts))
 
     def run(batches):
@@ -140,7 +144,7 @@ def _against(rows: DataFrame, ids: list[int], texts: list[str], width: int, simi
         for batch in batches:
             for part in K.slices(batch):
                 words, first = K.word_hashes(part)
-                found = [(d, int(g.ids[t]), j, s) for g in block.groups for d, t, j, s in windows(g, words, first, similarity, radius)]
+                found = [(d, int(g.ids[t]), j, s) for g in block.groups for d, t, j, s in windows(g, words, first, similarity)]
                 doc = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
                 rest = [pa.array([f[k] for f in found], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()))]
                 yield pa.record_batch([doc, *rest], names=["doc_id", "item_id", "similarity", "first_word"])

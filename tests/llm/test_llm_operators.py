@@ -442,6 +442,16 @@ def test_leaks_equal_all_windows(spark, docs):
     assert decontaminate.matches(empty(docs), bench).count() == decontaminate.matches(docs, bench.where("item_id < 0")).count() == 0
 
 
+def test_periodic_items_of_odd_length_are_found(spark):
+    turn = lambda n, k: " ".join("ab"[(i + k) % 2] for i in range(n))
+    items = [(n, turn(n, 0)) for n in (12, 13, 105)]
+    rows = [(n, turn(n, 1)) for n in (12, 13, 105)] + [(1, "c d " + turn(13, 1) + " e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, k): j for d, t in rows for k, j in brute_leaks(t, items).items()}
+    assert want[13, 13] == 0.8 and want[105, 105] > 0.98 and got == pytest.approx(want)
+
+
 # ----------------------------------------------------------------- 10 lines
 def brute_lines(rows):
     key = lambda l: l.strip(BLANK).translate(LOWER)
