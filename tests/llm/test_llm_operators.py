@@ -497,3 +497,16 @@ def test_query_equals_its_sql(spark, name):
     want = con.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
     assert sorted(map(repr, got.itertuples(index=False, name=None))) == sorted(map(repr, want.itertuples(index=False, name=None)))
+
+
+def test_many_lines_of_one_text(spark):
+    import time
+
+    shared = [f"a line that is shared by all, number {i}" for i in range(100_000)]
+    mixed = [x if i % 3 else f"an own line of this document {i}" for i, x in enumerate(shared)]
+    df = spark.createDataFrame([(1, "\n".join(mixed)), (2, "\n".join(shared)), (3, "\n".join(shared))], "doc_id long, text string")
+    begin = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup.drop_lines(df).collect()}
+    assert time.perf_counter() - begin < 60
+    assert got[3].n_dropped == 0 and (got[2].n_dropped, got[2].kept) == (66_666, "\n".join(shared[::3]))
+    assert got[1].kept == "\n".join(mixed[::3]) and got[1].n_lines == 100_000
