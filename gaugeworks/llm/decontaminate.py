@@ -1,11 +1,17 @@
 """Benchmark decontamination: windows of a document that nearly equal an item.
 
-Every window of an item's size whose weighted shingle similarity to the item is
-at least ``similarity`` is found. Such a window shares a shingle with each large
-enough subset of the item's shingles, so windows around the item's rarest
-shingles are all that can be near; of each, the similarity itself is computed.
-No fingerprint stands between: two bags of similarity 0.98 can differ in half
-the bits of theirs.
+For each size of the items, every window of that many shingles gets a SimHash
+fingerprint, from running counts of each bit. The fingerprints of the items are
+indexed in ``BLOCKS`` blocks of 16 bits: per block, the values within ``NEAR``
+bits of an item's. Fingerprints that differ in at most ``RADIUS`` bits have one
+such block, so the index retrieves all windows within the radius. What it
+retrieves is held against the item by the exact similarity of the bags.
+
+A fingerprint is a summary: two bags of similarity 0.98 can differ in half the
+bits of theirs, as those of periodic texts do. Bags of similarity s also share a
+shingle with each large enough subset of an item's, so the windows around an
+item's rarest shingles are a second index, which misses none, and what it finds
+goes to verification whatever its fingerprint.
 """
 
 from __future__ import annotations
@@ -22,6 +28,17 @@ from gaugeworks.llm import kernels as K
 
 #: Items, and bytes of their texts, that are held against all documents in one pass.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32_000_000
+#: Blocks of 16 bits, bits in which a block may differ, and the radius that follows.
+BLOCKS, NEAR = 4, 3
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Windows that are fingerprinted, and shingles that are verified, in one step.
+STEP, VERIFIED = 16_384, 2_000_000
+
+
+def _masks() -> np.ndarray:
+    """All 16-bit words of at most ``NEAR`` ones."""
+    x = np.arange(1 << 16, dtype=np.uint16)
+    return x[np.bitwise_count(x) <= NEAR]
 
 
 class Items:
@@ -43,6 +60,8 @@ class _Group:
         first = np.cumsum([0, *map(len, words)])
         flat, begin = K.shingles(np.concatenate(words), first, width)
         self.size = np.diff(begin)
+        self.print = _packed(np.add.reduceat(_bits(flat).astype(np.int64), begin[:-1], axis=0) * 2 > self.size[:, None])
+        self.sizes = {int(n): _Index(np.flatnonzero(self.size == n), self.print) for n in np.unique(self.size)}
         self.known = K.HashSet(flat)
         # what item holds which shingle, in order, and how often
         place = np.repeat(np.arange(len(self.size)), self.size) * len(self.known.values) + np.searchsorted(self.known.values, flat)
@@ -64,53 +83,157 @@ class _Group:
         self.items = np.array([p[1] for p in probes])
         self.count, self.begin = counts, np.cumsum(counts) - counts
 
-    def common(self, item: np.ndarray, own: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """For windows, each held against one ``item``: the size of the common
-        bag. ``own`` and ``value`` are the windows' shingles: of which window,
-        and which."""
-        place, shingle = self.known.find(value)
-        pair = own[place] * len(self.known.values) + shingle
-        pair, often = np.unique(pair, return_counts=True)
-        own, shingle = pair // len(self.known.values), pair % len(self.known.values)
-        code = item[own] * len(self.known.values) + shingle
-        at = np.minimum(np.searchsorted(self.held, code), len(self.held) - 1)
-        both = np.where(self.held[at] == code, np.minimum(often, self.weight[at]), 0)
-        return np.bincount(own, both, minlength=len(item)).astype(np.int64)
+    def by_fingerprint(self, flat: np.ndarray, begin: np.ndarray, similarity: float) -> np.ndarray:
+        """``(text, item, start)`` of the windows within the radius of an item;
+        a text shorter than the item is one window."""
+        bits, found = _bits(flat), [np.zeros((0, 3), np.int64)]
+        lens = np.diff(begin)
+        short = np.flatnonzero((lens > 0) & (lens < max(self.sizes)))
+        if len(short):
+            # texts without shingles have no part in the sums of those beside them
+            prints = _packed(np.add.reduceat(bits.astype(np.int64), begin[:-1][lens > 0], axis=0)[np.searchsorted(np.flatnonzero(lens > 0), short)] * 2 > lens[short][:, None])
+        for n, index in self.sizes.items():
+            for lo in range(0, len(flat) - n + 1, STEP):
+                at, item = index.near(_packed(_over_half(bits[lo : lo + STEP + n - 1], n)))
+                at += lo
+                text = np.searchsorted(begin, at, side="right") - 1
+                whole = at + n <= begin[text + 1]
+                found.append(np.stack([text[whole], item[whole], at[whole]], axis=1))
+            if len(short):
+                fits = np.flatnonzero((lens[short] < n) & (lens[short] >= similarity * n - 1e-9))
+                at, item = index.near(prints[fits])
+                found.append(np.stack([short[fits][at], item, begin[short[fits][at]]], axis=1))
+        return np.concatenate(found)
+
+    def by_shingle(self, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """``(text, item, start)`` of the windows around an item's rarest shingles."""
+        at, value = self.set.find(flat)
+        hit, nth = K.ranges(self.count[value])
+        at, item = at[hit], self.items[self.begin[value[hit]] + nth]
+        text = np.searchsorted(begin, at, side="right") - 1
+        # the first and last window over the hit, within the text
+        n = self.size[item]
+        last = np.maximum(begin[text + 1] - n, begin[text])
+        first, last = np.clip(at - n + 1, begin[text], last), np.minimum(at, last)
+        return np.concatenate([np.stack([text, item, first], axis=1), np.stack([text, item, last], axis=1)])
+
+    def common(self, item: np.ndarray, first: np.ndarray, last: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For runs of windows of ``size`` shingles that start at ``first`` to
+        ``last``, each held against one ``item``: the size of the common bag of
+        each window, and the index of each run's first window (n + 1 values).
+
+        An occurrence of a shingle that the item holds w times counts in the
+        windows over it that do not hold w earlier ones too: in a range of
+        starts. So a run costs its length, and not its length times the size.
+        """
+        many = last - first + 1
+        head = np.concatenate([[0], np.cumsum(many)])
+        own, nth = K.ranges(many + size - 1)
+        at = first[own] + nth
+        place, shingle = self.known.find(flat[at])
+        own, at, code = own[place], at[place], item[own[place]] * len(self.known.values) + shingle
+        held = np.minimum(np.searchsorted(self.held, code), len(self.held) - 1)
+        both = np.flatnonzero(self.held[held] == code)
+        own, at, code, weight = own[both], at[both], code[both], self.weight[held[both]]
+        order = np.lexsort((at, code, own))
+        own, at, code, weight = own[order], at[order], code[order], weight[order]
+        back = np.arange(len(at)) - weight
+        earlier = np.maximum(back, 0)
+        known = (back >= 0) & (own[earlier] == own) & (code[earlier] == code)
+        low = np.maximum(at - size[own] + 1, first[own])
+        low = np.where(known, np.maximum(low, at[earlier] + 1), low)
+        high = np.minimum(at, last[own])
+        live = np.flatnonzero(low <= high)
+        # one place more per run, for the ends
+        turn = np.zeros(int(head[-1]) + len(many), np.int64)
+        base = head[:-1] + np.arange(len(many)) - first
+        np.add.at(turn, base[own[live]] + low[live], 1)
+        np.add.at(turn, base[own[live]] + high[live] + 1, -1)
+        total = np.cumsum(turn)
+        return np.delete(total, head[1:] + np.arange(len(many))), head
+
+
+class _Index:
+    """The fingerprints of items of one size, by block."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray):
+        self.items, self.prints = items, prints[items]
+        self.near_block = np.zeros((BLOCKS, 1 << 16), dtype=bool)
+        for k in range(BLOCKS):
+            self.near_block[k, (_block(self.prints, k)[:, None] ^ _masks()[None, :]).reshape(-1)] = True
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, item)`` of the fingerprints within the radius of an item's."""
+        hit = np.zeros(len(prints), dtype=bool)
+        for k in range(BLOCKS):
+            hit |= self.near_block[k][_block(prints, k)]
+        at = np.flatnonzero(hit)
+        found = [np.flatnonzero(np.bitwise_count(prints[at] ^ own) <= RADIUS) for own in self.prints]
+        sizes = [len(f) for f in found]
+        return at[np.concatenate(found)], np.repeat(self.items, sizes)
+
+
+def _block(prints: np.ndarray, k: int) -> np.ndarray:
+    return np.ascontiguousarray(prints).view(np.uint16).reshape(-1, BLOCKS)[:, k]
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """``uint8[n, 64]``: the bits of each hash."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(np.uint64).reshape(-1)
+
+
+def _over_half(bits: np.ndarray, n: int) -> np.ndarray:
+    """Per window of ``n`` rows, which bits are set in over half of them."""
+    kind = np.uint8 if n < 256 else np.uint32
+    total = np.zeros((len(bits) + 1, 64), dtype=kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=total[1:])
+    # counts up to 255 are right modulo 256
+    return total[n:] - total[:-n] > n // 2
 
 
 def windows(group: _Group, words, first, similarity: float) -> list[tuple[int, int, float, int]]:
     """``(text, item, similarity, first word)``: the best window of each text
     and item, the earliest of equal ones."""
     flat, begin = K.shingles(words, first, group.width)
-    at, value = group.set.find(flat)
-    if not len(at):
+    if not len(flat):
+        return []
+    cand = np.concatenate([group.by_fingerprint(flat, begin, similarity), group.by_shingle(flat, begin)])
+    if not len(cand):
         return []
-    hit, nth = K.ranges(group.count[value])
-    at, item = at[hit], group.items[group.begin[value[hit]] + nth]
-    text = np.searchsorted(begin, at, side="right") - 1
-    # every window of the item's size over the hit, within the text
-    own, back = K.ranges(group.size[item])
-    start = at[own] - back
-    n, doc = group.size[item[own]], text[own]
-    ok = (start >= begin[doc]) & (start + n <= begin[doc + 1])
-    # a text shorter than the item is a window by itself
-    short = begin[doc + 1] - begin[doc] < n
-    start, ok = np.where(short, begin[doc], start), ok | short
-    cand = np.unique(np.stack([doc[ok], item[own][ok], start[ok]], axis=1), axis=0)
-    best = {}
-    for lo in range(0, len(cand), 20000):
-        doc, item, start = cand[lo : lo + 20000].T
-        n = np.minimum(group.size[item], begin[doc + 1] - start)
-        which, nth = K.ranges(n)
-        common = group.common(item, which, flat[start[which] + nth])
-        near = common / (n + group.size[item] - common)
+    # windows whose starts are no further apart than the item is long: one run
+    doc, item, start = np.unique(cand, axis=0).T
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > group.size[item[1:]])
+    head = np.flatnonzero(new)
+    low, high = start[head], start[np.append(head[1:], len(doc)) - 1]
+    doc, item = doc[head], item[head]
+    size = np.minimum(group.size[item], begin[doc + 1] - begin[doc])
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for part in _parts(high - low + size):
+        common, at = group.common(item[part], low[part], high[part], size[part], flat)
+        own, nth = K.ranges(np.diff(at))
+        near = common / ((size[part] + group.size[item[part]])[own] - common)
         for i in np.flatnonzero(near >= similarity - 1e-12).tolist():
-            key = (int(doc[i]), int(item[i]))
-            if near[i] > best.get(key, (0.0, 0))[0]:
-                best[key] = (float(near[i]), int(start[i] - begin[doc[i]]))
+            run = part.start + int(own[i])
+            key = (int(doc[run]), int(item[run]))
+            if near[i] > best.get(key, (0.0, 0))[0] + 1e-12:
+                best[key] = (float(near[i]), int(low[run] + nth[i] - begin[doc[run]]))
     return [(d, t, j, s) for (d, t), (j, s) in sorted(best.items())]
 
 
+def _parts(sizes: np.ndarray):
+    """Slices of about ``VERIFIED`` in sum; a larger one is a slice by itself."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + VERIFIED, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word)``: each item that a row of
     ``docs`` contains, with its best window.
@@ -122,7 +245,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: f
     with equal ids are items of their own. Other columns are ignored.
 
     Items are a query set: they are read in blocks of a stated size, each held
-    against all documents in one pass without a shuffle.
+    against all documents in one pass without a shuffle. The work is that of
+    fingerprinting the texts once per size of the items, and of the pairs that
+    an index retrieves: of unrelated fingerprints about one in 24, hence few
+    while an index holds tens of items of one size.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
     total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()

@@ -510,3 +510,37 @@ def test_many_lines_of_one_text(spark):
     assert time.perf_counter() - begin < 60
     assert got[3].n_dropped == 0 and (got[2].n_dropped, got[2].kept) == (66_666, "\n".join(shared[::3]))
     assert got[1].kept == "\n".join(mixed[::3]) and got[1].n_lines == 100_000
+
+
+def test_blocks_retrieve_all_within_the_radius():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 40).astype(np.uint64)
+    near = np.array([int(prints[i % 40]) ^ sum(1 << int(b) for b in rng.choice(64, i % 20, replace=False)) for i in range(4000)], dtype=np.uint64)
+    at, item = decontaminate._Index(np.arange(40), prints).near(near)
+    want = {(i, j) for i in range(4000) for j in range(40) if int(near[i] ^ prints[j]).bit_count() <= decontaminate.RADIUS}
+    assert {*zip(at.tolist(), item.tolist())} == want and len(want) > 3000
+
+
+def test_either_index_finds_copies_with_changes(spark):
+    rng = random.Random(9)
+    items = [prose(rng, n) for n in (20, 40, 60)]
+    group = decontaminate.Items([0, 1, 2], items, 5, 0.8).groups[0]
+    import pyarrow as pa
+
+    for t, item in enumerate(items):
+        own = item.split()
+        own[len(own) // 2 :] = own[len(own) // 2 + 1 :]
+        for text in (item, " ".join(own)):
+            words, first = decontaminate.K.word_hashes(pa.record_batch([pa.array([f"{prose(rng, 30)} {text} {prose(rng, 30)}"])], names=["text"]))
+            flat, begin = decontaminate.K.shingles(words, first, 5)
+            assert t in group.by_fingerprint(flat, begin, 0.8)[:, 1] and t in group.by_shingle(flat, begin)[:, 1]
+
+
+def test_items_of_five_shingles_cut_to_four_and_very_long_ones(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, 9, 10**6)) for i in range(400)] + [(1000, prose(rng, 20_000, 10**6))]
+    rows = [(i, t.rsplit(" ", 1)[0]) for i, t in items[:400]] + [(1000, f"{prose(rng, 50)} {items[-1][1]} {prose(rng, 50)}"), (1001, items[-1][1].rsplit(" ", 2000)[0])]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.matches(df, bench).collect()}
+    assert {k: v[0] for k, v in got.items() if k[0] < 400} == {(i, i): 0.8 for i in range(400)}
+    assert got[1000, 1000] == (1.0, 50) and got[1001, 1000][0] == pytest.approx((20_000 - 4 - 2000) / (20_000 - 4))
