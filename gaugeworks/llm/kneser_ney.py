@@ -1,78 +1,82 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model counts trigrams of characters over all trusted text. Characters are
-mapped to ``ALPHABET`` symbols, so the tables of all orders have a proven bound
-(``ALPHABET ** 3`` cells) whatever the corpus; the counts in them grow with it.
-
-A text of a few words over and over has an ordinary perplexity under the model,
-each word being one of the language. So a second perplexity mixes the model
-evenly with the trigrams of the text's own last ``RECENT`` symbols: how far that
-lowers the first one, the text's echo, is the low side of the cut.
+The model counts trigrams of characters, as they are, over all trusted text. Its
+tables grow with that text, so they stay tables: texts are reduced to their
+distinct trigrams with counts, those meet the model's probabilities in joins on
+the trigram, and the sums per document make its perplexity.
+
+A slice of texts travels as one row per distinct trigram, which lists the texts
+that hold it. That is a fraction of the texts' size, and no trigram, however
+common, has more rows than there are slices.
+
+A text of a few words over and over can have an ordinary perplexity, each word
+being one of the language. So a text's echo, how far its own last ``RECENT``
+symbols foretell the next one, is the low side of the cut.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import kernels as K
 from gaugeworks.sources.scratch import Scratch
 
-ALPHABET = 128
-#: Symbol of a text's edges; two stand before its first character.
-EDGE = 0
+#: Bits of a symbol; a trigram is three of them in a long.
+BITS = 21
+#: Symbol of a text's edges, beyond all code points; two stand before its first character.
+EDGE = 0x110000
 #: Symbols of a text that its own later ones are held against.
 RECENT = 32
-_OTHER = 98
-
-_SYMBOL = np.empty(0x10000, dtype=np.int32)
-_SYMBOL[:] = _OTHER + np.arange(0x10000) % (ALPHABET - _OTHER)
-_SYMBOL[:32] = 1
-_SYMBOL[[9, 10]] = 2, 3
-_SYMBOL[32:127] = np.arange(32, 127) - 32 + 3
-_SYMBOL[10] = 1
+#: Most texts of one slice: their numbers have 16 bits.
+MOST_TEXTS = 1 << 16
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram cell of each character and of each text's end, in order; and the
-    index of each text's first (n + 1 values)."""
+    """Trigram of each character and of each text's end, in order; and the index
+    of each text's first (n + 1 values)."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     lens = np.array([len(t) for t in texts], dtype=np.int64)
-    symbols = _SYMBOL[np.where(points < 0x10000, points, points & 0xFFFF)]
     first = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(lens + 1, out=first[1:])
     # a text is laid out as edge, edge, its characters, edge
-    spaced = np.full(first[-1] + 2 * len(texts), EDGE, dtype=np.int32)
+    spaced = np.full(first[-1] + 2 * len(texts), EDGE, dtype=np.int64)
     doc = np.repeat(np.arange(len(texts)), lens)
-    spaced[np.arange(len(symbols)) + 3 * doc + 2] = symbols
+    spaced[np.arange(len(points)) + 3 * doc + 2] = points
     begin = first[:-1] + 2 * np.arange(len(texts))
     last = np.ones(len(spaced), dtype=bool)
     last[begin], last[begin + 1] = False, False
     at = np.flatnonzero(last)
-    return (spaced[at - 2] * ALPHABET + spaced[at - 1]) * ALPHABET + spaced[at], first
+    return (spaced[at - 2] << 2 * BITS) | (spaced[at - 1] << BITS) | spaced[at], first
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """``(gram, n)`` over the whole texts: a task adds up its own cells, then
-    the cells are summed by gram."""
+    """``(gram, n)`` over the whole texts: a task adds up its own slices, then
+    the counts are summed by gram."""
 
     def run(batches):
-        cells = np.zeros(ALPHABET**3, dtype=np.int64)
         for batch in batches:
             for part in K.slices(batch):
-                g, _ = grams([t or "" for t in part.column("text").to_pylist()])
-                found, n = np.unique(g, return_counts=True)
-                cells[found] += n
-        hit = np.flatnonzero(cells)
-        for lo in range(0, len(hit), 65536):
-            own = hit[lo : lo + 65536]
-            yield pa.record_batch([pa.array(own), pa.array(cells[own])], names=["gram", "n"])
+                found, n = np.unique(grams([t or "" for t in part.column("text").to_pylist()])[0], return_counts=True)
+                yield pa.record_batch([pa.array(found), pa.array(n)], names=["gram", "n"])
 
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+# ---------------------------------------------------------------- model
+def _head(gram: Column) -> Column:
+    """All but a gram's last symbol."""
+    return F.shiftright(gram, BITS)
+
+
+def _tail(gram: Column, symbols: int) -> Column:
+    """A gram's last symbols."""
+    return gram.bitwiseAND(F.lit((1 << symbols * BITS) - 1))
+
+
 def _discounts(table: DataFrame) -> tuple[float, float, float]:
     """The discounts of counts 1, 2 and over, from the counts of counts; one
     half where those are too few for the estimate, or it is not above zero: a
@@ -86,113 +90,184 @@ def _discounts(table: DataFrame) -> tuple[float, float, float]:
     return tuple(float(d) if d > 0 else 0.5 for d in found)
 
 
-def _discounted(table: DataFrame, context: str, d: tuple[float, float, float]) -> DataFrame:
-    """``table`` with its discounted share ``own`` and its context's weight of
-    the lower order ``gamma``: context totals joined back to the counts."""
-    off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    of = table.groupBy(context).agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
-    return table.join(of, context).select(
-        *table.columns, ((F.col("n") - off) / F.col("total")).alias("own"), (F.col("off") / F.col("total")).alias("gamma")
-    )
+class Level:
+    """One order of the model: ``own (gram, own)``, the discounted share of each
+    gram that was seen, and ``rest (context, gamma)``, what its context leaves to
+    the lower order."""
 
+    def __init__(self, table: DataFrame, name: str, scratch: Scratch):
+        d = _discounts(table)
+        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        table = table.withColumn("context", _head(F.col("gram")))
+        of = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
+        self.rest = scratch.keep(of.select("context", (F.col("off") / F.col("total")).alias("gamma")), f"{name}-rest")
+        self.own = scratch.keep(table.join(of, "context").select("gram", ((F.col("n") - off) / F.col("total")).alias("own")), f"{name}-own")
 
-class Model:
-    """Log probability of each trigram cell, ``float32[ALPHABET ** 3]``."""
-
-    def __init__(self, logp: np.ndarray):
-        self.logp = logp
+    def over(self, asked: DataFrame, lower: str, p: str) -> DataFrame:
+        """``asked`` with ``p``: of its column ``gram`` in this order, given the
+        probability ``lower`` of the gram without its first symbol. A context
+        never seen leaves all to that."""
+        met = asked.withColumn("context", _head(F.col("gram"))).join(self.own, "gram", "left").join(self.rest, "context", "left")
+        return met.select(*asked.columns, (F.coalesce("own", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col(lower)).alias(p))
 
-    @classmethod
-    def fit(cls, trusted: DataFrame, scratch: Scratch) -> Model:
-        a = ALPHABET
-        three = counts(trusted).select("gram", (F.col("gram") / a).cast("long").alias("context"), (F.col("gram") % (a * a)).alias("lower"), "n")
-        three = scratch.keep(three, "trigrams")
-        # lower orders count the distinct symbols before them
-        two = three.groupBy("lower").agg(F.count(F.lit(1)).alias("n")).select(
-            F.col("lower").alias("gram"), (F.col("lower") / a).cast("long").alias("context"), (F.col("lower") % a).alias("lower"), "n"
-        )
-        two = scratch.keep(two, "bigrams")
-        one = two.groupBy("lower").agg(F.count(F.lit(1)).alias("n")).select(F.col("lower").alias("gram"), F.lit(0).alias("context"), "n")
-        p1 = _discounted(one, "context", _discounts(one)).select("gram", (F.col("own") + F.col("gamma") / a).alias("p"), F.col("gamma").alias("g1"))
-        p2 = _discounted(two, "context", _discounts(two)).join(p1.select(F.col("gram").alias("lower"), F.col("p").alias("p1")), "lower")
-        p2 = p2.select("gram", "context", "gamma", (F.col("own") + F.col("gamma") * F.col("p1")).alias("p"))
-        p2 = scratch.keep(p2, "p2")
-        p3 = _discounted(three, "context", _discounts(three)).join(p2.select(F.col("gram").alias("lower"), F.col("p").alias("p2")), "lower")
-        p3 = p3.select("gram", "context", "gamma", (F.col("own") + F.col("gamma") * F.col("p2")).alias("p"))
-
-        # All tables are bounded by the alphabet: at most a^3 rows come here.
-        t1, t2, t3 = p1.toPandas(), p2.toPandas(), p3.toPandas()
-        uni = np.full(a, float(t1.g1.iloc[0]) / a if len(t1) else 1 / a)
-        uni[t1.gram.to_numpy(np.int64)] = t1.p
-        bi = np.tile(uni, (a, 1))
-        bi *= _spread(t2, a)[:, None]
-        bi.reshape(-1)[t2.gram.to_numpy(np.int64)] = t2.p
-        tri = np.tile(bi, (a, 1, 1)).reshape(a * a, a)
-        tri *= _spread(t3, a * a)[:, None]
-        tri.reshape(-1)[t3.gram.to_numpy(np.int64)] = t3.p
-        return cls(np.log(tri).astype(np.float32).reshape(-1))
-
-    def perplexity(self, texts: list[str], sigmas: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Perplexity of each text; what it is surely above: the same from the
-        mean log probability less ``sigmas`` standard errors; and how many
-        times the text's own recent trigrams surely lower it."""
-        if not texts:
-            return np.zeros(0), np.zeros(0), np.zeros(0)
-        g, first = grams(texts)
-        n, nll = np.diff(first), -self.logp[g].astype(np.float64)
-        mean, off = _mean(nll, first)
-        gain, about = _mean(nll - _recent(g, first, nll), first)
-        return np.exp(mean), np.exp(mean - sigmas * off), np.exp(gain - sigmas * about)
-
-
-def _mean(nll: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of each text and its standard error."""
-    n = np.diff(first)
-    mean = np.add.reduceat(nll, first[:-1]) / n
-    spread = np.sqrt(np.clip(np.add.reduceat(nll * nll, first[:-1]) / n - mean**2, 0, None))
-    # a text of few symbols has a spread too small by chance: never under 1 nat
-    return mean, np.maximum(spread, 1.0) / np.sqrt(n)
 
+class Model:
+    """Counts of three orders over the trusted texts, as tables."""
 
-def _recent(g: np.ndarray, first: np.ndarray, nll: np.ndarray) -> np.ndarray:
-    """``nll`` with each probability averaged with the share of its trigram among
-    those of its context in the ``RECENT`` places before; as it is where the
+    def __init__(self, trusted: DataFrame, scratch: Scratch):
+        self.scratch = scratch
+        three = scratch.keep(counts(trusted), "trigrams")
+        # lower orders count the distinct symbols before them
+        two = scratch.keep(three.groupBy(_tail(F.col("gram"), 2).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "bigrams")
+        one = scratch.keep(two.groupBy(_tail(F.col("gram"), 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "symbols")
+        self.levels = [Level(t, name, scratch) for t, name in ((one, "one"), (two, "two"), (three, "three"))]
+        #: Symbols that share what the first order leaves: those seen, and one for all others.
+        self.symbols = one.count() + 1
+
+    def log_probabilities(self, grams: DataFrame) -> DataFrame:
+        """``(gram, logp)`` of distinct ``grams (gram)``, seen or not. A shorter
+        gram is asked once for all longer ones that end in it."""
+        asked = grams
+        for order, level in enumerate(self.levels, 1):
+            known = grams.select(_tail(F.col("gram"), order).alias("gram")).distinct() if order < 3 else grams
+            if order == 1:
+                known = known.withColumn("lower", F.lit(1.0 / self.symbols))
+            else:
+                known = known.join(asked.select(F.col("gram").alias("ends"), F.col("p").alias("lower")), _tail(F.col("gram"), order - 1) == F.col("ends")).drop("ends")
+            asked = self.scratch.keep(level.over(known, "lower", "p").drop("lower"), f"asked-{order}")
+        return asked.select("gram", F.log("p").alias("logp"))
+
+
+# --------------------------------------------------------------- scoring
+def _foretold(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How far each symbol is foretold: the share of its trigram among those of
+    its context in the ``RECENT`` places of its text before; zero where the
     context is not among them."""
-    context, g = (g // ALPHABET).astype(np.int32), g.astype(np.int32)
+    context = g >> BITS
     place = np.arange(len(g)) - np.repeat(first[:-1], np.diff(first))
     same, of = np.zeros(len(g), dtype=np.uint8), np.zeros(len(g), dtype=np.uint8)
     for back in range(1, min(RECENT, len(g) - 1) + 1):
         own = place[back:] >= back
-        same[back:] += (g[back:] == g[:-back]) & own
         of[back:] += (context[back:] == context[:-back]) & own
-    seen = of > 0
-    out = nll.copy()
-    out[seen] = -np.log((np.exp(-nll[seen]) + same[seen] / of[seen]) / 2)
-    return out
+        same[back:] += (g[back:] == g[:-back]) & own
+    return same / np.maximum(of, 1)
+
 
+def _mean(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of each text and its deviation."""
+    n = np.diff(first)
+    mean = np.add.reduceat(x, first[:-1]) / n
+    return mean, np.sqrt(np.clip(np.add.reduceat(x * x, first[:-1]) / n - mean**2, 0, None))
 
-def _spread(t, n: int) -> np.ndarray:
-    """A context's weight of the lower order; one for a context never seen."""
-    out = np.ones(n)
-    out[t.context.to_numpy(np.int64)] = t.gamma
-    return out
 
+def _postings(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct trigrams of a slice, and the texts that hold each: their
+    numbers (16 bits), then how often (8 bits; a larger count is several)."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.argsort(g, kind="stable")  # texts stay in order
+    g, text = g[order], text[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    often = np.diff(np.append(at, len(g)))
+    own, nth = K.ranges(-(-often // 255))
+    gram, text, often = g[at][own], text[at][own].astype("<u2"), np.minimum(often[own] - 255 * nth, 255).astype(np.uint8)
+    edge = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    texts, counts = text.tobytes(), often.tobytes()
+    ends = np.append(edge[1:], len(gram))
+    return gram[edge], [texts[2 * a : 2 * b] + counts[a:b] for a, b in zip(edge.tolist(), ends.tolist())]
+
+
+_ROW = "slice long, gram long, held binary, number int, doc_id long, lang string, n_symbols long, echo double, echo_off double"
+_NAMES = [f.split()[0] for f in _ROW.split(", ")]
 
-def score(docs: DataFrame, model: Model, sigmas: float = 2.0) -> DataFrame:
-    """``(doc_id, lang, n_symbols, perplexity, floor, echo)`` of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.logp)
+
+def reduced(docs: DataFrame) -> DataFrame:
+    """Slices of the texts, in rows of two kinds. With a ``gram``: ``held`` lists
+    the slice's texts that hold it. Without: ``number`` is that of a text, its
+    id, language, symbols, mean of what is foretold and deviation of that."""
 
     def run(batches):
-        own = Model(shared.value)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in K.slices(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                sizes, scores = pa.array([len(t) + 1 for t in texts]), map(pa.array, own.perplexity(texts, sigmas))
-                columns = [part.column("doc_id"), part.column("lang"), sizes, *scores]
-                yield pa.record_batch(columns, names=["doc_id", "lang", "n_symbols", "perplexity", "floor", "echo"])
+            for whole in K.slices(batch):
+                for lo in range(0, whole.num_rows, MOST_TEXTS):
+                    part = whole.slice(lo, MOST_TEXTS)
+                    g, first = grams([t or "" for t in part.column("text").to_pylist()])
+                    echo, off = _mean(_foretold(g, first), first)
+                    gram, held = _postings(g, first)
+                    columns = [pa.array(np.full(len(gram), number)), pa.array(gram), pa.array(held, pa.binary()), *_nulls(len(gram), _NAMES[3:])]
+                    yield pa.record_batch(columns, names=_NAMES)
+                    n = part.num_rows
+                    columns = [pa.array(np.full(n, number)), *_nulls(n, _NAMES[1:3]), pa.array(np.arange(n, dtype=np.int32)), part.column("doc_id"), part.column("lang")]
+                    yield pa.record_batch([*columns, pa.array(np.diff(first)), pa.array(echo), pa.array(off)], names=_NAMES)
+                    number += 1
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, _ROW)
+
+
+_KINDS = {"gram": pa.int64(), "held": pa.binary(), "number": pa.int32(), "doc_id": pa.int64(), "lang": pa.string(), "n_symbols": pa.int64(), "echo": pa.float64(), "echo_off": pa.float64()}
+
+
+def _nulls(n: int, names: list[str]) -> list[pa.Array]:
+    return [pa.nulls(n, _KINDS[x]) for x in names]
+
+
+def _sums(met: DataFrame) -> DataFrame:
+    """``(slice, number, nll, squares)``: per text, the sum of its trigrams'
+    negative log probabilities and of their squares. Slices are dealt whole and
+    added up one after the other."""
+
+    def added(own: int, logp: list[np.ndarray], held: list[bytes]):
+        size = np.array([len(h) // 3 for h in held])
+        text = np.frombuffer(b"".join(h[: 2 * n] for h, n in zip(held, size.tolist())), dtype="<u2")
+        often = np.frombuffer(b"".join(h[2 * n :] for h, n in zip(held, size.tolist())), dtype=np.uint8)
+        nll = np.repeat(-np.concatenate(logp), size)
+        first, second = np.bincount(text, often * nll), np.bincount(text, often * nll * nll)
+        columns = [np.full(len(first), own), np.arange(len(first), dtype=np.int32), first, second]
+        return pa.record_batch([pa.array(c) for c in columns], names=["slice", "number", "nll", "squares"])
+
+    def run(batches):
+        now, logp, held = None, [], []
+        for batch in batches:
+            slices = batch.column("slice").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if slices[a] != now:
+                    if held:
+                        yield added(now, logp, held)
+                    now, logp, held = int(slices[a]), [], []
+                logp.append(batch.column("logp").slice(a, b - a).to_numpy())
+                held += batch.column("held").slice(a, b - a).to_pylist()
+        if held:
+            yield added(now, logp, held)
+
+    dealt = met.select("slice", "logp", "held").repartition("slice").sortWithinPartitions("slice")
+    return dealt.mapInArrow(run, "slice long, number int, nll double, squares double")
+
+
+def score(docs: DataFrame, model: Model, sigmas: float = 2.0) -> DataFrame:
+    """``(doc_id, lang, n_symbols, perplexity, floor, echo)`` of each row."""
+    rows = model.scratch.keep(reduced(docs), "reduced")
+    held = rows.where("gram is not null").select("slice", "gram", "held")
+    known = model.log_probabilities(held.select("gram").distinct())
+    sums = _sums(held.join(known, "gram"))
+    texts = rows.where("gram is null").drop("gram", "held")
+    n = F.col("n_symbols")
+    mean = F.col("nll") / n
+    # a text of few symbols has a spread too small by chance: never under 1 nat
+    off = F.greatest(F.sqrt(F.greatest(F.col("squares") / n - mean * mean, F.lit(0.0))), F.lit(1.0)) / F.sqrt(n)
+    echo = F.col("echo") - sigmas * F.greatest("echo_off", F.lit(0.5)) / F.sqrt(n)
+    return texts.join(sums, ["slice", "number"]).select("doc_id", "lang", "n_symbols", F.exp(mean).alias("perplexity"), F.exp(mean - sigmas * off).alias("floor"), echo.alias("echo"))
+
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double, floor double, echo double")
+def _quantile(known: DataFrame, by: list[str], value: Column, quantile: float) -> DataFrame:
+    """``(by, q)``: the exact quantile of ``value`` rounded to four digits, from
+    the counts of its distinct values."""
+    bins = known.groupBy(*by, F.round(value, 4).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return bins.groupBy(*by).agg(F.expr(f"percentile(bin, {float(quantile)!r}D, n)").alias("q"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.05, sigmas: float = 2.0) -> DataFrame:
@@ -206,12 +281,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
     the ``quantile`` of the floors of its trusted documents, times ``slack``; a
     language without any, or a null one, gets that of all trusted documents.
 
-    On the low side, a document's echo is how many times its own recent trigrams
-    surely lower its perplexity, by the same standard errors; a language's limit
+    On the low side, a document's echo is the share of its symbols that its own
+    recent ones surely foretell, by the same standard errors; a language's limit
     is the ``quantile`` of the echoes of its trusted documents, times ``slack``.
     (A low perplexity alone rejects nothing: a text of well known lines is left
     to line dedup.) A document is kept if its floor is at most its threshold and
     its echo at most its limit; with no trusted document at all, every one is.
+    The quantiles are exact, of log perplexities and echoes of four digits.
 
     Null and empty texts are one edge symbol, kept like any other; labels of
     unknown doc_ids or with nulls are not trusted; a doc_id labelled both ways
@@ -225,18 +301,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack:
         "trusted",
     )
     text = docs.select(F.col("doc_id").cast("long"), "text")
-    model = Model.fit(text.join(trusted, "doc_id", "left_semi"), scratch)
-    scored = scratch.keep(score(docs, model, sigmas), "scored")
+    scored = scratch.keep(score(docs, Model(text.join(trusted, "doc_id", "left_semi"), scratch), sigmas), "scored")
     known = scored.join(trusted, "doc_id", "left_semi")
-    bound = [
-        (F.percentile_approx("floor", quantile, 10000) * slack).alias("threshold"),
-        (F.percentile_approx("echo", quantile, 10000) * slack).alias("limit"),
-    ]
-    own = known.where("lang is not null").groupBy("lang").agg(*bound)
-    overall = known.agg(*bound).first()
-    every = [F.lit(float("inf") if v is None else v) for v in (overall.threshold, overall.limit)]
-    limits = scored.select("lang").distinct().join(own, "lang", "left")
-    limits = limits.select(F.col("lang").alias("of"), F.coalesce("threshold", every[0]).alias("threshold"), F.coalesce("limit", every[1]).alias("limit"))
+    sides = {"threshold": (F.log("floor"), lambda q: F.exp(q) * slack), "limit": (F.col("echo"), lambda q: F.abs(q) * slack)}
+    limits = scored.select("lang").distinct().withColumnRenamed("lang", "of")
+    for name, (value, wide) in sides.items():
+        every = _quantile(known, [], value, quantile).select(wide(F.col("q")).alias("q")).first().q
+        own = _quantile(known.where("lang is not null"), ["lang"], value, quantile).select(F.col("lang").alias("is"), wide(F.col("q")).alias(name))
+        limits = limits.join(own, F.col("of") == F.col("is"), "left").drop("is")
+        limits = limits.withColumn(name, F.coalesce(name, F.lit(float("inf") if every is None else every)))
     met = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left")
     keep = (F.col("floor") <= F.col("threshold")) & (F.col("echo") <= F.col("limit"))
     return met.select("doc_id", "lang", "n_symbols", "perplexity", "floor", "threshold", "echo", "limit", keep.alias("keep"))
