@@ -5,9 +5,10 @@ tables grow with that text, so they stay tables: texts are reduced to their
 distinct trigrams with counts, those meet the model's probabilities in joins on
 the trigram, and the sums per document make its perplexity.
 
-A slice of texts travels as one row per distinct trigram, which lists the texts
-that hold it. That is a fraction of the texts' size, and no trigram, however
-common, has more rows than there are slices.
+A slice of texts asks for each of its distinct trigrams once, so no trigram,
+however common, has more rows than there are slices. The answers meet the
+slice's postings, which list the texts that hold each trigram in about a byte
+per text and trigram.
 
 A text of a few words over and over can have an ordinary perplexity, each word
 being one of the language. So a text's echo, how far its own last ``RECENT``
@@ -31,7 +32,7 @@ BITS = 21
 EDGE = 0x110000
 #: Symbols of a text that its own later ones are held against.
 RECENT = 32
-#: Most texts of one slice: their numbers have 16 bits.
+#: Most texts of one slice.
 MOST_TEXTS = 1 << 16
 
 
@@ -160,22 +161,42 @@ def _mean(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.sqrt(np.clip(np.add.reduceat(x * x, first[:-1]) / n - mean**2, 0, None))
 
 
+#: A posting is a byte: how far its text is from the one before, and how often it
+#: holds the trigram. None often: as many times ``_FAR`` further. More often: once more at the same text.
+_FAR, _OFTEN = 32, 7
+
+
 def _postings(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The distinct trigrams of a slice, and the texts that hold each: their
-    numbers (16 bits), then how often (8 bits; a larger count is several)."""
+    """The distinct trigrams of a slice in order, and the postings of each."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     order = np.argsort(g, kind="stable")  # texts stay in order
     g, text = g[order], text[order]
-    new = np.ones(len(g), dtype=bool)
-    new[1:] = (g[1:] != g[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(new)
-    often = np.diff(np.append(at, len(g)))
-    own, nth = K.ranges(-(-often // 255))
-    gram, text, often = g[at][own], text[at][own].astype("<u2"), np.minimum(often[own] - 255 * nth, 255).astype(np.uint8)
-    edge = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    texts, counts = text.tobytes(), often.tobytes()
-    ends = np.append(edge[1:], len(gram))
-    return gram[edge], [texts[2 * a : 2 * b] + counts[a:b] for a, b in zip(edge.tolist(), ends.tolist())]
+    other = np.concatenate([[True], g[1:] != g[:-1]])
+    at = np.flatnonzero(other | np.concatenate([[True], text[1:] != text[:-1]]))
+    often, gram, text, lead = np.diff(np.append(at, len(g))), g[at], text[at], other[at]
+    away = np.where(lead, text, text - np.append(0, text[:-1]))
+    # bytes that lead there, then the bytes there
+    way = -(-(away // _FAR) // (_FAR - 1))
+    there = -(-often // _OFTEN)
+    own, nth = K.ranges(way + there)
+    here = nth - way[own]
+    far = np.clip(away[own] // _FAR - nth * (_FAR - 1), 0, _FAR - 1)
+    near = np.where(here == 0, away[own] % _FAR, 0)
+    code = np.where(here < 0, far << 3, (near << 3) | np.clip(often[own] - here * _OFTEN, 0, _OFTEN)).astype(np.uint8)
+    begin = np.append(np.flatnonzero(lead[own] & (nth == 0)), len(own)).tolist()
+    raw = code.tobytes()
+    return gram[lead], [raw[a:b] for a, b in zip(begin, begin[1:])]
+
+
+def _read(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings as ``(trigram's number, text, often)``."""
+    sizes = np.array([len(h) for h in held], dtype=np.int64)
+    code = np.frombuffer(b"".join(held), dtype=np.uint8).astype(np.int64)
+    often = code & 7
+    to = np.cumsum(np.where(often == 0, _FAR, 1) * (code >> 3))
+    ends = np.cumsum(sizes)
+    base = np.concatenate([[0], to[ends[:-1] - 1]])
+    return np.repeat(np.arange(len(held)), sizes), to - np.repeat(base, sizes), often
 
 
 _ROW = "slice long, gram long, held binary, number int, doc_id long, lang string, n_symbols long, echo double, echo_off double"
@@ -213,16 +234,15 @@ def _nulls(n: int, names: list[str]) -> list[pa.Array]:
     return [pa.nulls(n, _KINDS[x]) for x in names]
 
 
-def _sums(met: DataFrame) -> DataFrame:
+def _sums(answers: DataFrame, held: DataFrame) -> DataFrame:
     """``(slice, number, nll, squares)``: per text, the sum of its trigrams'
-    negative log probabilities and of their squares. Slices are dealt whole and
-    added up one after the other."""
+    negative log probabilities and of their squares. ``answers (slice, gram,
+    logp)`` and ``held (slice, gram, held)`` have the same trigrams; a slice's
+    meet in one task, sorted, and a task adds up its slices one by one."""
 
     def added(own: int, logp: list[np.ndarray], held: list[bytes]):
-        size = np.array([len(h) // 3 for h in held])
-        text = np.frombuffer(b"".join(h[: 2 * n] for h, n in zip(held, size.tolist())), dtype="<u2")
-        often = np.frombuffer(b"".join(h[2 * n :] for h, n in zip(held, size.tolist())), dtype=np.uint8)
-        nll = np.repeat(-np.concatenate(logp), size)
+        gram, text, often = _read(held)
+        nll = -np.concatenate(logp)[gram]
         first, second = np.bincount(text, often * nll), np.bincount(text, often * nll * nll)
         columns = [np.full(len(first), own), np.arange(len(first), dtype=np.int32), first, second]
         return pa.record_batch([pa.array(c) for c in columns], names=["slice", "number", "nll", "squares"])
@@ -239,13 +259,13 @@ def _sums(met: DataFrame) -> DataFrame:
                     if held:
                         yield added(now, logp, held)
                     now, logp, held = int(slices[a]), [], []
-                logp.append(batch.column("logp").slice(a, b - a).to_numpy())
-                held += batch.column("held").slice(a, b - a).to_pylist()
+                logp.append(batch.column("logp").slice(a, b - a).drop_null().to_numpy())
+                held += batch.column("held").slice(a, b - a).drop_null().to_pylist()
         if held:
             yield added(now, logp, held)
 
-    dealt = met.select("slice", "logp", "held").repartition("slice").sortWithinPartitions("slice")
-    return dealt.mapInArrow(run, "slice long, number int, nll double, squares double")
+    both = answers.unionByName(held, allowMissingColumns=True).select("slice", "gram", "logp", "held")
+    return both.repartition("slice").sortWithinPartitions("slice", "gram").mapInArrow(run, "slice long, number int, nll double, squares double")
 
 
 def score(docs: DataFrame, model: Model, sigmas: float = 2.0) -> DataFrame:
@@ -253,7 +273,7 @@ def score(docs: DataFrame, model: Model, sigmas: float = 2.0) -> DataFrame:
     rows = model.scratch.keep(reduced(docs), "reduced")
     held = rows.where("gram is not null").select("slice", "gram", "held")
     known = model.log_probabilities(held.select("gram").distinct())
-    sums = _sums(held.join(known, "gram"))
+    sums = _sums(held.select("slice", "gram").join(known, "gram"), held)
     texts = rows.where("gram is null").drop("gram", "held")
     n = F.col("n_symbols")
     mean = F.col("nll") / n

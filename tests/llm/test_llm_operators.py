@@ -401,14 +401,14 @@ def test_foretold_by_hand():
 
 
 def test_postings_hold_every_count():
-    texts = ["ab" * 700, "", "abc", "\U0010ffff\x00"]
+    rng = random.Random(4)
+    texts = ["ab" * 700, "", "abc", "\U0010ffff\x00"] + ["".join(rng.choice("abé") for _ in range(rng.choice([1, 9, 300]))) if i % 40 == 0 else "" for i in range(3000)] + ["ab" * 700, "q"]
     g, first = kneser_ney.grams(texts)
+    own, held = kneser_ney._postings(g, first)
     found = Counter()
-    for gram, held in zip(*kneser_ney._postings(g, first)):
-        n = len(held) // 3
-        for t, k in zip(np.frombuffer(held[: 2 * n], dtype="<u2"), held[2 * n :]):
-            found[int(gram), int(t)] += k
-    assert found == Counter((int(x), t) for t in range(4) for x in g[first[t] : first[t + 1]])
+    for i, t, k in zip(*kneser_ney._read(held)):
+        found[int(own[i]), int(t)] += int(k)
+    assert (np.diff(own) > 0).all() and +found == Counter((int(x), t) for t in range(len(texts)) for x in g[first[t] : first[t + 1]])
 
 
 # --------------------------------------------------------- 9 contamination
