@@ -259,8 +259,9 @@ def test_url_verdicts(spark):
         (9, "http://only.com/en/", link("fan.test")), (10, "http://MyExample.com/en/7?x://y", ""), (10, "http://MyExample.com/en/7?x://y", ""), (11, "http:///en/", ""), (12, "http://notcom/en/", ""),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("score", F.lit(1))
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df).collect()}
-    assert url_filter.judge(df).count() == len(rows)
+    judged = url_filter.judge(df).collect()
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judged}
+    assert len(judged) == len(rows)
     assert got[1] == ("a.example.com", "/en/1", "com/en/", "block")
     assert got[2] == ("example.com", "/en/77", "example.com/en/7", "allow")
     assert got[3] == got[4] == ("", "", None, "allow")
@@ -552,3 +553,73 @@ def test_items_of_five_shingles_cut_to_four_and_very_long_ones(spark):
     got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.matches(df, bench).collect()}
     assert {k: v[0] for k, v in got.items() if k[0] < 400} == {(i, i): 0.8 for i in range(400)}
     assert got[1000, 1000] == (1.0, 50) and got[1001, 1000][0] == pytest.approx((20_000 - 4 - 2000) / (20_000 - 4))
+
+
+# ------------------------------------------------- 6 urls, by brute force
+def brute_rank(seed: dict, shares: dict, damping: float) -> dict:
+    score = dict(seed)
+    new = dict(seed)
+    for _ in range(60):
+        moved = defaultdict(float)
+        for a, v in new.items():
+            for b, share in shares.get(a, {}).items():
+                moved[b] += damping * v * share
+        new = moved
+        for h, v in new.items():
+            score[h] = score.get(h, 0.0) + v
+    return score
+
+
+def brute_verdicts(rows, damping=0.5, threshold=0.5, tolerance=1e-3):
+    """Verdicts, and how close any excess comes to the threshold."""
+    host = lambda u: re.match(r"[a-z]+://([^/?#]*)", u)[1].lower()
+    action = lambda u: "block" if host(u).endswith(".com") or host(u) == "com" else "allow" if host(u).endswith(".net") else None
+    n, bad, good, links = Counter(), Counter(), Counter(), Counter()
+    for _, u, html in rows:
+        h = host(u)
+        n[h] += 1
+        bad[h] += action(u) == "block"
+        good[h] += action(u) == "allow"
+        for to in re.findall(r'href="https?://([^"/]*)', html):
+            if to.lower() != h:
+                links[h, to.lower()] += 1
+    out, into = Counter(), Counter()
+    for (a, b), k in links.items():
+        out[a] += k
+        into[b] += k
+    forward, backward = defaultdict(dict), defaultdict(dict)
+    for (a, b), k in links.items():
+        forward[a][b], backward[b][a] = k / out[a], k / into[b]
+    trust = brute_rank({h: k / n[h] for h, k in good.items() if k}, forward, damping)
+    distrust = brute_rank({h: k / n[h] for h, k in bad.items() if k}, backward, damping)
+    excess = {h: distrust.get(h, 0) - trust.get(h, 0) for h in n}
+    verdicts = {i: action(u) or ("block" if excess[host(u)] > threshold + tolerance else "allow") for i, u, _ in rows}
+    return verdicts, excess
+
+
+def test_link_graph_equals_brute_force(spark):
+    rng = random.Random(21)
+    hosts = [f"h{i}.{'com' if i % 9 == 0 else 'net' if i % 11 == 0 else 'test'}" for i in range(70)]
+    page = lambda *to: "".join(f'<a href="https://{h}/x">l</a>' for h in to)
+    rows = []
+    for i in range(260):
+        own = rng.choice(hosts)
+        rows.append((i, f"http://{own}/en/{i}", page(*rng.sample(hosts, rng.choice([0, 1, 2, 5])))))
+    chain = [f"c{i}.test" for i in range(25)]  # ends at a blocked host, 25 links away
+    rows += [(300 + i, f"http://{h}/", page(*(chain[i + 1 : i + 2] or ["end.com"]))) for i, h in enumerate(chain)]
+    rows += [(330, "http://end.com/en/", ""), (331, "http://loop.com/en/", page("pool.test")), (332, "http://pool.test/", page("loop.com"))]
+    hub = [f"s{i}.test" for i in range(300)]  # all link to one blocked host, each gets a share of its distrust
+    rows += [(400 + i, f"http://{h}/", page("hub.com")) for i, h in enumerate(hub)] + [(399, "http://hub.com/en/", page(*hub))]
+    # half of its pages' links lead to a blocked host of no other: exactly at the threshold
+    rows += [(800, "http://tie.test/", page("only.com")), (801, "http://only.com/en/", "")]
+    want, excess = brute_verdicts(rows)
+    threshold = excess["tie.test"]
+    want, _ = brute_verdicts(rows, threshold=threshold)
+    assert want[800] == "allow" and 20 < sum(v == "block" for v in want.values()) < len(want)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = (("block", "com/"), ("allow", "net/"))
+    for at in (threshold, 0.01):
+        want, excess = brute_verdicts(rows, threshold=at)
+        close = {i for i, u, _ in rows if abs(excess[u.split("/")[2]] - at) < 2e-3 and u.split("/")[2] != "tie.test"}
+        got = {r.page_id: r.verdict for r in url_filter.judge(df, rules, 0.5, at, 1e-3).collect()}
+        assert {k: v for k, v in got.items() if k not in close} == {k: v for k, v in want.items() if k not in close}
