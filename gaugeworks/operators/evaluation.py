@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.scratch import Scratch
 from gaugeworks.sources.stations import hours_between
 
 
@@ -71,20 +72,40 @@ def choose_threshold(grid: DataFrame, rule: str = "maximin", precision_floor: fl
     return ok.withColumn("key", key).orderBy(F.desc("key"), F.desc("threshold")).limit(1).drop("key")
 
 
+def _ranked(rows: DataFrame, by: list[str], descending: bool, *sums: str) -> DataFrame:
+    """``rows`` with running ``sums`` in the order ``by``, as columns
+    ``upto_<name>``: rows are sorted over all tasks, each task adds up its own,
+    and only the tasks' totals, one row a task, meet in one place."""
+    scratch = Scratch(rows.sparkSession, "ranked")
+    order = [F.desc(c) if descending else F.asc(c) for c in by]
+    dealt = scratch.keep(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "dealt")
+    part = dealt.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offset = part.select("__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    own = dealt.withColumns({f"upto_{c}": F.sum(c).over(inside) for c in sums})
+    met = own.join(F.broadcast(offset), "__part")
+    return met.withColumns({f"upto_{c}": F.col(f"upto_{c}") + F.col(f"__{c}") for c in sums}).drop("__part", *[f"__{c}" for c in sums])
+
+
 def average_precision(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the precision-recall steps. Equal scores are one step, so the
     running sums go over distinct scores."""
-    steps = rows.groupBy(score).agg(F.sum((F.col(label) == 1).cast("int")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(0))
-    w = W.partitionBy("one").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    run = steps.withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("n").over(w)})
-    return run.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.nullif(F.sum("pos"), F.lit(0)), 6).alias("average_precision"), F.sum("pos").alias("positives"))
-
-
-def calibration(rows: DataFrame, actual: str, predicted: str, *tie: str) -> DataFrame:
-    """Deciles of the prediction: means of prediction and outcome."""
-    one = rows.withColumn("one", F.lit(0))
-    w = W.partitionBy("one").orderBy(predicted, *tie)
-    return one.withColumn("decile", F.ntile(10).over(w)).groupBy("decile").agg(
+    steps = rows.groupBy(score).agg(F.sum((F.col(label) == 1).cast("int")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    run = _ranked(steps, [score], True, "pos", "n")
+    return run.agg(F.round(F.sum(F.col("pos") * F.col("upto_pos") / F.col("upto_n")) / F.nullif(F.sum("pos"), F.lit(0)), 6).alias("average_precision"), F.sum("pos").alias("positives"))
+
+
+def calibration(rows: DataFrame, actual: str, predicted: str, *tie: str, bins: int = 10) -> DataFrame:
+    """Deciles of the prediction: means of prediction and outcome. Rows are ranked
+    by prediction and ``tie``; the first bins have one row more than the others
+    where the numbers do not divide."""
+    numbered = _ranked(rows.select(predicted, actual, *tie, F.lit(1).alias("n")), [predicted, *tie], False, "n")
+    total = rows.agg(F.count(F.lit(1)).alias("all"))
+    each, more, at = F.floor(F.col("all") / bins), F.col("all") % bins, F.col("upto_n") - 1
+    wide = more * (each + 1)
+    decile = F.when(at < wide, F.floor(at / (each + 1))).otherwise(more + F.floor((at - wide) / F.greatest(each, F.lit(1)))) + 1
+    return numbered.crossJoin(F.broadcast(total)).withColumn("decile", decile.cast("int")).groupBy("decile").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(predicted), 6).alias("mean_predicted"), F.round(F.avg(actual), 6).alias("mean_actual"),
         F.round(F.min(predicted), 6).alias("least"), F.round(F.max(predicted), 6).alias("most"),
     )
@@ -124,7 +145,10 @@ def event_recall(predicted: DataFrame, events: DataFrame, horizon: int) -> DataF
     return met.groupBy("station_id", "event_id").agg(F.max(lead).alias("lead_hours")).withColumn("recalled", F.col("lead_hours").isNotNull())
 
 
-def recency_weights(half_life_days: float) -> Column:
-    newest = F.max("hour_utc").over(W.partitionBy(F.lit(0)))
-    age = hours_between(newest, F.col("hour_utc"))
-    return F.least(F.greatest(F.pow(F.lit(0.5), age / (24.0 * half_life_days)), F.lit(1e-4)), F.lit(1.0))
+def recency_weights(rows: DataFrame, half_life_days: float) -> DataFrame:
+    """``rows`` with ``weight``: one for the newest hour of all, half for one of
+    ``half_life_days`` before it, never under 1e-4. The newest hour is one row."""
+    newest = rows.agg(F.max("hour_utc").alias("__newest"))
+    age = hours_between(F.col("__newest"), F.col("hour_utc"))
+    weight = F.least(F.greatest(F.pow(F.lit(0.5), age / (24.0 * half_life_days)), F.lit(1e-4)), F.lit(1.0))
+    return rows.crossJoin(F.broadcast(newest)).withColumn("weight", weight).drop("__newest")

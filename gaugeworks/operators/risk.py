@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,24 +94,34 @@ def channel_features(grid: DataFrame, channel: str, lags=(1, 3, 24), windows=(6,
     return grid.select(K, "hour_utc", *[c.alias(n) for n, c in out.items()])
 
 
-def ewma(grid: DataFrame, channel: str, span: int, frame: int = 200) -> DataFrame:
+def ewma(grid: DataFrame, channel: str, span: int) -> DataFrame:
     """Exponentially weighted mean (not adjusted): a null hour repeats the mean
-    and lets the weight of the past decay, so the next value weighs more. The
-    recurrence is folded over the last ``frame`` values, beyond which a weight
-    is under machine precision for the spans in use."""
+    and lets the weight of the past decay, so the next value weighs more. Null
+    until the first value.
+
+    Each row needs the one before, so stations are dealt and sorted, and a task
+    carries the mean from row to row and from batch to batch: linear in the rows,
+    exact for every span, and no station is held in memory.
+    """
     alpha = 2.0 / (span + 1)
-    rows = grid.select(K, "hour_utc", F.col(channel).alias("x"), F.row_number().over(TL.by(K)).alias("i"))
-    values = F.collect_list(F.struct("x", "i")).over(TL.back(frame, K))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0).alias("i"))
-
-    def step(acc, item):
-        w = F.pow(F.lit(1 - alpha), item.i - acc.i)
-        mean = F.when(acc.m.isNull(), item.x).otherwise((w * acc.m + alpha * item.x) / (w + alpha))
-        return F.struct(mean.alias("m"), item.i.alias("i"))
-
-    known = rows.where("x is not null").withColumn("m", F.aggregate(values, start, step, lambda acc: acc.m)).select(K, "hour_utc", "m")
-    met = rows.select(K, "hour_utc").join(known, [K, "hour_utc"], "left")
-    return met.select(K, "hour_utc", F.last("m", ignorenulls=True).over(TL.by(K)).alias("ewma"))
+
+    def run(batches):
+        station, mean, decay = None, None, 1.0
+        for batch in batches:
+            out = []
+            for own, x in zip(batch.column(K).to_pylist(), batch.column("x").to_pylist()):
+                if own != station:
+                    station, mean, decay = own, None, 1.0
+                decay *= 1 - alpha
+                if x is not None:
+                    mean = x if mean is None else (decay * mean + alpha * x) / (decay + alpha)
+                    decay = 1.0
+                out.append(mean)
+            yield pa.record_batch([batch.column(K), batch.column("hour_utc"), pa.array(out, pa.float64())], names=[K, "hour_utc", "ewma"])
+
+    rows = grid.select(K, "hour_utc", F.col(channel).cast("double").alias("x"))
+    kinds = dict(rows.dtypes)
+    return rows.repartition(K).sortWithinPartitions(K, "hour_utc").mapInArrow(run, f"{K} {kinds[K]}, hour_utc {kinds['hour_utc']}, ewma double")
 
 
 def slopes(grid: DataFrame, channel: str, window: int = 24, least: int | None = None) -> DataFrame:

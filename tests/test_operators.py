@@ -169,3 +169,17 @@ def test_operators_take_empty_tables(spark):
     for df in (events, A.network_windows(events), A.partial_events(A.classification(states)), rules.anomaly_scores(hours, 5), risk.features(risk.prepare(hours))):
         assert df.count() == 0
     assert A.duration_buckets(events).count() == 4
+
+
+@pytest.mark.parametrize("span", [6, 72, 168])
+def test_ewma_is_exact_for_long_spans(spark, span):
+    import pandas as pd
+
+    x = [float(i) + (i * 37 % 11) if i % 7 else None for i in range(1500)]
+    rows = [(st, datetime(2024, 1, 1) + timedelta(hours=i), v) for st in ("a", "b") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "station_id string, hour_utc timestamp_ntz, x double")
+    want = pd.Series(x, dtype=float).ewm(span=span, adjust=False).mean().tolist()
+    for st in ("a", "b"):
+        got = [r.ewma for r in risk.ewma(df, "x", span).where(f"station_id = '{st}'").orderBy("hour_utc").collect()]
+        assert [g is None for g in got] == [w != w for w in want]
+        assert max(abs(g - w) for g, w in zip(got, want) if g is not None) < 1e-9
