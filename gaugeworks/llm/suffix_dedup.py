@@ -8,13 +8,18 @@ stand. Consecutive windows named after one string make a segment.
 1. Names are counted over the corpus; those of one segment cannot repeat. The
    others are remembered in a Bloom filter of bounded size.
 2. The texts are read again and the segments of the other names are dealt out
-   by name. Of equal segments in a task only the first travels.
+   by name. Of segments of equal bytes in a task only the first travels.
 3. The segments of a name are sorted by a two-stage suffix array, and adjacent
    common prefixes of ``SPAN`` bytes show the windows that are equal.
 4. The spans found meet their texts.
 
-A name of over ``CROWDED`` segments is not gathered: its windows travel one by
-one under hashes of their whole content.
+A name of over ``CROWDED`` segments is made finer: its windows are named after a
+second string in them too, so that a common string is dealt by what stands
+around it. All segments are sorted, whatever their number.
+
+The filter of step 2 only saves work. When more names repeat than it has room
+for, more segments travel, at most all of them, which is some four times the
+texts: linear in the corpus, and the result is the same.
 """
 
 from __future__ import annotations
@@ -83,26 +88,33 @@ class Segments:
         real = whole[edges[:-1]]
         self.start, self.windows = edges[:-1][real], np.diff(edges)[real]
         self.name, self.text = anchors[at[self.start]], text[self.start]
-
-    def hashes(self, start, size, salt: int = 0) -> np.ndarray:
+        self.anchors = anchors
+
+    def finer(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``(name, start, windows, text)`` of the runs of windows, within each
+        of the segments ``which``, that agree on a second string."""
+        if not len(which):
+            return self.name[:0], self.start[:0], self.windows[:0], self.text[:0]
+        others = K.mix(self.anchors ^ _U(0xA0761D6478BD642F))
+        at = _least_at(others, self.span - ANCHOR + 1)
+        own, nth = K.ranges(self.windows[which])
+        window = self.start[which][own] + nth
+        second = at[window]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (second[1:] != second[:-1])
+        head = np.flatnonzero(new)
+        seg = which[own[head]]
+        return K.mix(self.name[seg] ^ others[second[head]]), window[head], np.diff(np.append(head, len(own))), self.text[seg]
+
+    def hashes(self, start, size) -> np.ndarray:
         """A hash of each string of ``size`` bytes at ``start``."""
-        raw = (self.prefix[start + size] - self.prefix[start]) * self.down[start]
-        return K.mix(raw ^ K.mix(np.full(1, salt, dtype=_U))) if salt else K.mix(raw)
+        return K.mix((self.prefix[start + size] - self.prefix[start]) * self.down[start])
 
 
-def _second(seg: Segments, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each string that does not follow from the first: sums of the
-    mixed words of eight bytes in it, by place."""
-    out = np.zeros(len(start), dtype=_U)
-    words = np.ndarray(shape=(max(len(seg.buf) - 7, 0),), dtype="<u8", buffer=seg.buf, strides=(1,)) if len(seg.buf) > 7 else None
-    if words is None or not len(start):
-        return out
-    top = int(size.max())
-    for k in range(0, top - 7, 8):
-        live = size >= k + 8
-        out[live] = K.mix(out[live] * _U(0x2545F4914F6CDD1D) ^ words[start[live] + k])
-    tail = words[start + size - 8]
-    return K.mix(out ^ K.mix(tail + size.astype(_U)))
+def _content(seg: Segments, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each segment's bytes."""
+    raw = (seg.prefix[start + size] - seg.prefix[start]) * seg.down[start] if len(start) else np.zeros(0, _U)
+    return K.mix(raw + size.astype(_U))
 
 
 def name_counts(docs: DataFrame) -> DataFrame:
@@ -240,16 +252,15 @@ def equal_windows(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray
 
 
 # ---------------------------------------------------------------- stages
-_ROW = "name long, second long, doc long, version long, start long, windows long, bytes binary, found boolean"
+_ROW = "name long, doc long, version long, start long, windows long, bytes binary, found boolean"
 _COLUMNS = [f.split()[0] for f in _ROW.split(", ")]
 
 
-def _records(cols: list[np.ndarray], texts: list[bytes | None] | None, found: bool):
+def _records(cols: list[np.ndarray], texts: list[bytes] | None, found: bool):
     for lo in range(0, len(cols[0]), 8192):
-        name, second, *rest = [c[lo : lo + 8192] for c in cols]
+        name, *rest = [c[lo : lo + 8192] for c in cols]
         own = texts[lo : lo + 8192] if texts is not None else [None] * len(name)
-        arrays = [pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), *map(pa.array, rest)]
-        yield pa.record_batch([*arrays, pa.array(own, pa.binary()), pa.array(np.full(len(name), found))], names=_COLUMNS)
+        yield pa.record_batch([pa.array(name.view(np.int64)), *map(pa.array, rest), pa.array(own, pa.binary()), pa.array(np.full(len(name), found))], names=_COLUMNS)
 
 
 def _merged(doc, version, start, end) -> tuple[np.ndarray, ...]:
@@ -271,19 +282,33 @@ def _found(doc, version, start, windows, span: int):
     copies of a common string are of no one task's."""
     doc, version, start, end = _merged(doc, version, start, start + windows + span - 1)
     spread = K.mix(doc.view(_U) ^ version.view(_U))
-    return _records([spread, np.zeros(len(doc), _U), doc, version, start, end - start - span + 1], None, True)
+    return _records([spread, doc, version, start, end - start - span + 1], None, True)
 
 
-def _not_first(name, second, doc, version, start) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first occurrence of each content, and of the later ones.
-    Rows of one document and place are one occurrence."""
-    order = np.lexsort((start, version, doc, second, name))
+def _not_first(name, content, doc, version, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the first occurrence of each name and content, of the later
+    ones, and of the first one of each of those. Rows of one document and place
+    are one occurrence."""
+    order = np.lexsort((start, version, doc, content, name))
     new = np.ones(len(order), dtype=bool)
     a, b = order[1:], order[:-1]
-    new[1:] = (name[a] != name[b]) | (second[a] != second[b])
+    new[1:] = (name[a] != name[b]) | (content[a] != content[b])
     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = (doc[order] != doc[lead]) | (version[order] != version[lead]) | (start[order] != start[lead])
-    return order[new], order[later]
+    return order[new], order[later], lead[later]
+
+
+def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of ``size`` bytes, eight at least, at ``a`` and ``b``
+    are the same."""
+    same = np.ones(len(a), dtype=bool)
+    if not len(a):
+        return same
+    words = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    for k in range(0, int(size.max()) - 7, 8):
+        live = np.flatnonzero(same & (size >= k + 8))
+        same[live] = words[a[live] + k] == words[b[live] + k]
+    return same & (words[a + size - 8] == words[b + size - 8])
 
 
 def _segments_of(docs: DataFrame, repeated: Names, crowded: Names, span: int) -> DataFrame:
@@ -293,7 +318,7 @@ def _segments_of(docs: DataFrame, repeated: Names, crowded: Names, span: int) ->
         bits, words, crowded_bits, crowded_words = sent.value
         known, crowd = Names(bits, words), Names(crowded_bits, crowded_words)
         kept: list[list[np.ndarray]] = [[] for _ in range(6)]
-        texts: list[bytes | None] = []
+        texts: list[bytes] = []
         for batch in batches:
             for part in K.slices(batch):
                 buf, offsets = K.text_bytes(part)
@@ -301,28 +326,26 @@ def _segments_of(docs: DataFrame, repeated: Names, crowded: Names, span: int) ->
                 doc, version = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
                 at = np.flatnonzero(known.has(seg.name))
                 many = crowd.has(seg.name[at])
-                one, each = at[~many], at[many]
-                size = seg.windows[one] + span - 1
-                which, nth = K.ranges(seg.windows[each])
-                single = seg.start[each][which] + nth
-                spans = np.full(len(single), span, dtype=np.int64)
-                name = np.concatenate([seg.name[one], seg.hashes(single, spans, 7)])
-                second = np.concatenate([_second(seg, seg.start[one], size), _second(seg, single, spans)])
-                text = np.concatenate([seg.text[one], seg.text[each][which]])
-                start = np.concatenate([seg.start[one], single])
-                windows = np.concatenate([seg.windows[one], np.ones(len(single), np.int64)])
-                cols = [name, second, doc[text], version[text], start - offsets[text], windows]
-                first, later = _not_first(*cols[:5])
+                one = at[~many]
+                name, start, windows, text = (np.concatenate(c) for c in zip((seg.name[one], seg.start[one], seg.windows[one], seg.text[one]), seg.finer(at[many])))
+                size = windows + span - 1
+                cols = [name, _content(seg, start, size), doc[text], version[text], start - offsets[text], windows]
+                first, later, lead = _not_first(*cols[:5])
+                # what only looks equal stays
+                same = _equal(buf, start[later], start[lead], np.minimum(size[later], size[lead])) & (size[later] == size[lead])
+                first, later = np.concatenate([first, later[~same]]), later[same]
                 yield from _found(*(c[later] for c in cols[2:]), span)
                 for to, c in zip(kept, cols):
                     to.append(c[first])
                 raw = buf.tobytes()
-                texts += [raw[start[i] : start[i] + windows[i] + span - 1] if i < len(one) else None for i in first.tolist()]
+                texts += [raw[a:b] for a, b in zip(start[first].tolist(), (start + size)[first].tolist())]
         if texts:
             cols = [np.concatenate(k) for k in kept]
-            first, later = _not_first(*cols[:5])
+            first, later, lead = _not_first(*cols[:5])
+            same = np.array([texts[i] == texts[j] for i, j in zip(later.tolist(), lead.tolist())], dtype=bool)
+            first, later = np.concatenate([first, later[~same]]), later[same]
             yield from _found(*(c[later] for c in cols[2:]), span)
-            yield from _records([c[first] for c in cols], [texts[i] for i in first.tolist()], False)
+            yield from _records([c[first] for i, c in enumerate(cols) if i != 1], [texts[i] for i in first.tolist()], False)
 
     return docs.mapInArrow(run, _ROW)
 
@@ -332,25 +355,23 @@ def _spans_of(segments: DataFrame, span: int) -> DataFrame:
     returned whole, spans may overlap."""
 
     def resolve(t: pa.Table):
-        col = {c: t.column(c).to_numpy() for c in ("name", "second", "doc", "version", "start", "windows")}
+        col = {c: t.column(c).to_numpy() for c in ("name", "doc", "version", "start", "windows")}
         found = t.column("found").to_numpy()
         gone = np.flatnonzero(found)
-        rest = np.flatnonzero(~found)
-        lead, later = _not_first(*(col[c][rest] for c in ("name", "second", "doc", "version", "start")))
-        lead, later = rest[lead], rest[later]
-        gone = np.concatenate([gone, later])
         out = [(col["doc"][gone], col["version"][gone], col["start"][gone], col["start"][gone] + col["windows"][gone] + span - 1)]
-        # names with unlike segments: lead is sorted by name
-        name = col["name"][lead]
-        shared = np.zeros(len(lead), dtype=bool)
+        # each occurrence once, by name
+        rest = np.flatnonzero(~found)
+        rest = rest[np.lexsort(tuple(col[c][rest] for c in ("start", "version", "doc", "name")))]
+        again = np.zeros(len(rest), dtype=bool)
+        again[1:] = np.logical_and.reduce([col[c][rest[1:]] == col[c][rest[:-1]] for c in ("name", "doc", "version", "start")])
+        rest = rest[~again]
+        name = col["name"][rest]
+        shared = np.zeros(len(rest), dtype=bool)
         shared[1:] |= name[1:] == name[:-1]
         shared[:-1] |= name[1:] == name[:-1]
-        own = lead[shared]
-        texts = t.column("bytes").take(pa.array(own)).to_pylist()
-        has = [i for i, x in enumerate(texts) if x is not None]
-        own, texts = own[has], [texts[i] for i in has]
-        if len(texts) > 1:
-            group, text, place = equal_windows(texts, span)
+        own = rest[shared]
+        if len(own):
+            group, text, place = equal_windows(t.column("bytes").take(pa.array(own)).to_pylist(), span)
             row = own[text]
             at = col["start"][row] + place
             order = np.lexsort((at, col["version"][row], col["doc"][row], group))

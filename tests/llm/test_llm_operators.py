@@ -212,6 +212,17 @@ def test_repeats_equal_brute_force(docs, monkeypatch, crowded):
     assert suffix_dedup.digests(empty(docs)).count() == 0
 
 
+def test_a_common_string_in_many_places(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 20)
+    rng = random.Random(30)
+    common = prose(rng, 8)  # under 100 bytes: no repeat by itself, but the name of many windows
+    rows = [(i, f"{prose(rng, 20)} {common} {prose(rng, 20) if i % 3 else 'the same words after it, in a third of all texts, over and over and over again ' * 2}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = brute_repeats(rows, 100)
+    assert sum(v[2] > 0 for v in found.values()) > 40
+    assert collected(suffix_dedup.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(found.values(), key=repr)
+
+
 def test_suffix_order_sorts_any_bytes():
     rng = np.random.default_rng(0)
     for size, top in ((1, 2), (2, 2), (300, 2), (500, 4), (400, 256)):
