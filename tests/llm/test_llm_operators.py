@@ -255,6 +255,21 @@ def test_neighbours_reach_recall(spark):
     assert hit / (10 * len(got)) >= 0.9
 
 
+def test_neighbours_of_the_given_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    got = defaultdict(set)
+    for r in lsh_forest.search(df).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(got[int(ids[q])] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit / (10 * (ids % 100 == 0).sum()) >= 0.9
+
+
 def test_neighbours_few_tied_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 1.0]), (2, [1.0, 1.0]), (5, [4.0, 0.0])], "vec_id long, embedding array<double>")
     assert collected(lsh_forest.search(df), "query_id", "rank", "vec_id", "score") == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 5, 3.0)]
@@ -319,6 +334,14 @@ def test_licenses_equal_all_windows(spark, docs):
     got = {(r.doc_id, r.license): r.containment for r in license_scan.scan(df).collect()}
     want = {(d, k): c for d, t in rows_of(df) for k, c in brute_licenses(t).items()}
     assert len(want) > 20 and got == pytest.approx(want)
+    # and whatever any window of a notice's size holds, at any place, is found
+    for d, t in rows_of(df):
+        g = grams_of(words_of(t))
+        for name, notices in license_scan.TEMPLATES.items():
+            for need in (grams_of(words_of(n)) for n in notices):
+                n = len(need)
+                if any(len(set(need) & set(g[i : i + n])) >= 0.8 * len(set(need)) for i in range(max(len(g) - n, 0) + 1 if n and g else 0)):
+                    assert (d, name) in got
     assert license_scan.scan(empty(docs)).count() == 0
 
 
