@@ -185,8 +185,9 @@ def network_windows(events: DataFrame, min_stations: int = 5, within_hours: int
     spans = runs.groupBy("island").agg(F.min("start_utc").alias("window_start"), F.max("start_utc").alias("window_end"))
     reach = F.expr(f"INTERVAL {within_hours} HOUR")
     spans = spans.withColumns({"backfill_start": F.col("window_start") - reach, "backfill_end": F.col("window_end") + reach})
-    member = (F.col("start_utc") >= F.col("backfill_start")) & (F.col("start_utc") <= F.col("backfill_end"))
-    members = spans.join(events.select("station_id", "start_utc", "duration_hours"), member)
+    # events begin on the hour, so a window meets them by its hours
+    hours = spans.withColumn("at", F.explode(F.sequence("backfill_start", "backfill_end", F.expr("INTERVAL 1 HOUR"))))
+    members = hours.join(events.select("station_id", "start_utc", "duration_hours"), F.col("at") == F.col("start_utc")).drop("at")
     return members.groupBy("window_start", "window_end", "backfill_start", "backfill_end").agg(
         F.count_distinct("station_id").alias("station_count"), F.count(F.lit(1)).alias("n_events"),
         F.array_join(F.array_sort(F.collect_set("station_id")), ";").alias("station_ids"),

@@ -67,13 +67,20 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     return l.join(r, on, how).drop("__bin", "__rbin", *[f"__{k}" for k in keys])
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple[str, str], r_span: tuple[str, str]) -> DataFrame:
-    """Pairs of inclusive spans of the same keys that overlap."""
-    on = (F.col(l_span[0]) <= F.col(r_span[1])) & (F.col(l_span[1]) >= F.col(r_span[0]))
-    renamed = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple[str, str], r_span: tuple[str, str], bin_hours: int = 168) -> DataFrame:
+    """Pairs of inclusive spans of the same keys that overlap. Spans meet in time
+    bins, to which each is copied; a pair counts in the bin of its overlap's
+    start, so it comes out once and a key's whole history is no one task's."""
+    width = bin_hours * 3600
+    bin_of = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
+    bins = lambda span: F.explode(F.sequence(bin_of(F.col(span[0])), bin_of(F.col(span[1]))))
+    l = left.withColumn("__bin", bins(l_span))
+    r = right.withColumn("__rbin", bins(r_span)).select("__rbin", *[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
+    on = (F.col("__bin") == F.col("__rbin")) & (F.col(l_span[0]) <= F.col(r_span[1])) & (F.col(l_span[1]) >= F.col(r_span[0]))
+    on = on & (F.col("__bin") == bin_of(F.greatest(F.col(l_span[0]), F.col(r_span[0]))))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    return left.join(renamed, on).drop(*[f"__{k}" for k in keys])
+    return l.join(r, on).drop("__bin", "__rbin", *[f"__{k}" for k in keys])
 
 
 def nearest(targets: DataFrame, samples: DataFrame, keys: list[str], at: str, sample_at: str, value: str, tolerance_minutes: int) -> DataFrame:
