@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,49 +28,84 @@ def external(hours: DataFrame, reference: DataFrame, channels=tuple(MAD_FLOORS),
     return out
 
 
-def baseline_scores(residuals: DataFrame, channel: str, window: int, least: int, hour_bins: bool = False) -> DataFrame:
-    """Rolling median, MAD and score of a residual; ``hour_bins`` keeps a series
-    of its own per hour of day. The score is null where the baseline is."""
-    keys = ["station_id"] + (["hod"] if hour_bins else [])
-    base = residuals.withColumn("hod", F.hour("hour_utc")).select("station_id", "hour_utc", "hod", f"r_{channel}")
-    out = TL.rolling_median_mad(base, f"r_{channel}", keys, window, least)
-    bmad = F.col(f"bmad_r_{channel}")
-    z = F.when(bmad.isNotNull(), (F.col(f"r_{channel}") - F.col(f"base_r_{channel}")) / F.greatest(bmad, F.lit(MAD_FLOORS[channel])))
-    return out.select(
-        "station_id", "hour_utc", F.col(f"r_{channel}").alias("residual"), F.col(f"base_r_{channel}").alias("base"), bmad.alias("bmad"), z.alias("z")
-    )
+@dataclass(frozen=True)
+class OffsetRule:
+    """What makes an hour of a channel an offset: the least spread of the fleet,
+    the least level, the most that a station's MAD may be for a high and for a
+    medium offset, and the hours by which flagged hours of an episode may be
+    apart."""
+
+    spread_floor: float
+    level_floor: float
+    steady: float
+    steady_medium: float
+    gap_hours: int
+
+
+# Fixed values.
+OFFSET_RULES = {"pressure_max_hpa": OffsetRule(1.0, 3.0, 3.0, 0.8, 168), "temp_avg_c": OffsetRule(0.8, 2.0, 1.5, 0.5, 72)}
+
+
+def per_channel(values: dict[str, float]) -> Column:
+    """The value that belongs to a row's ``channel``."""
+    out = F.when(F.lit(False), F.lit(None))
+    for channel, value in values.items():
+        out = out.when(F.col("channel") == channel, F.lit(value))
+    return out
+
+
+def long_residuals(residuals: DataFrame, channels) -> DataFrame:
+    """``(station_id, hour_utc, channel, residual)``, rows without a residual
+    included: windows count hours, not values."""
+    wide = residuals.select("station_id", "hour_utc", *[F.col(f"r_{c}").alias(c) for c in channels])
+    return wide.unpivot(["station_id", "hour_utc"], list(channels), "channel", "residual")
+
+
+def baseline_scores(residuals: DataFrame, channels, window: int = 720, least: int = 240, hour_bins: bool = False) -> DataFrame:
+    """Rolling median, MAD and score of every channel's residual; ``hour_bins``
+    keeps a series of its own per hour of day, and ``window`` then counts days.
+    The score is null where the baseline is. All channels take one exchange."""
+    keys = ["station_id", "channel"] + (["hod"] if hour_bins else [])
+    base = long_residuals(residuals, channels).withColumn("hod", F.hour("hour_utc"))
+    out = TL.rolling_median_mad(base, "residual", keys, window, least)
+    bmad = F.col("bmad_residual")
+    floor = per_channel({c: MAD_FLOORS[c] for c in channels})
+    z = F.when(bmad.isNotNull(), (F.col("residual") - F.col("base_residual")) / F.greatest(bmad, floor))
+    return out.select("station_id", "hour_utc", "channel", "residual", F.col("base_residual").alias("base"), bmad.alias("bmad"), z.alias("z"))
 
 
-def fleet(frame: DataFrame, value: str, min_stations: int) -> DataFrame:
+def fleet(frame: DataFrame, value: str, min_stations: int, keys: tuple[str, ...] = ("hour_utc",)) -> DataFrame:
     """Per hour: the fleet's median, MAD and support; null under ``min_stations``."""
-    out = TL.median_and_mad(frame, ["hour_utc"], value)
+    out = TL.median_and_mad(frame, list(keys), value)
     ok = F.col("n") >= min_stations
-    return out.select("hour_utc", F.col("n").alias("support"), F.when(ok, F.col("median")).alias("fleet_median"), F.when(ok, F.col("mad")).alias("fleet_mad"))
-
-
-def offset_flags(frame: DataFrame, value: str, min_stations: int, spread_floor: float, floor: float, stability_max: float, medium: float = 2.0, high: float = 3.0) -> DataFrame:
-    """Score of a station's level against the fleet's, and whether an hour is a
-    high or medium offset: the level must exceed the physical floor and be
-    stable (``bmad``)."""
-    met = frame.join(fleet(frame, value, min_stations), "hour_utc", "left")
-    level = F.col(value) - F.col("fleet_median")
-    score = F.when(F.col("fleet_mad").isNotNull(), level / F.greatest("fleet_mad", F.lit(spread_floor)))
-    met = met.withColumns({"level": level, "score": score})
-    steady = (F.abs("level") >= floor) & (F.col("bmad") <= stability_max)
-    return met.withColumns(
-        {
-            "offset_high": F.coalesce(steady & (F.abs("score") >= high), F.lit(False)),
-            "offset_any": F.coalesce(steady & (F.abs("score") >= medium), F.lit(False)),
-        }
-    )
-
-
-def offset_episodes(flagged: DataFrame, gap_hours: int, min_hours: int, min_density: float) -> DataFrame:
-    """Runs of flagged hours at most ``gap_hours`` plus one apart, of at least
-    ``min_hours`` from first to last and a flagged share of ``min_density``."""
-    runs = TL.islands(flagged.where("offset_any"), ["station_id"], gap_hours + 1)
-    out = runs.groupBy("station_id", "island").agg(
+    return out.select(*keys, F.col("n").alias("support"), F.when(ok, F.col("median")).alias("fleet_median"), F.when(ok, F.col("mad")).alias("fleet_mad"))
+
+
+def offset_flags(frame: DataFrame, rules: dict[str, OffsetRule] = OFFSET_RULES, min_stations: int = 8, medium: float = 2.0, high: float = 3.0) -> DataFrame:
+    """Score of a station's baseline against the fleet's of the same channel and
+    hour, and whether an hour is a high or medium offset: the baseline must
+    exceed the physical floor and be steady (``bmad``), more so for a medium
+    score."""
+    met = frame.where(F.col("channel").isin(*rules)).join(fleet(frame, "base", min_stations, ("channel", "hour_utc")), ["channel", "hour_utc"], "left")
+    of = lambda name: per_channel({c: getattr(r, name) for c, r in rules.items()})
+    score = F.when(F.col("fleet_mad").isNotNull(), (F.col("base") - F.col("fleet_median")) / F.greatest("fleet_mad", of("spread_floor")))
+    met = met.withColumns({"level": F.col("base"), "score": score})
+    large, size = F.abs("level") >= of("level_floor"), F.abs("score")
+    strong = large & (F.col("bmad") <= of("steady")) & (size >= high)
+    middling = large & (F.col("bmad") <= of("steady_medium")) & (size >= medium) & (size < high)
+    met = met.withColumns({"offset_high": F.coalesce(strong, F.lit(False)), "offset_medium": F.coalesce(middling, F.lit(False))})
+    return met.withColumn("offset_any", F.col("offset_high") | F.col("offset_medium"))
+
+
+def offset_episodes(flagged: DataFrame, rules: dict[str, OffsetRule] = OFFSET_RULES, min_hours: int = 168, min_density: float = 0.6) -> DataFrame:
+    """Runs of a channel's flagged hours at most its ``gap_hours`` plus one
+    apart, of at least ``min_hours`` from first to last and a flagged share of
+    ``min_density``."""
+    keys = ["station_id", "channel"]
+    runs = TL.islands(flagged.where("offset_any"), keys, per_channel({c: r.gap_hours + 1 for c, r in rules.items()}))
+    out = runs.groupBy(*keys, "island").agg(
         F.min("hour_utc").alias("start_utc"), F.max("hour_utc").alias("end_utc"), F.count(F.lit(1)).alias("flagged_hours"),
+        F.when(F.bool_or("offset_high"), "high").otherwise("medium").alias("tier"),
         F.round(F.percentile("level", 0.1), 6).alias("p10"), F.round(F.percentile("level", 0.5), 6).alias("p50"),
         F.round(F.percentile("level", 0.9), 6).alias("p90"), F.round(F.max(F.abs("score")), 6).alias("peak"),
     )
@@ -145,12 +182,14 @@ def spatial(hours: DataFrame, graph: DataFrame, channel: str, min_present: int =
     return met.select("station_id", "hour_utc", F.coalesce("n", F.lit(0)).alias("present_neighbours"), med.alias("neighbour_median"), (F.col(channel) - med).alias("residual"))
 
 
-def agreement_gate(episodes: DataFrame, residuals: DataFrame, value: str, margin: float) -> DataFrame:
-    """Episodes with the reference's median residual inside them, kept if it has
-    the sign of the episode's level beyond ``margin``."""
-    spans = episodes.select("station_id", "start_utc", "end_utc", "p50")
-    met = TL.interval_join(residuals.select("station_id", "hour_utc", value), spans, ["station_id"], "hour_utc", "start_utc", "end_utc")
-    med = met.groupBy("station_id", "start_utc", "end_utc", "p50").agg(F.round(F.median(value), 6).alias("reference_median"))
-    out = spans.join(med, ["station_id", "start_utc", "end_utc", "p50"], "left")
+def agreement_gate(episodes: DataFrame, residuals: DataFrame, margin: float = 2.0) -> DataFrame:
+    """Episodes with the median residual of their channel inside them, kept if it
+    has the sign of the episode's level beyond ``margin``.
+    ``residuals (station_id, hour_utc, channel, residual)``."""
+    keys = ["station_id", "channel"]
+    spans = episodes.select(*keys, "start_utc", "end_utc", "p50")
+    met = TL.interval_join(residuals.where("residual is not null").select(*keys, "hour_utc", "residual"), spans, keys, "hour_utc", "start_utc", "end_utc")
+    med = met.groupBy(spans.columns).agg(F.round(F.median("residual"), 6).alias("reference_median"))
+    out = spans.join(med, spans.columns, "left")
     agrees = (F.signum("p50") == F.signum("reference_median")) & (F.abs("reference_median") >= margin)
     return out.withColumn("gate", F.when(F.col("reference_median").isNull(), "unavailable").when(agrees, "kept").otherwise("gated"))

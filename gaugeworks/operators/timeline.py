@@ -33,7 +33,7 @@ def at_least(value: Column, counted: Column, window, least: int) -> Column:
     return F.when(F.count(counted).over(window) >= least, value.over(window))
 
 
-def islands(df: DataFrame, keys: list[str], gap_hours: int, order: str = "hour_utc", name: str = "island", reset: Column | None = None) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], gap_hours: int | Column, order: str = "hour_utc", name: str = "island", reset: Column | None = None) -> DataFrame:
     """Number the runs of rows whose neighbours are at most ``gap_hours`` apart;
     a change of ``reset`` also starts a run."""
     w = by(*keys, order=order)
@@ -117,15 +117,19 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return centre.join(spread, keys).select(*keys, "n", "median", "mad")
 
 
+def middle(ordered: Column) -> Column:
+    """Median of a sorted array without nulls; null of an empty one."""
+    n = F.size(ordered)
+    low, high = F.floor((n + 1) / 2).cast("int"), (F.floor(n / 2) + 1).cast("int")
+    return F.when(n > 0, (F.element_at(ordered, F.greatest(low, F.lit(1))) + F.element_at(ordered, high)) / 2)
+
+
 def rolling_median_mad(df: DataFrame, value: str, keys: list[str], window: int, least: int, order: str = "hour_utc") -> DataFrame:
     """Median and MAD of the last ``window`` rows, null under ``least`` values.
-    The MAD is taken in the frame, around the frame's own median."""
-    w = back(window, *keys, order=order)
-    frame = F.collect_list(value).over(w)
-    med = at_least(F.percentile(value, 0.5), F.col(value), w, least)
-    out = df.withColumns({"__frame": frame, f"base_{value}": med})
-    dev = F.array_sort(F.transform("__frame", lambda x: F.abs(x - F.col(f"base_{value}"))))
-    n = F.size("__frame")
-    mid = (F.element_at("__dev", F.floor((n + 1) / 2).cast("int")) + F.element_at("__dev", (F.floor(n / 2) + 1).cast("int"))) / 2
-    out = out.withColumn("__dev", dev)
-    return out.withColumn(f"bmad_{value}", F.when(F.col(f"base_{value}").isNotNull(), mid)).drop("__frame", "__dev")
+    The MAD is taken in the frame, around the frame's own median; both are read
+    off one sorted array of at most ``window`` values."""
+    frame = F.array_sort(F.collect_list(value).over(back(window, *keys, order=order)))
+    out = df.withColumn("__frame", frame)
+    out = out.withColumn(f"base_{value}", F.when(F.size("__frame") >= least, middle(F.col("__frame"))))
+    out = out.withColumn("__dev", F.array_sort(F.transform("__frame", lambda x: F.abs(x - F.col(f"base_{value}")))))
+    return out.withColumn(f"bmad_{value}", F.when(F.col(f"base_{value}").isNotNull(), middle(F.col("__dev")))).drop("__frame", "__dev")

@@ -55,11 +55,11 @@ def _benign(s, d):
 
 
 def _offset_episodes(s, d):
-    return R.offset_episodes(D._offsets(s, d), 12, 24, 0.2)
+    return D._offset_episodes(s, d).where(F.col("channel") == T)
 
 
 def _temp_spatial(s, d):
-    return R.spatial(S.station_hours(s, d), R.neighbours(S.registry(s), 120.0), T)
+    return R.spatial(S.station_hours(s, d), R.neighbours(S.registry(s), D.RADIUS_KM), T)
 
 
 def _crosswalk(s, d):
@@ -81,7 +81,7 @@ QUERIES = {
     "benign_review": _benign,
     "calibration_metrics": lambda s, d: EV.residual_metrics(_external(s, d)),
     "calibration_support": lambda s, d: EV.spatial_support(_offset_episodes(s, d), _temp_spatial(s, d)),
-    "offset_status": lambda s, d: EV.offset_status(D._offsets(s, d), _offset_episodes(s, d), S.registry(s), 100),
+    "offset_status": lambda s, d: EV.offset_status(D._offsets(s, d).where(F.col("channel") == T), _offset_episodes(s, d), S.registry(s), 100),
     "spatial_status": lambda s, d: EV.offset_status(
         _temp_spatial(s, d).withColumn("level", F.col("residual")), _offset_episodes(s, d), S.registry(s), 20, R.isolated(S.registry(s), R.neighbours(S.registry(s), 90.0), 3)),
     "offset_queue": lambda s, d: EV.offset_queue(_offset_episodes(s, d), T),
@@ -127,7 +127,7 @@ _LB = _GATE | {"fe": V._fe(3)} | {
         CAST(coalesce(m1, m2, m3) IS NOT NULL AS INT) AS binary_fault, concat_ws('|', CASE WHEN m1 IS NOT NULL THEN 'spike_impossible' END, CASE WHEN m2 IS NOT NULL THEN 'stuck_flatline' END, CASE WHEN m3 IS NOT NULL THEN 'statistical_anomaly' END) AS mechanisms,
         coalesce(components, '') AS components, concat_ws('|', 'spike_impossible=' || m1, 'stuck_flatline=' || m2, 'statistical_anomaly=' || m3) AS fired, fault_hours FROM lf""",
 }
-_SP = D._OFF | D._NB(120.0) | {
+_SP = D._OFF | D._NB(D.RADIUS_KM) | {
     "sr": f"""SELECT s.station_id, s.hour_utc, s.{T} - CASE WHEN n >= 2 THEN m END AS residual FROM sh s LEFT JOIN (SELECT nb.station_id, v.hour_utc, median(v.{T}) AS m, count(*) AS n FROM nb JOIN sh v ON v.station_id = nb.neighbour_id
       WHERE v.{T} IS NOT NULL GROUP BY 1, 2) USING (station_id, hour_utc)""",
 }
@@ -142,7 +142,7 @@ _SY = D._SCORES | D._RES | _X | {"fe": V._fe(3)} | {
 
 def _status(hours: str, least: int, alone: str) -> str:
     return f"""SELECT station_id, coalesce(hours, 0) AS hours, coalesce(episodes, 0) AS episodes, CASE WHEN {alone} THEN 'isolated' WHEN coalesce(hours, 0) < {least} THEN 'insufficient' WHEN episodes > 0 THEN 'offset' ELSE 'clean' END AS status
-      FROM reg LEFT JOIN ({hours}) USING (station_id) LEFT JOIN (SELECT station_id, count(*) AS episodes FROM oe GROUP BY 1) USING (station_id)"""
+      FROM reg LEFT JOIN ({hours}) USING (station_id) LEFT JOIN (SELECT station_id, count(*) AS episodes FROM oe WHERE channel = '{T}' GROUP BY 1) USING (station_id)"""
 
 
 ORACLE_SQL = {
@@ -162,14 +162,14 @@ ORACLE_SQL = {
        FROM lb l JOIN sc s ON s.station_id = l.station_id AND s.hour_utc BETWEEN l.start_utc AND l.end_utc JOIN th t ON t.channel = s.channel WHERE l.binary_fault = 0 AND s.flag GROUP BY 1, 2)""", **_LB),
     "calibration_metrics": with_tables("sh ref", """SELECT station_id, channel, count(*) AS covered_hours, round(any_value(med), 6) AS median_z, round(median(abs(ref_z - med)), 6) AS mad_z, round(avg(CAST(abs(ref_z) >= 3 AS INT)), 6) AS far_share
       FROM (SELECT *, median(ref_z) OVER (PARTITION BY station_id, channel) AS med FROM rz) GROUP BY 1, 2""", **(D._RES | _X)),
-    "calibration_support": with_tables("reg sh ref", """SELECT station_id, start_utc, end_utc, p50, coalesce(n, 0) AS spatial_hours, med AS spatial_median,
+    "calibration_support": with_tables("reg grid ref", """SELECT station_id, start_utc, end_utc, p50, coalesce(n, 0) AS spatial_hours, med AS spatial_median,
         CASE WHEN med IS NULL THEN 'unavailable' WHEN p50 IS NULL OR med = 0 THEN 'inconclusive' WHEN sign(med) = sign(p50) THEN 'same_direction' ELSE 'opposite_direction' END AS spatial_support
-      FROM (SELECT o.station_id, o.start_utc, o.end_utc, o.p50, count(residual) AS n, round(median(residual), 6) AS med FROM oe o LEFT JOIN sr ON sr.station_id = o.station_id AND sr.hour_utc BETWEEN o.start_utc AND o.end_utc GROUP BY 1, 2, 3, 4)""", **_SP),
-    "offset_status": with_tables("reg sh ref", _status("SELECT station_id, count(level) AS hours FROM off GROUP BY 1", 100, "false"), **D._OFF),
-    "spatial_status": with_tables("reg sh ref", _status("SELECT station_id, count(residual) AS hours FROM sr GROUP BY 1", 20, "station_id IN (SELECT station_id FROM al)"),
+      FROM (SELECT o.station_id, o.start_utc, o.end_utc, o.p50, count(residual) AS n, round(median(residual), 6) AS med FROM oe o LEFT JOIN sr ON sr.station_id = o.station_id AND sr.hour_utc BETWEEN o.start_utc AND o.end_utc WHERE o.channel = 'temp_avg_c' GROUP BY 1, 2, 3, 4)""", **_SP),
+    "offset_status": with_tables("reg grid ref", _status("SELECT station_id, count(level) AS hours FROM off WHERE channel = 'temp_avg_c' GROUP BY 1", 100, "false"), **D._OFF),
+    "spatial_status": with_tables("reg grid ref", _status("SELECT station_id, count(residual) AS hours FROM sr GROUP BY 1", 20, "station_id IN (SELECT station_id FROM al)"),
         **(_SP | {"n9": D._NB(90.0)["nb"], "al": "SELECT r.station_id FROM reg r LEFT JOIN n9 USING (station_id) GROUP BY 1 HAVING count(DISTINCT neighbour_id) < 3"})),
-    "offset_queue": with_tables("sh ref", f"""SELECT station_id, start_utc, end_utc, span_hours AS duration_hours, '{T}' AS channel, 'thermo_hygrometer' AS sensor_group, review_id, -8999 - review_id AS cluster,
-        CASE WHEN peak >= 3 THEN 'external_offset_high' ELSE 'external_offset_medium' END AS role, peak AS score, 'calibration_offset' AS label FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY start_utc) AS review_id FROM oe)""", **D._OFF),
+    "offset_queue": with_tables("grid ref", f"""SELECT station_id, start_utc, end_utc, span_hours AS duration_hours, '{T}' AS channel, 'thermo_hygrometer' AS sensor_group, review_id, -8999 - review_id AS cluster,
+        CASE WHEN peak >= 3 THEN 'external_offset_high' ELSE 'external_offset_medium' END AS role, peak AS score, 'calibration_offset' AS label FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY start_utc) AS review_id FROM oe WHERE channel = '{T}')""", **D._OFF),
     "systemic_evidence": with_tables("sh ref", "SELECT * FROM sy", **_SY),
     "systemic_tier_counts": with_tables("sh ref", """SELECT place, t.tier, coalesce(n, 0) AS n_episodes FROM (VALUES (0, 'supported'), (1, 'single_channel'), (2, 'benign'), (3, 'inconclusive')) t(place, tier)
       LEFT JOIN (SELECT tier, count(*) AS n FROM sy GROUP BY 1) USING (tier)""", **_SY),

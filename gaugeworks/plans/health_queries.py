@@ -1,5 +1,4 @@
-"""Queries on health and risk, and their SQL. Histories are shorter than in
-production, to suit a month of data."""
+"""Queries on health and risk, and their SQL."""
 
 from __future__ import annotations
 
@@ -11,7 +10,6 @@ from gaugeworks.operators import risk
 from gaugeworks.plans.base_sql import CH, GROUPS, with_tables
 from gaugeworks.sources import stations as S
 
-WIN = H.Windows(history=48, stability=120, current=24, current_least=6, baseline=72, baseline_least=20, fleet_least=4)
 X = "temp_avg_c"
 
 
@@ -21,7 +19,7 @@ def _grid(s, d):
 
 def _scores(s, d):
     hours = S.station_hours(s, d)
-    return H.scores(S.grid(hours), S.reference(hours), WIN)
+    return H.scores(S.grid(hours), S.reference(hours))
 
 
 def _states(s, d):
@@ -84,32 +82,39 @@ _DET = ", ".join([
     _any(f"(count({c}) {_prior(48)} >= 12 AND stddev_pop({c}) {_prior(48)} > 1e-9 AND abs({c} - avg({c}) {_prior(48)}) >= 3.5 * stddev_pop({c}) {_prior(48)})" for c in CH) + " AS deviation",
 ])
 _SEV = {"pressure_max_hpa": 3.0, "temp_avg_c": 2.0, "windspeed_avg_kmh": 3.0}
-_H = {
-    "hg": f"""SELECT *, data_present = 1 AS is_transmitting, CASE WHEN data_present <> 1 THEN 'full_outage' WHEN {" OR ".join(f"{c} IS NULL" for c in CH)} THEN 'partial_outage' ELSE 'online' END AS availability_class,
-      {", ".join(f"{c} IS NOT NULL AS has_{g}" for g, c in GROUPS.items())}
-      FROM (SELECT *, min(CASE WHEN data_present = 1 THEN hour_utc END) OVER (PARTITION BY station_id) AS fp FROM grid) WHERE hour_utc >= fp""",
-    "dt": f"SELECT *, {_DET} FROM hg",
-    "h1": f"""SELECT d.*, row_number() {_W}) AS rn, physical OR stuck OR deviation AS evidence, NOT is_transmitting OR availability_class = 'partial_outage' OR physical OR stuck AS adverse,
-      {", ".join(f"{c} - ref_{c} AS res_{c}" for c in _SEV)} FROM dt d LEFT JOIN ref USING (hour_utc)""",
-    "h2": f"""SELECT *, CASE WHEN rn >= 48 THEN list_sum(list_transform(list(CASE WHEN evidence THEN 1.0 ELSE 0.0 END) {_back(48)}, lambda x, i: x * pow(2.0, -(48 - i) / 24.0))) / ((1 - pow(2.0, -2.0)) / (1 - pow(2.0, -1 / 24.0))) END AS fault_rate,
-      CASE WHEN rn >= 48 THEN sum(data_present) {_back(48)} / 48.0 END AS availability,
-      CASE WHEN rn >= 48 THEN ({" + ".join(f"CASE WHEN sum(data_present) {_back(48)} > 0 THEN sum(has_{g}::INT) {_back(48)} / (sum(data_present) {_back(48)}) ELSE 0.0 END" for g in GROUPS)}) / 5 END AS completeness,
-      {", ".join(f"least(greatest(abs(res_{c} - CASE WHEN count(res_{c}) {_prior(24)} >= 6 THEN median(res_{c}) {_prior(24)} END) / {k}, 0.0), 1.0) AS raw_{c}, count(res_{c}) {_prior(24)} >= 6 AND res_{c} IS NOT NULL AS ok_{c}" for c, k in _SEV.items())},
-      CASE WHEN count(res_pressure_max_hpa) {_prior(72)} >= 20 THEN median(res_pressure_max_hpa) {_prior(72)} END AS pbase,
-      adverse AND NOT coalesce(lag(adverse) {_W}), false) AS began, max(CASE WHEN adverse THEN hour_utc END) {_W}) AS last_adverse FROM h1""",
-    "h3": f"""SELECT *, 0.5 * (1 - least((sum(began::INT) {_back(120)}) / 20.0, 1.0)) + 0.5 * least(coalesce(date_diff('hour', last_adverse, hour_utc), 120) / 120.0, 1.0) AS stability,
-      list_avg(list_filter([{", ".join(f"CASE WHEN ok_{c} THEN raw_{c} END" for c in _SEV)}], lambda x: x IS NOT NULL)) AS cur FROM h2""",
-    "h4": "SELECT h.*, f.med AS fmed, f.n AS fn FROM h3 h LEFT JOIN (SELECT hour_utc, median(pbase) AS med, count(pbase) AS n FROM h3 WHERE pbase IS NOT NULL GROUP BY 1) f USING (hour_utc)",
-    "h5": """SELECT *, 1 - coalesce(CASE WHEN lasting IS NULL THEN cur WHEN cur IS NULL THEN lasting ELSE greatest(cur, lasting) END, 0) AS consistency, 1 - least(fault_rate / 0.2, 1.0) AS fault_burden
-      FROM (SELECT *, CASE WHEN fn >= 4 AND pbase IS NOT NULL THEN least(greatest((abs(pbase - fmed) - 3.0) / 6.0, 0.0), 1.0) END AS lasting FROM h4)""",
-    "h6": "SELECT *, CASE WHEN rn >= 48 THEN 30 * availability + 20 * completeness + 25 * fault_burden + 15 * consistency + 10 * stability END AS base_total FROM h5",
-    "h7": f"""SELECT *, lag(base_total) {_W}) AS before_total, sum(chg) {_W}) AS run FROM (SELECT *, CASE WHEN availability_class = lag(availability_class) {_W}) THEN 0 ELSE 1 END AS chg FROM h6)""",
-    "h8": """SELECT *, CASE WHEN availability_class <> 'online' AND base_total IS NOT NULL THEN CASE WHEN seed IS NULL THEN low ELSE least(low, seed) END ELSE base_total END AS capped_total,
-        CASE WHEN availability_class = 'full_outage' THEN k ELSE 0 END AS full_run, CASE WHEN availability_class = 'partial_outage' THEN k ELSE 0 END AS partial_run FROM
-      (SELECT *, min(base_total) OVER w AS low, first_value(before_total) OVER w AS seed, count(*) OVER w AS k FROM h7 WINDOW w AS (PARTITION BY station_id, run ORDER BY hour_utc))""",
-    "hs": """SELECT *, CASE WHEN round(health_total, 9) >= 80 THEN 'Healthy' WHEN round(health_total, 9) >= 60 THEN 'Watch' WHEN round(health_total, 9) >= 40 THEN 'Degraded' WHEN health_total IS NOT NULL THEN 'Critical' ELSE 'insufficient_history' END AS health_band
-      FROM (SELECT *, capped_total * CASE WHEN full_run > 0 THEN exp(-full_run / 24.0) WHEN partial_run > 0 THEN exp(-partial_run / 72.0) ELSE 1.0 END AS health_total FROM h8)""",
-}
+
+
+def health_sql(w: H.Windows) -> dict[str, str]:
+    """The steps of health scores, up to ``hs``, for given windows."""
+    return {
+        "hg": f"""SELECT *, data_present = 1 AS is_transmitting, CASE WHEN data_present <> 1 THEN 'full_outage' WHEN {" OR ".join(f"{c} IS NULL" for c in CH)} THEN 'partial_outage' ELSE 'online' END AS availability_class,
+          {", ".join(f"{c} IS NOT NULL AS has_{g}" for g, c in GROUPS.items())}
+          FROM (SELECT *, min(CASE WHEN data_present = 1 THEN hour_utc END) OVER (PARTITION BY station_id) AS fp FROM grid) WHERE hour_utc >= fp""",
+        "dt": f"SELECT *, {_DET} FROM hg",
+        "h1": f"""SELECT d.*, row_number() {_W}) AS rn, physical OR stuck OR deviation AS evidence, NOT is_transmitting OR availability_class = 'partial_outage' OR physical OR stuck AS adverse,
+          {", ".join(f"{c} - ref_{c} AS res_{c}" for c in _SEV)} FROM dt d LEFT JOIN ref USING (hour_utc)""",
+        "h2": f"""SELECT *, CASE WHEN rn >= {w.history} THEN list_sum(list_transform(list(CASE WHEN evidence THEN 1.0 ELSE 0.0 END) {_back(w.history)}, lambda x, i: x * pow(2.0, -({w.history} - i) / {w.half_life}))) / ((1 - pow(2.0, -{w.history} / {w.half_life})) / (1 - pow(2.0, -1 / {w.half_life}))) END AS fault_rate,
+          CASE WHEN rn >= {w.history} THEN sum(data_present) {_back(w.history)} / {w.history}.0 END AS availability,
+          CASE WHEN rn >= {w.history} THEN ({" + ".join(f"CASE WHEN sum(data_present) {_back(w.history)} > 0 THEN sum(has_{g}::INT) {_back(w.history)} / (sum(data_present) {_back(w.history)}) ELSE 0.0 END" for g in GROUPS)}) / 5 END AS completeness,
+          {", ".join(f"least(greatest(abs(res_{c} - CASE WHEN count(res_{c}) {_prior(w.current)} >= {w.current_least} THEN median(res_{c}) {_prior(w.current)} END) / {k}, 0.0), 1.0) AS raw_{c}, count(res_{c}) {_prior(w.current)} >= {w.current_least} AND res_{c} IS NOT NULL AS ok_{c}" for c, k in _SEV.items())},
+          CASE WHEN count(res_pressure_max_hpa) {_prior(w.baseline)} >= {w.baseline_least} THEN median(res_pressure_max_hpa) {_prior(w.baseline)} END AS pbase,
+          adverse AND NOT coalesce(lag(adverse) {_W}), false) AS began, max(CASE WHEN adverse THEN hour_utc END) {_W}) AS last_adverse FROM h1""",
+        "h3": f"""SELECT *, 0.5 * (1 - least((sum(began::INT) {_back(w.stability)}) / 20.0, 1.0)) + 0.5 * least(coalesce(date_diff('hour', last_adverse, hour_utc), {w.stability}) / {w.stability}.0, 1.0) AS stability,
+          list_avg(list_filter([{", ".join(f"CASE WHEN ok_{c} THEN raw_{c} END" for c in _SEV)}], lambda x: x IS NOT NULL)) AS cur FROM h2""",
+        "h4": "SELECT h.*, f.med AS fmed, f.n AS fn FROM h3 h LEFT JOIN (SELECT hour_utc, median(pbase) AS med, count(pbase) AS n FROM h3 WHERE pbase IS NOT NULL GROUP BY 1) f USING (hour_utc)",
+        "h5": f"""SELECT *, 1 - coalesce(CASE WHEN lasting IS NULL THEN cur WHEN cur IS NULL THEN lasting ELSE greatest(cur, lasting) END, 0) AS consistency, 1 - least(fault_rate / 0.2, 1.0) AS fault_burden
+          FROM (SELECT *, CASE WHEN fn >= {w.fleet_least} AND pbase IS NOT NULL THEN least(greatest((abs(pbase - fmed) - 3.0) / 6.0, 0.0), 1.0) END AS lasting FROM h4)""",
+        "h6": f"SELECT *, CASE WHEN rn >= {w.history} THEN 30 * availability + 20 * completeness + 25 * fault_burden + 15 * consistency + 10 * stability END AS base_total FROM h5",
+        "h7": f"""SELECT *, lag(base_total) {_W}) AS before_total, sum(chg) {_W}) AS run FROM (SELECT *, CASE WHEN availability_class = lag(availability_class) {_W}) THEN 0 ELSE 1 END AS chg FROM h6)""",
+        "h8": """SELECT *, CASE WHEN availability_class <> 'online' AND base_total IS NOT NULL THEN CASE WHEN seed IS NULL THEN low ELSE least(low, seed) END ELSE base_total END AS capped_total,
+            CASE WHEN availability_class = 'full_outage' THEN k ELSE 0 END AS full_run, CASE WHEN availability_class = 'partial_outage' THEN k ELSE 0 END AS partial_run FROM
+          (SELECT *, min(base_total) OVER w AS low, first_value(before_total) OVER w AS seed, count(*) OVER w AS k FROM h7 WINDOW w AS (PARTITION BY station_id, run ORDER BY hour_utc))""",
+        "hs": """SELECT *, CASE WHEN round(health_total, 9) >= 80 THEN 'Healthy' WHEN round(health_total, 9) >= 60 THEN 'Watch' WHEN round(health_total, 9) >= 40 THEN 'Degraded' WHEN health_total IS NOT NULL THEN 'Critical' ELSE 'insufficient_history' END AS health_band
+          FROM (SELECT *, capped_total * CASE WHEN full_run > 0 THEN exp(-full_run / 24.0) WHEN partial_run > 0 THEN exp(-partial_run / 72.0) ELSE 1.0 END AS health_total FROM h8)""",
+    }
+
+
+_H = health_sql(H.Windows())
 _ST = {"st": "SELECT station_id, hour_utc, data_present = 0 AS is_outage, data_present = 1 AS is_scoreable FROM grid"}
 _CO = ("availability", "completeness", "fault_burden", "consistency", "stability")
 _LATER = "SELECT station_id, hour_utc, health_total, health_band, lead(health_total, {h}) OVER w AS t2, lead(health_band, {h}) OVER w AS b2 FROM hs WINDOW w AS (PARTITION BY station_id ORDER BY hour_utc)"

@@ -152,7 +152,7 @@ QUERIES = {
     "scorecard_nulls": lambda s, d: V.null_audit(V.scorecard(Q._scores(s, d), S.registry(s), _ref())),
     "replay_snapshot": lambda s, d: V.snapshot(Q._scores(s, d), S.registry(s), QUERIES["fault_segments"](s, d), _projected(s, d), _ref()),
     "delete_the_future": _future_proof,
-    "isolation_scores": lambda s, d: M.isolation_scores(rules.unpivot(S.station_hours(s, d)), trees=25),
+    "isolation_scores": lambda s, d: M.isolation_scores(rules.unpivot(S.station_hours(s, d))),
     "risk_model_logistic": _model("logistic"),
     "risk_model_boosted": _model("boosted"),
     "platt_calibration": _platt,
@@ -219,7 +219,7 @@ ORACLE_SQL = {
     "episode_summary": with_tables("sh", "SELECT coalesce(station_id, 'all') AS station_id, count(*) AS n_episodes, CAST(sum(duration_hours) AS BIGINT) AS hours, " + ", ".join(f"count(*) FILTER (WHERE components = '{g}') AS {g}" for g in sorted(_G.values())) + " FROM ep GROUP BY ROLLUP (station_id)", **_EP),
     "feature_matrix": with_tables("reg sh", f"""SELECT s.station_id, s.hour_utc, s.n_raw_records, {", ".join(f"z.stat_{c}" for c in CH)}, round(p.residual, 6) AS spatial_residual, r.elevation FROM sh s
       LEFT JOIN (SELECT station_id, hour_utc, {", ".join(f"max(CASE WHEN channel = '{c}' THEN round(zscore, 6) END) AS stat_{c}" for c in CH)} FROM sc GROUP BY 1, 2) z USING (station_id, hour_utc)
-      LEFT JOIN sp p USING (station_id, hour_utc) LEFT JOIN reg r USING (station_id)""", **D._SCORES, **D._NB(120.0),
+      LEFT JOIN sp p USING (station_id, hour_utc) LEFT JOIN reg r USING (station_id)""", **D._SCORES, **D._NB(D.RADIUS_KM),
         sp=f"""SELECT s.station_id, s.hour_utc, s.{D.P} - CASE WHEN n >= 2 THEN m END AS residual FROM sh s LEFT JOIN (SELECT nb.station_id, v.hour_utc, median(v.{D.P}) AS m, count(v.{D.P}) AS n FROM nb JOIN sh v ON v.station_id = nb.neighbour_id WHERE v.{D.P} IS NOT NULL GROUP BY 1, 2) USING (station_id, hour_utc)"""),
     "review_queue": with_tables("sh", """SELECT *, row_number() OVER (ORDER BY cluster, why, item_id) AS review_id FROM (
       SELECT item_id, cluster, probability, score, CASE WHEN hi <= 5 THEN 'representative' ELSE 'boundary' END AS why FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY probability DESC, item_id) AS hi,

@@ -183,3 +183,22 @@ def test_ewma_is_exact_for_long_spans(spark, span):
         got = [r.ewma for r in risk.ewma(df, "x", span).where(f"station_id = '{st}'").orderBy("hour_utc").collect()]
         assert [g is None for g in got] == [w != w for w in want]
         assert max(abs(g - w) for g, w in zip(got, want) if g is not None) < 1e-9
+
+
+def test_rolling_median_takes_rows_for_the_window_and_values_for_the_support(spark):
+    data = [("a", at(h), v) for h, v in enumerate([4.0, None, 2.0, 8.0, None, None, None])]
+    df = spark.createDataFrame(data, "k string, hour_utc timestamp_ntz, v double")
+    got = [(r.base_v, r.bmad_v) for r in TL.rolling_median_mad(df, "v", ["k"], 4, 2).orderBy("hour_utc").collect()]
+    assert got == [(None, None), (None, None), (3.0, 1.0), (4.0, 2.0), (5.0, 3.0), (5.0, 3.0), (None, None)]
+    assert TL.rolling_median_mad(df.limit(0), "v", ["k"], 4, 2).count() == 0
+
+
+def test_offsets_keep_channels_apart_and_ask_more_of_a_medium_score(spark):
+    rule = {"temp_avg_c": residuals.OffsetRule(1.0, 2.0, 3.0, 0.5, 1), "pressure_max_hpa": residuals.OffsetRule(1.0, 2.0, 3.0, 0.5, 3)}
+    rows = [(s, at(h), c, b, m) for h in (0, 2, 5) for c in rule for s, b, m in (("x", 0.0, 0.1), ("y", 0.0, 0.1), ("z", 5.0, 2.0), ("w", 2.5, 2.0))]
+    df = spark.createDataFrame(rows, "station_id string, hour_utc timestamp_ntz, channel string, base double, bmad double")
+    flagged = residuals.offset_flags(df, rule, 4)
+    got = {(r.station_id, r.offset_high, r.offset_medium) for r in flagged.collect()}
+    assert ("z", False, False) not in got and ("x", False, False) in got and ("w", False, False) in got
+    episodes = residuals.offset_episodes(flagged, rule, 1, 0.1)
+    assert sorted((r.channel, r.flagged_hours) for r in episodes.collect() if r.station_id == "z") == [("pressure_max_hpa", 3), ("temp_avg_c", 1), ("temp_avg_c", 2)]

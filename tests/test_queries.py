@@ -4,7 +4,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gaugeworks.plans import catalog
+from pyspark.sql import functions as F
+
+from gaugeworks.operators import health, rules
+from gaugeworks.plans import catalog, detection_queries, health_queries
+from gaugeworks.plans.base_sql import with_tables
+from gaugeworks.sources import stations
 
 SF = "/root/testdata/sf0.001"
 SQL = catalog.oracle_sql()
@@ -40,3 +45,31 @@ def test_query_equals_its_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+DENSER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def denser():
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{DENSER}/events.parquet'")
+    return c
+
+
+def test_health_with_windows_that_the_month_fills(spark, denser):
+    """The registered windows leave some baselines null on so few readings."""
+    short = health.Windows(history=48, stability=120, current=24, current_least=2, baseline=72, baseline_least=5, fleet_least=4)
+    hours = stations.station_hours(spark, DENSER)
+    names = ["fault_rate", "availability", "completeness", "consistency", "stability", "base_total", "capped_total", "health_total"]
+    got = health.scores(stations.grid(hours), stations.reference(hours), short).select("station_id", "hour_utc", *[F.round(n, 6).alias(n) for n in names], "health_band").toPandas()
+    want = denser.sql(with_tables("grid ref", f"SELECT station_id, hour_utc, {', '.join(f'round({n}, 6) AS {n}' for n in names)}, health_band FROM hs", **health_queries.health_sql(short))).df()
+    assert got["consistency"].nunique() > 100
+    assert rows(got) == rows(want)
+
+
+def test_stuck_flags_with_a_window_that_fires(spark, denser):
+    got = rules.stuck_flags(detection_queries._long(spark, DENSER), 4, 60.0).select("station_id", "hour_utc", "channel", "stuck").toPandas()
+    want = denser.sql(with_tables("sh", "SELECT station_id, hour_utc, channel, stuck FROM st", lg=detection_queries._LONG, st=detection_queries._stuck(4, "60.0", ""))).df()
+    assert 0 < got["stuck"].sum() < len(got)
+    assert rows(got) == rows(want)
