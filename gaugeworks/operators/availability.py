@@ -222,3 +222,13 @@ def reliability_summary(classes: DataFrame, full: DataFrame, partial: DataFrame,
     out = registry.select("station_id", "region").join(hours, "station_id").join(outages, "station_id", "left").join(partly, "station_id", "left")
     counts = ["n_full", "n_coordinated", "full_hours", "n_partial", "partial_hours"]
     return out.fillna(0, subset=counts).withColumn("hours_since_outage", hours_between(F.col("last_hour"), F.col("last_outage_end"))).drop("last_hour")
+
+
+def coverage_timeline(states: DataFrame) -> DataFrame:
+    """Spans of hours in a row that share a band: online, outage, warm-up, or
+    padded (all else); ``end_utc`` is the hour after the last."""
+    s = F.col("row_state")
+    band = F.when(s.isin("online_complete", "online_partial"), "online").when(s == "true_outage", "outage").when(s == "warmup", "warmup").otherwise("padded")
+    runs = TL.islands(states.select("station_id", "hour_utc", band.alias("band")), ["station_id"], 1, reset=F.col("band"))
+    out = runs.groupBy("station_id", "island").agg(F.first("band").alias("band"), F.min("hour_utc").alias("start_utc"), F.max("hour_utc").alias("last"), F.count(F.lit(1)).alias("hours"))
+    return out.select("station_id", "band", "start_utc", (F.col("last") + F.expr("interval 1 hour")).alias("end_utc"), "hours")

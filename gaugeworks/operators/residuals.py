@@ -193,3 +193,23 @@ def agreement_gate(episodes: DataFrame, residuals: DataFrame, margin: float = 2.
     out = spans.join(med, spans.columns, "left")
     agrees = (F.signum("p50") == F.signum("reference_median")) & (F.abs("reference_median") >= margin)
     return out.withColumn("gate", F.when(F.col("reference_median").isNull(), "unavailable").when(agrees, "kept").otherwise("gated"))
+
+
+def lag_summary(scan: DataFrame) -> DataFrame:
+    """One row: the lag that most stations have (the smallest of equal ones), how
+    many have it, and their share of all. Null and zero for an empty scan."""
+    each = scan.groupBy("best_lag").agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("best_lag").isNotNull(), F.struct("n", (-F.col("best_lag")).alias("k")))
+    one = each.agg(F.max(known).alias("top"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    count = F.coalesce(F.col("top.n"), F.lit(0))
+    return one.select((-F.col("top.k")).alias("modal_lag"), count.alias("n"), F.round(F.coalesce(count / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0)), 6).alias("share"))
+
+
+def clear_day_ratio(frame: DataFrame, ratio: str, top: float = 0.1) -> DataFrame:
+    """Per station: the median of its clearest days, those at or above the upper
+    ``top`` of its daily median ratios, and how many they are."""
+    rows = frame.where(F.col(ratio).isNotNull())
+    daily = rows.groupBy("station_id", F.to_date("hour_utc").alias("day")).agg(F.round(F.median(ratio), 6).alias("daily"))
+    edge = daily.groupBy("station_id").agg(F.round(F.percentile("daily", 1 - top), 9).alias("edge"))
+    met = daily.join(edge, "station_id").where(F.col("daily") >= F.col("edge"))
+    return met.groupBy("station_id").agg(F.round(F.median("daily"), 6).alias("clear_day_ratio"), F.count(F.lit(1)).alias("n_days"))

@@ -20,18 +20,35 @@ def prepare(grid: DataFrame) -> DataFrame:
     return grid.select(K, "hour_utc", off.alias("is_outage"), (~off).alias("is_scoreable"))
 
 
-def future_targets(states: DataFrame, horizons=(1, 6, 24), target: str = "is_outage", scoreable: str = "is_scoreable") -> DataFrame:
+def future_targets(states: DataFrame, horizons=(1, 6, 24), target: str = "is_outage", scoreable: str = "is_scoreable", excluded: str | None = None) -> DataFrame:
     """Per horizon: whether the target occurs in the next rows, and whether the
-    row may be scored: it is scoreable and its whole future is known."""
+    row may be scored: it is scoreable and its whole future is known. With
+    ``excluded``, also whether such a row lies in that future."""
     out = {}
     for h in horizons:
         w = TL.ahead(h, K)
         whole = (F.count(F.lit(1)).over(w) == h) & F.coalesce(scoreable, F.lit(False))
         out[f"eligible_{h}h"] = whole
         out[f"y_{h}h"] = F.when(whole, F.max(F.coalesce(target, F.lit(False)).cast("int")).over(w)).otherwise(0)
+        if excluded:
+            out[f"future_excluded_{h}h"] = whole & F.coalesce(F.max(F.coalesce(excluded, F.lit(False))).over(w), F.lit(False))
     return states.withColumns(out)
 
 
+def fault_states(states: DataFrame, labels: DataFrame, component: str | None = None) -> DataFrame:
+    """Hours of ``states`` (with ``row_state``) with the fault target of
+    ``labels (state, components)``, of one component if named. An hour without a
+    label, or under review, is excluded; one of these or of the warm-up is not
+    scoreable."""
+    met = states.select(K, "hour_utc", "row_state").join(labels.select(K, "hour_utc", "state", "components"), [K, "hour_utc"], "left")
+    fault = F.coalesce(F.col("state") == "fault", F.lit(False))
+    if component is not None:
+        fault = fault & F.coalesce(F.array_contains(C.tokens(F.col("components")), component), F.lit(False))
+    out = F.coalesce(F.col("state") == "excluded", F.lit(True))
+    warm = F.coalesce(F.col("row_state") == "warmup", F.lit(False))
+    return met.select(K, "hour_utc", fault.alias("is_fault"), (~out & ~warm).alias("is_scoreable"), out.alias("is_excluded"))
+
+
 def features(states: DataFrame) -> DataFrame:
     """Shares of missing hours, gap starts, time since the last gap, up-time and
     the network's state, of the past and present only."""
