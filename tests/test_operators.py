@@ -9,7 +9,7 @@ from gaugeworks.functions import channels as CH
 from gaugeworks.functions import columns as C
 from gaugeworks.operators import availability as A
 from gaugeworks.operators import evaluation as E
-from gaugeworks.operators import graph, labels, residuals, risk, rules, serving
+from gaugeworks.operators import comparison, corroboration, graph, labels, residuals, risk, rules, serving
 from gaugeworks.operators import timeline as TL
 from gaugeworks.sources import files
 from gaugeworks.sources.scratch import Scratch
@@ -202,3 +202,51 @@ def test_offsets_keep_channels_apart_and_ask_more_of_a_medium_score(spark):
     assert ("z", False, False) not in got and ("x", False, False) in got and ("w", False, False) in got
     episodes = residuals.offset_episodes(flagged, rule, 1, 0.1)
     assert sorted((r.channel, r.flagged_hours) for r in episodes.collect() if r.station_id == "z") == [("pressure_max_hpa", 3), ("temp_avg_c", 1), ("temp_avg_c", 2)]
+
+
+def test_reconstruction_check_counts_keys_and_differences(spark):
+    shape = "station_id string, hour_utc timestamp_ntz, x double"
+    a = spark.createDataFrame([("s", at(0), 1.0), ("s", at(1), None), ("s", at(2), 2.0)], shape)
+    b = spark.createDataFrame([("s", at(0), 1.0 + 1e-13), ("s", at(1), None), ("s", at(2), 2.1)], shape)
+    assert tuple(comparison.reconstruction_check(a, b, ["x"]).first()) == (True, 3, 1, False)
+    assert tuple(comparison.reconstruction_check(a, a, ["x"]).first()) == (True, 3, 0, True)
+    assert tuple(comparison.reconstruction_check(a, b.limit(2), ["x"]).first()) == (False, 0, 0, False)
+    assert tuple(comparison.reconstruction_check(a.limit(0), b.limit(0), ["x"]).first()) == (True, 0, 0, True)
+
+
+def test_lag_summary_takes_the_smallest_of_equal_lags(spark):
+    scan = spark.createDataFrame([("a", 1), ("b", 1), ("c", -2), ("d", -2), ("e", None)], "station_id string, best_lag int")
+    assert tuple(residuals.lag_summary(scan).first()) == (-2, 2, 0.4)
+    assert tuple(residuals.lag_summary(scan.limit(0)).first()) == (None, 0, 0.0)
+
+
+def test_fault_states_by_component_and_exclusion(spark):
+    states = spark.createDataFrame([("s", at(h), "warmup" if h == 3 else "online_complete") for h in range(5)], "station_id string, hour_utc timestamp_ntz, row_state string")
+    labels = spark.createDataFrame([("s", at(0), "fault", "barometer|rain_gauge"), ("s", at(1), "excluded", ""), ("s", at(2), "clean", ""), ("s", at(3), "fault", "rain_gauge")], "station_id string, hour_utc timestamp_ntz, state string, components string")
+    got = lambda c: [tuple(r)[2:] for r in risk.fault_states(states, labels, c).orderBy("hour_utc").collect()]
+    assert got(None) == [(True, True, False), (False, False, True), (False, True, False), (True, False, False), (False, False, True)]
+    assert [g[0] for g in got("barometer")] == [True, False, False, False, False]
+    ahead = risk.future_targets(risk.fault_states(states, labels), (1,), target="is_fault", excluded="is_excluded").orderBy("hour_utc").collect()
+    assert [(r.eligible_1h, r.y_1h, r.future_excluded_1h) for r in ahead] == [(True, 0, True), (False, 0, False), (True, 1, False), (False, 0, False), (False, 0, False)]
+
+
+def test_corroboration_has_a_row_per_episode_or_station(spark):
+    spans = [("a", at(0), at(9)), ("a", at(20), at(29))]
+    episodes = spark.createDataFrame([(*s, "t", "high", 8, 10, 2.0, 4.0) for s in spans] + [("b", at(0), at(9), "other", "high", 8, 10, 2.0, 4.0)],
+        "station_id string, start_utc timestamp_ntz, end_utc timestamp_ntz, channel string, tier string, flagged_hours long, span_hours long, p50 double, peak double")
+    support = spark.createDataFrame([(*spans[0], 5, 1.0, "same_direction")], "station_id string, start_utc timestamp_ntz, end_utc timestamp_ntz, spatial_hours long, spatial_median double, spatial_support string")
+    metrics = spark.createDataFrame([("a", "t", 30, 0.1, 1.0, 0.2)], "station_id string, channel string, covered_hours long, median_z double, mad_z double, far_share double")
+    status = spark.createDataFrame([("a", "offset"), ("b", "clean")], "station_id string, status string")
+    got = corroboration.corroboration(metrics, episodes, support, status, "t").orderBy("station_id", "start_utc").collect()
+    assert [(r.run_id, r.verdict, r.covered_hours, r.spatial_support) for r in got] == [
+        ("calibration_t_a_01", "confirmed", 30, "same_direction"), ("calibration_t_a_02", "confirmed", 30, "unavailable"), ("", "clean", 0, "unavailable")]
+
+
+def test_borderline_needs_a_flagged_value_far_off_or_a_still_hour(spark):
+    labels = spark.createDataFrame([(n, "s", at(10 * i), at(10 * i + 5), f) for i, (n, f) in enumerate([("far", 0), ("flat", 0), ("none", 0), ("fault", 1)])], "label_id string, station_id string, start_utc timestamp_ntz, end_utc timestamp_ntz, binary_fault int")
+    keys = "station_id string, hour_utc timestamp_ntz, channel string"
+    flagged = spark.createDataFrame([("s", at(h), "t") for h in (2, 12, 22, 32)], keys)
+    external = spark.createDataFrame([("s", at(2), "t", -3.5), ("s", at(12), "t", 2.9), ("s", at(22), "u", 9.0), ("s", at(32), "t", 9.0)], keys + ", ref_z double")
+    flat = spark.createDataFrame([("s", at(13), "t")], keys)
+    got = {r.label_id: (r.label_state, r.external_residual, r.near_flatline) for r in corroboration.borderline(labels, flagged, external, flat).collect()}
+    assert got == {"far": ("borderline_review", True, False), "flat": ("borderline_review", False, True), "none": ("benign", False, False), "fault": ("fault", False, False)}
