@@ -2,8 +2,8 @@
 
 For each size of the items, every window of that many shingles that holds a
 shingle of an item gets a SimHash fingerprint, from running counts of each bit. The fingerprints of the items are
-indexed in ``BLOCKS`` blocks of 16 bits: per block, the values within ``NEAR``
-bits of an item's. Fingerprints that differ in at most ``RADIUS`` bits have one
+indexed in ``BLOCKS`` blocks of 16 bits: per block and value, the items within
+``NEAR`` bits of it. Fingerprints that differ in at most ``RADIUS`` bits have one
 such block, so the index retrieves all windows within the radius. What it
 retrieves is held against the item by the exact similarity of the bags.
 
@@ -165,22 +165,33 @@ class _Group:
 
 
 class _Index:
-    """The fingerprints of items of one size, by block."""
+    """The fingerprints of items of one size, by block: for each value of a
+    block, the items whose block differs from it in at most ``NEAR`` bits. A
+    value of 16 bits is near one item in 480, whatever their number."""
 
     def __init__(self, items: np.ndarray, prints: np.ndarray):
-        self.items, self.prints = items, prints[items]
-        self.first = np.arange(BLOCKS) << 16
-        self.near_block = np.zeros(BLOCKS << 16, dtype=bool)
-        self.near_block[(_blocks(self.prints)[:, :, None] ^ _masks()).astype(np.int64) + self.first[:, None]] = True
+        self.items, self.prints, masks = items, prints[items], _masks()
+        self.first, self.held = [], []
+        for block in _blocks(self.prints).T:
+            value = (block[:, None] ^ masks).reshape(-1)
+            self.held.append((np.argsort(value, kind="stable") // len(masks)).astype(np.int32))
+            self.first.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))]))
+
+    def candidates(self, prints: np.ndarray) -> np.ndarray:
+        """How many items the blocks of each fingerprint retrieve, repeats included."""
+        return sum(first[value.astype(np.int64) + 1] - first[value] for first, value in zip(self.first, _blocks(prints).T))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(place, item)`` of the fingerprints within the radius of an item's."""
-        # one byte per block, read as one word
-        at = np.flatnonzero(np.take(self.near_block, _blocks(prints) + self.first).view(np.uint32))
+        """``(place, item)`` of the fingerprints within the radius of an item's;
+        a pair that several blocks retrieve is given as often."""
         found = [np.zeros((2, 0), np.int64)]
-        for lo in range(0, len(self.prints), 32):
-            i, k = np.nonzero(np.bitwise_count(prints[at][:, None] ^ self.prints[lo : lo + 32]) <= RADIUS)
-            found.append(np.stack([at[i], self.items[lo + k]]))
+        for part in _parts(self.candidates(prints)) if len(prints) else ():
+            own = prints[part]
+            for first, held, value in zip(self.first, self.held, _blocks(own).T):
+                at, nth = K.ranges(first[value.astype(np.int64) + 1] - first[value])
+                item = held[first[value][at] + nth]
+                ok = np.flatnonzero(np.bitwise_count(own[at] ^ self.prints[item]) <= RADIUS)
+                found.append(np.stack([part.start + at[ok], self.items[item[ok]]]))
         return tuple(np.concatenate(found, axis=1))
 
 
@@ -254,7 +265,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: f
     against all documents in one pass without a shuffle. The work is that of the
     texts' shingles, of fingerprinting the windows around known ones once per
     size of the items, and of the pairs that an index retrieves: of unrelated
-    fingerprints about one in 120.
+    fingerprints and items of a size about one pair in 120.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
     total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()

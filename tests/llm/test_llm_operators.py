@@ -465,6 +465,20 @@ def brute_leaks(text: str, items: list[tuple[int, str]]) -> dict[int, float]:
     return out
 
 
+@pytest.mark.parametrize("n", [1, 50, 3000])
+def test_hamming_blocks_equal_all_pairs(n):
+    rng = np.random.default_rng(n)
+    items = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for k in range(16) for _ in range(40)]
+    prints = np.concatenate([items[rng.integers(0, n, len(flips))] ^ np.array(flips, np.uint64), rng.integers(0, 1 << 63, 3000, dtype=np.uint64)])
+    index = decontaminate._Index(np.arange(n) * 2, items)
+    place, item = index.near(prints)
+    want = np.nonzero(np.bitwise_count(prints[:, None] ^ items) <= decontaminate.RADIUS)
+    assert set(zip(place.tolist(), item.tolist())) == set(zip(want[0].tolist(), (want[1] * 2).tolist()))
+    assert index.candidates(prints[len(flips) :]).mean() < n / 80
+    assert all(len(x) == 0 for x in index.near(prints[:0]))
+
+
 def test_leaks_equal_all_windows(spark, docs):
     rng = random.Random(8)
     items = [(i, prose(rng, n)) for i, n in enumerate([1, 3, 5, 6, 20, 40, 80, 120])] + [(50, None), (51, ""), (52, "!?"), (53, "a b a b a b a b a b a b"), (None, prose(rng, 30))]
