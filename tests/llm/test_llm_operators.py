@@ -475,7 +475,7 @@ def test_hamming_blocks_equal_all_pairs(n):
     place, item = index.near(prints)
     want = np.nonzero(np.bitwise_count(prints[:, None] ^ items) <= decontaminate.RADIUS)
     assert set(zip(place.tolist(), item.tolist())) == set(zip(want[0].tolist(), (want[1] * 2).tolist()))
-    assert index.candidates(prints[len(flips) :]).mean() < n / 80
+    assert index.candidates(prints[len(flips) :]).mean() < max(n / 70, 0.1)
     assert all(len(x) == 0 for x in index.near(prints[:0]))
 
 
