@@ -471,7 +471,7 @@ def test_hamming_blocks_equal_all_pairs(n):
     items = rng.integers(0, 1 << 63, n, dtype=np.uint64)
     flips = [sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for k in range(16) for _ in range(40)]
     prints = np.concatenate([items[rng.integers(0, n, len(flips))] ^ np.array(flips, np.uint64), rng.integers(0, 1 << 63, 3000, dtype=np.uint64)])
-    index = decontaminate._Index(np.arange(n) * 2, items)
+    index = decontaminate._Index(np.arange(n) * 2, np.repeat(items, 2))
     place, item = index.near(prints)
     want = np.nonzero(np.bitwise_count(prints[:, None] ^ items) <= decontaminate.RADIUS)
     assert set(zip(place.tolist(), item.tolist())) == set(zip(want[0].tolist(), (want[1] * 2).tolist()))
