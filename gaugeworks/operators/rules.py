@@ -77,8 +77,13 @@ def anomaly_scores(hours: DataFrame, least_hours: int, share: float = 0.997) ->
     Channels number some dozens, so their thresholds are joined by broadcast.
     """
     long = unpivot(hours)
-    scored = limit_flags(stuck_flags(robust_scores(long, baselines(long, least_hours))))
-    met = scored.join(F.broadcast(thresholds(scored, share)), "channel", "left")
+    scored = robust_scores(long, baselines(long, least_hours))
+    return judged(scored, thresholds(scored, share))
+
+
+def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows with a score, and all their flags, by thresholds per channel."""
+    met = limit_flags(stuck_flags(scored)).join(F.broadcast(limits), "channel", "left")
     high = F.coalesce(F.abs(F.col("zscore")) >= F.col("threshold"), F.lit(False))
     met = met.withColumn("mad_high", high)
     reasons = F.concat_ws(
