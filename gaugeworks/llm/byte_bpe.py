@@ -28,8 +28,10 @@ from gaugeworks.llm import kernels as K
 
 #: Bytes of the longest piece that is encoded beside others.
 SIDE_BY_SIDE = 64
-#: Encoded pieces that a worker remembers; it starts anew beyond them.
-REMEMBERED = 300_000
+#: Bytes of encoded pieces that a worker remembers, with what a piece and its
+#: ids take beside their own bytes; it starts anew beyond them. Pieces over
+#: ``SIDE_BY_SIDE`` are held for one slice only.
+REMEMBERED, BESIDE = 64_000_000, 200
 _NONE = 1 << 30
 
 # Letters and numbers among the characters up to U+024F, and white space: fixed
@@ -71,6 +73,7 @@ class Vocabulary:
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
         self.latin, self.full = splitters(pattern)
         self.seen: dict[str, bytes] = {}
+        self.held, self.long = 0, []
 
     def split(self, text: str) -> list[str]:
         return (self.full if _BEYOND.search(text) else self.latin).findall(text)
@@ -174,21 +177,27 @@ class Vocabulary:
 
     # ------------------------------------------------------------- texts
     def learn(self, pieces) -> None:
-        """Encode the pieces that are not remembered."""
+        """Encode the pieces that are not remembered; all of them can be looked
+        up in ``seen`` until the next call."""
         seen = self.seen
-        wanted = set(pieces)
-        fresh = [p for p in wanted if p not in seen]
-        if len(seen) + len(fresh) > REMEMBERED:
+        for p in self.long:
+            del seen[p]
+        self.long = []
+        if self.held > REMEMBERED:
             seen.clear()
-            fresh = wanted
+            self.held = 0
+        fresh = [p for p in set(pieces) if p not in seen]
         by_size: dict[int, tuple[list[str], list[bytes]]] = {}
         for p in fresh:
             raw = p.encode()
             whole = self.rank.get(raw)
+            if len(raw) > SIDE_BY_SIDE:
+                seen[p] = self.encode_long(raw) if whole is None else whole.to_bytes(4, "little")
+                self.long.append(p)
+                continue
+            self.held += 2 * len(raw) + BESIDE
             if whole is not None:
                 seen[p] = whole.to_bytes(4, "little")
-            elif len(raw) > SIDE_BY_SIDE:
-                seen[p] = self.encode_long(raw)
             else:
                 names, raws = by_size.setdefault((len(raw) - 1).bit_length(), ([], []))
                 names.append(p)

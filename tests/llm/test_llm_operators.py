@@ -143,8 +143,11 @@ def test_bpe_forgets_pieces_without_losing_any(monkeypatch, texts):
 
     vocab = byte_bpe.Vocabulary(str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
     whole = vocab.encode([t or "" for t in texts])
-    monkeypatch.setattr(byte_bpe, "REMEMBERED", 20)
+    vocab.encode(["y" * 500 + " no"])
+    assert all(len(p.encode()) <= byte_bpe.SIDE_BY_SIDE or p in vocab.long for p in vocab.seen) and vocab.held >= byte_bpe.BESIDE * (len(vocab.seen) - 1)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2000)
     assert [vocab.encode([t or ""])[0] for t in texts] == whole
+    assert vocab.held < 100_000
 
 
 # ------------------------------------------------------------- 3 secrets
