@@ -17,7 +17,6 @@ from gaugeworks.sources.scratch import Scratch
 #: of a station a day, and no value that rests: hours of a day, stations, the
 #: window of stuck values and its variance.
 HOURS, STATIONS, STUCK, VARIANCE = 1, 3, 4, 60.0
-_KINDS = [F.lit(x) for c, kind in S.EVENT_OF.items() for x in (kind, c)]
 
 
 def _days(s, d):
@@ -39,7 +38,8 @@ def _dominant(s, d):
 
 
 def _confirmed(s, d):
-    samples = S.five_minute(s, d).withColumn("channel", F.element_at(F.create_map(*_KINDS), F.col("event_type"))).drop("event_type")
+    kinds = F.create_map(*[F.lit(x) for c, kind in S.EVENT_OF.items() for x in (kind, c)])
+    samples = S.five_minute(s, d).withColumn("channel", F.element_at(kinds, F.col("event_type"))).drop("event_type")
     return M.confirm(samples, Scratch(s, "stuck").keep(_dominant(s, d), "chosen"))
 
 
