@@ -87,3 +87,22 @@ def spatial_features(grid: DataFrame, channels: list[str], radius_km: float, lea
     the future change nothing before them."""
     now = spatial_now(grid, neighbours(registry_of(grid), radius_km), channels, least)
     return summaries(now, [f"residual_{c}" for c in channels])
+
+
+def detector_counts(rows: DataFrame, flags: list[str], hours: int = 24) -> DataFrame:
+    """``rows`` with how many of the last ``hours`` hours, the row's own
+    included, had each flag."""
+    w = TL.back(hours, "station_id")
+    return rows.withColumns({f"{f}_count_{hours}h": F.sum(F.coalesce(F.col(f), F.lit(False)).cast("int")).over(w) for f in flags})
+
+
+def forecast_features(grid: DataFrame, reference: DataFrame, channels: list[str], lags=LAGS, windows=WINDOWS) -> DataFrame:
+    """Per row of a grid and for every channel: the value now and its residual to
+    the reference of the hour (``raw_<c>``, ``ext_<c>``), their changes and the
+    summaries of the hours before, and whether the station sends, with its count
+    of hours that it did not. Nothing reads a later hour; all windows share one
+    order of a station's hours."""
+    own = grid.join(reference, "hour_utc", "left").select(
+        *K, (F.col("data_present") == 0).alias("absent"), *[F.col(c).alias(f"raw_{c}") for c in channels], *[(F.col(c) - F.col(f"ref_{c}")).alias(f"ext_{c}") for c in channels]
+    )
+    return detector_counts(summaries(own, [f"{n}_{c}" for c in channels for n in ("raw", "ext")], lags, windows), ["absent"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gaugeworks.plans import availability_queries, causal_queries, cluster_queries, comparison_queries, corroboration_queries, detection_queries, evidence_queries, forecast_queries, hazard_queries, health_queries, ratio_queries, reason_queries, selection_queries, serving_queries, split_queries
+from gaugeworks.plans import audit_queries, availability_queries, causal_queries, cluster_queries, comparison_queries, corroboration_queries, detection_queries, evidence_queries, forecast_queries, hazard_queries, health_queries, ratio_queries, reason_queries, selection_queries, serving_queries, split_queries
 
-_PARTS = (availability_queries, causal_queries, cluster_queries, comparison_queries, corroboration_queries, detection_queries, evidence_queries, forecast_queries, hazard_queries, health_queries, ratio_queries, reason_queries, selection_queries, serving_queries, split_queries)
+_PARTS = (audit_queries, availability_queries, causal_queries, cluster_queries, comparison_queries, corroboration_queries, detection_queries, evidence_queries, forecast_queries, hazard_queries, health_queries, ratio_queries, reason_queries, selection_queries, serving_queries, split_queries)
 
 
 def queries():
