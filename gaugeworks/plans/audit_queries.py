@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import causal as U
 from gaugeworks.operators import comparison as C
 from gaugeworks.operators import health as H
+from gaugeworks.operators import outputs as O
 from gaugeworks.operators import risk
 from gaugeworks.operators import serving as V
+from gaugeworks.plans import availability_queries as AQ
+from gaugeworks.plans import comparison_queries as CQ
 from gaugeworks.plans import health_queries as Q
+from gaugeworks.plans import serving_queries as SQ
 from gaugeworks.plans.base_sql import CH, with_tables
 from gaugeworks.plans.causal_queries import CUTS
 from gaugeworks.sources import stations as S
@@ -68,7 +72,28 @@ def _rebuilt(s, d):
     return C.reconstruction_check(scored, again, ["health_total", "base_total"])
 
 
+def _card(s, d):
+    return V.scorecard(Q._scores(s, d), S.registry(s), SQ._ref())
+
+
+def _written(s, d):
+    """All bundles, written to a folder; rows per table."""
+    scratch = Scratch(s, "outputs")
+    states, scored = scratch.keep(AQ._states(s, d), "states"), scratch.keep(Q._scores(s, d), "scored")
+    bundles = {
+        "availability": (O.availability_tables(states, S.registry(s)), {"states": states}), "health": (O.health_tables(scored), {"scored": scored}),
+        "scorecard": (O.scorecard_tables(scratch.keep(V.scorecard(scored, S.registry(s), SQ._ref()), "card")), {"scored": scored}),
+    }
+    out = None
+    for run, (tables, inputs) in bundles.items():
+        one = O.write(s, f"{scratch.root}/out", run, tables, inputs).select(F.lit(run).alias("run"), "name", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "written_outputs": _written,
+    "scorecard_distribution": lambda s, d: O.distribution(_card(s, d)),
     "causal_channel_features": lambda s, d: _features(S.grid(S.station_hours(s, d))).select(*U.K, *[F.round(c, 6).alias(c) for c in [*_SERIES, *SUMMED]], "absent_count_24h"),
     "health_future": _health_future,
     "features_future": _features_future,
@@ -90,7 +115,26 @@ def _nothing(cuts, rows: str) -> str:
     return f"SELECT strftime(hour_utc, '%Y-%m-%d %H:%M:%S') AS cutoff, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM ({rows}) WHERE hour_utc IN ({_stamps(cuts)}) GROUP BY 1"
 
 
+def _rows(run: str, name: str, query: str) -> str:
+    return f"SELECT '{run}' AS run, '{name}' AS name, (SELECT count(*) FROM ({query})) AS rows"
+
+
+_TABLES = [
+    *[("availability", n, AQ.ORACLE_SQL[q]) for n, q in (
+        ("availability_classes", "availability_classes"), ("outage_events", "outage_classes"), ("partial_outage_events", "partial_outage_events"), ("network_windows", "network_windows"),
+        ("sensor_group_availability", "sensor_group_availability"), ("outage_duration_buckets", "outage_duration_buckets"), ("outage_duration_summary", "outage_duration_summary"), ("station_reliability", "reliability_summary"))],
+    ("availability", "structural_gaps", "SELECT 1 WHERE false"),
+    *[("health", n, Q.ORACLE_SQL[q]) for n, q in (("health_scores", "health_scores"), ("station_summary", "health_station_summary"), ("histogram", "health_histogram"), ("change_summary", "health_change_summary"), ("component_correlation", "health_component_correlation"))],
+    ("health", "version_comparison", CQ.ORACLE_SQL["health_version_comparison"]), ("health", "reconstruction", "SELECT 1"),
+    *[("scorecard", n, SQ.ORACLE_SQL[q]) for n, q in (("scorecard", "scorecard"), ("inconsistencies", "scorecard_checks"), ("null_audit", "scorecard_nulls"))],
+]
+_DIST = """SELECT 'health_band' AS category, coalesce(health_band, 'none') AS value, count(*) AS n FROM card GROUP BY 2 UNION ALL SELECT 'status', coalesce(status, 'none'), count(*) FROM card GROUP BY 2
+  UNION ALL SELECT 'active_outage', 'yes', count(*) FILTER (WHERE status = 'full_outage') FROM card"""
+_CARD = f"WITH card AS ({SQ.ORACLE_SQL['scorecard']}) "
+
 ORACLE_SQL = {
+    "written_outputs": " UNION ALL ".join([_rows(*t) for t in [*_TABLES, ("scorecard", "distribution", _CARD + _DIST)]]),
+    "scorecard_distribution": _CARD + _DIST,
     "causal_channel_features": with_tables("grid ref", f"SELECT station_id, hour_utc, {', '.join(f'round({c}, 6) AS {c}' for c in _SERIES)}, "
         + ", ".join(f"round({c} - lag({c}, {k}) {_W}), 6) AS {c}_delta_{k}h" for c in _SERIES for k in U.LAGS) + ", "
         + ", ".join(f"round({_CALL[n]}({c}) {_W} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 6) AS {c}_{n}_{w}h" for c in _SERIES for w in U.WINDOWS for n in _CALL)
