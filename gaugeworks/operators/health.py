@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import channels as CH
 from gaugeworks.functions import columns as C
+from gaugeworks.operators import sliding
 from gaugeworks.operators import timeline as TL
 from gaugeworks.sources.stations import hours_between
 
@@ -77,8 +78,9 @@ def health_grid(grid: DataFrame) -> DataFrame:
 def scores(grid: DataFrame, reference: DataFrame, win: Windows = Windows()) -> DataFrame:
     """Health of every station-hour with enough history, with its components.
 
-    All windows are by station over the same order, so they share one exchange
-    and one sort; the fleet's median per hour takes a second exchange.
+    Windows are by station over the same order, so they share one exchange and
+    one sort before the sliding medians, and one after; the fleet's median per
+    hour takes another.
     """
     key = "station_id"
     hist = TL.back(win.history, key)
@@ -98,15 +100,10 @@ def scores(grid: DataFrame, reference: DataFrame, win: Windows = Windows()) -> D
         }
     )
 
-    before = TL.prior(win.current, key)
-    severe = {}
-    for c, scale in SCALES.items():
-        r = F.col(f"res_{c}")
-        med = TL.at_least(F.percentile(r, 0.5), r, before, win.current_least)
-        severe[f"sev_{c}"] = C.clip(F.abs(r - med) / scale, 0.0, 1.0)
-    long = TL.prior(win.baseline, key)
-    p = F.col("res_pressure_max_hpa")
-    s = s.withColumns(severe | {"pressure_base": TL.at_least(F.percentile(p, 0.5), p, long, win.baseline_least)})
+    frames = {f"med_{c}": sliding.Frame(f"res_{c}", win.current, win.current_least, prior=True) for c in SCALES}
+    s = sliding.medians(s, [key], frames | {"pressure_base": sliding.Frame("res_pressure_max_hpa", win.baseline, win.baseline_least, prior=True)})
+    severe = {f"sev_{c}": C.clip(F.abs(F.col(f"res_{c}") - F.col(f"med_{c}")) / scale, 0.0, 1.0) for c, scale in SCALES.items()}
+    s = s.withColumns(severe).drop(*frames)
     known = F.filter(F.array(*severe), lambda x: x.isNotNull())
     mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
     adverse = ~F.col("is_transmitting") | (F.col("availability_class") == "partial_outage") | F.col("physical") | F.col("stuck")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators import sliding
 from gaugeworks.sources.stations import hours_between
 
 
@@ -117,19 +118,8 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return centre.join(spread, keys).select(*keys, "n", "median", "mad")
 
 
-def middle(ordered: Column) -> Column:
-    """Median of a sorted array without nulls; null of an empty one."""
-    n = F.size(ordered)
-    low, high = F.floor((n + 1) / 2).cast("int"), (F.floor(n / 2) + 1).cast("int")
-    return F.when(n > 0, (F.element_at(ordered, F.greatest(low, F.lit(1))) + F.element_at(ordered, high)) / 2)
-
-
 def rolling_median_mad(df: DataFrame, value: str, keys: list[str], window: int, least: int, order: str = "hour_utc") -> DataFrame:
     """Median and MAD of the last ``window`` rows, null under ``least`` values.
-    The MAD is taken in the frame, around the frame's own median; both are read
-    off one sorted array of at most ``window`` values."""
-    frame = F.array_sort(F.collect_list(value).over(back(window, *keys, order=order)))
-    out = df.withColumn("__frame", frame)
-    out = out.withColumn(f"base_{value}", F.when(F.size("__frame") >= least, middle(F.col("__frame"))))
-    out = out.withColumn("__dev", F.array_sort(F.transform("__frame", lambda x: F.abs(x - F.col(f"base_{value}")))))
-    return out.withColumn(f"bmad_{value}", F.when(F.col(f"base_{value}").isNotNull(), middle(F.col("__dev")))).drop("__frame", "__dev")
+    The MAD is taken in the frame, around the frame's own median."""
+    frame = sliding.Frame(value, window, max(least, 1))
+    return sliding.medians(df, keys, {f"base_{value}": frame}, {f"base_{value}": f"bmad_{value}"}, order)
