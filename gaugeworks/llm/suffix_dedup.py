@@ -64,6 +64,11 @@ def _least_at(x: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Bytes of segments, and beside each, that a task holds to find equal ones before
+#: it sends them on. Equal segments that it sends apart meet by name all the same.
+HELD, HELD_BESIDE = 48_000_000, 150
+
+
 class Segments:
     """The segments of some texts: ``name``, ``start`` in the bytes, ``windows``
     and the text's number."""
@@ -319,6 +324,20 @@ def _segments_of(docs: DataFrame, repeated: Names, crowded: Names, span: int) ->
         known, crowd = Names(bits, words), Names(crowded_bits, crowded_words)
         kept: list[list[np.ndarray]] = [[] for _ in range(6)]
         texts: list[bytes] = []
+
+        def flush():
+            """What is kept, without what equals something else in it."""
+            cols = [np.concatenate(k) for k in kept]
+            first, later, lead = _not_first(*cols[:5])
+            same = np.array([texts[i] == texts[j] for i, j in zip(later.tolist(), lead.tolist())], dtype=bool)
+            first, later = np.concatenate([first, later[~same]]), later[same]
+            yield from _found(*(c[later] for c in cols[2:]), span)
+            yield from _records([c[first] for i, c in enumerate(cols) if i != 1], [texts[i] for i in first.tolist()], False)
+            texts.clear()
+            for k in kept:
+                k.clear()
+
+        held = 0
         for batch in batches:
             for part in K.slices(batch):
                 buf, offsets = K.text_bytes(part)
@@ -339,13 +358,12 @@ def _segments_of(docs: DataFrame, repeated: Names, crowded: Names, span: int) ->
                     to.append(c[first])
                 raw = buf.tobytes()
                 texts += [raw[a:b] for a, b in zip(start[first].tolist(), (start + size)[first].tolist())]
+                held += int(size[first].sum()) + HELD_BESIDE * len(first)
+                if held > HELD:
+                    yield from flush()
+                    held = 0
         if texts:
-            cols = [np.concatenate(k) for k in kept]
-            first, later, lead = _not_first(*cols[:5])
-            same = np.array([texts[i] == texts[j] for i, j in zip(later.tolist(), lead.tolist())], dtype=bool)
-            first, later = np.concatenate([first, later[~same]]), later[same]
-            yield from _found(*(c[later] for c in cols[2:]), span)
-            yield from _records([c[first] for i, c in enumerate(cols) if i != 1], [texts[i] for i in first.tolist()], False)
+            yield from flush()
 
     return docs.mapInArrow(run, _ROW)
 
