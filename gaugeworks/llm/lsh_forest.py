@@ -15,16 +15,18 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.scratch import Scratch
 
 SHARD, TREES, DEPTH = 8192, 48, 32
 #: Rows that the centre of the projections is taken from: a documented sample, of no weight for the results' exactness.
 SAMPLE = 2000
-#: Queries that are held against all vectors in one pass.
-QUERIES = 4096
+#: Bytes of queries that are held against all vectors in one pass.
+QUERY_BYTES = 32_000_000
 
 
 def projections(dim: int, trees: int, depth: int, seed: int = 1) -> np.ndarray:
@@ -97,32 +99,40 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, enough: int = SHAR
     part, nor do those without an id or of another number of components than
     most. Rows of a query's id are its own and no candidates; a repeated vector
     is a candidate of each of its ids, a repeated id counts once. With fewer
-    than ``k`` candidates all are returned. Other columns are ignored.
+    than ``k`` candidates all are returned; of unlike vectors of one query id
+    the least, by its components in order, asks. Other columns are ignored.
 
     ``enough`` counts the entries that the trees of a shard yield in sum before
-    they stop ascending. Queries are sent out in blocks of ``QUERIES``.
+    they stop ascending. Queries are written once and sent out in blocks of
+    ``QUERY_BYTES``; with several, what a block finds is written before the next
+    is sent, so that neither the plan nor what executors hold grows with them.
     """
     spark = vectors.sparkSession
     sizes = usable(vectors).groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     most = sizes.orderBy(F.desc("n"), "dim").first()
     dim, total = (most.dim, most.n) if most else (1, 0)
     rows = usable(vectors, dim)
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    blocks = max(1, ceil(asked.count() / QUERIES))
+    scratch = Scratch(spark, "forest")
+    asked = scratch.keep(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
+    blocks = max(1, ceil(asked.count() * 8 * dim / QUERY_BYTES))
     sample = np.array([r.v for r in rows.limit(SAMPLE).collect()]).reshape(-1, dim)
     centre = sample.mean(axis=0) if len(sample) else np.zeros(dim)
     dealt = rows.repartition(max(1, ceil(total / SHARD)), "vec_id")
-    parts = [_block(spark, dealt, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), dim, centre, k, enough) for b in range(blocks)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = None
+    for b in range(blocks):
+        part, sent = _block(spark, dealt, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), dim, centre, k, enough)
+        if blocks > 1:
+            part = scratch.keep(part, "found")
+            sent.destroy()
+        found = part if found is None else found.unionByName(part)
     # a repeated id may be found twice in its shard; the nearer row counts
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _block(spark, dealt: DataFrame, asked: DataFrame, dim: int, centre: np.ndarray, k: int, enough: int) -> DataFrame:
+def _block(spark, dealt: DataFrame, asked: DataFrame, dim: int, centre: np.ndarray, k: int, enough: int) -> tuple[DataFrame, Broadcast]:
+    """What the shards find for some queries, and the queries as sent to them."""
     got = asked.collect()
     ids = np.array([r.vec_id for r in got], dtype=np.int64)
     q = np.array([r.v for r in got], dtype=np.float64).reshape(-1, dim)
@@ -152,4 +162,4 @@ def _block(spark, dealt: DataFrame, asked: DataFrame, dim: int, centre: np.ndarr
                 out[2].append(d[best])
         yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double"), sent
