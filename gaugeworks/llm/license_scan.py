@@ -55,6 +55,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 
+#: Shingles that are verified in one step, and bytes that templates may have.
+VERIFIED, MOST_BYTES = 2_000_000, 32_000_000
 #: Notices that grant nothing; of fewer words than a shingle.
 RESERVED: dict[str, tuple[str, ...]] = {"All-rights-reserved": ("All rights reserved.",)}
 
@@ -85,10 +87,12 @@ class Templates:
         self.size = np.array([len(r) for r in runs], dtype=np.int64)
         self.step = np.maximum(self.size // 4, 1)
         self.known = K.HashSet(np.concatenate(runs) if runs else np.zeros(0, np.uint64))
-        self.has = np.zeros((len(runs), len(self.known.values)), dtype=bool)
+        # which template has which shingle, as numbers in order, and how many each has
+        place = np.repeat(np.arange(len(runs)), self.size) * len(self.known.values) + np.searchsorted(self.known.values, flat) if runs else np.zeros(0, np.int64)
+        self.has = np.unique(place)
+        self.distinct = np.bincount(self.has // max(len(self.known.values), 1), minlength=len(runs))
         mins = set()
         for t, run in enumerate(runs):
-            self.has[t, np.searchsorted(self.known.values, run)] = True
             mins |= {(int(run[np.argmin(run * s)]), t) for s in _SALTS}
         self.bands = minhashes(np.concatenate(runs), np.concatenate([[0], np.cumsum(self.size)])) if runs else None
         pairs = sorted(mins)
@@ -111,8 +115,8 @@ class Templates:
         own, nth = K.ranges((at - head) // step - low + 1)
         cand = np.unique(np.stack([doc[own], t[own], head[own] + (low[own] + nth) * step[own]], axis=1), axis=0)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for lo in range(0, len(cand), 20000):
-            doc, t, start = cand[lo : lo + 20000].T
+        for part in _parts(self.size[cand[:, 1]] + 2 * self.step[cand[:, 1]]):
+            doc, t, start = cand[part].T
             stop = np.minimum(start + self.size[t], begin[doc + 1])
             which, nth = K.ranges(stop - start)
             bands = minhashes(flat[start[which] + nth], np.concatenate([[0], np.cumsum(stop - start)]))
@@ -124,9 +128,10 @@ class Templates:
             if not len(which):
                 continue
             place, shingle = self.known.find(flat[begin_at[which] + nth])
-            inside = self.has[t[which[place]], shingle]
+            code = t[which[place]] * len(self.known.values) + shingle
+            inside = self.has[np.minimum(np.searchsorted(self.has, code), len(self.has) - 1)] == code
             seen = np.unique(which[place[inside]] * len(self.known.values) + shingle[inside])
-            share = np.bincount(seen // len(self.known.values), minlength=len(doc)) / self.has[t].sum(axis=1)
+            share = np.bincount(seen // len(self.known.values), minlength=len(doc)) / self.distinct[t]
             for i in np.flatnonzero(share >= containment - 1e-12).tolist():
                 key = (int(doc[i]), int(t[i]))
                 if share[i] > best.get(key, (0.0, 0))[0]:
@@ -134,7 +139,30 @@ class Templates:
         return [(d, k, c, s) for (d, k), (c, s) in sorted(best.items())]
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, width: int = 5, containment: float = 0.8) -> DataFrame:
+def _parts(sizes: np.ndarray):
+    """Slices of about ``VERIFIED`` shingles in sum; a larger one is a slice."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + VERIFIED, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def from_table(templates: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Templates of a table ``(name, text)``, a name with several texts once;
+    nulls are left out. Over ``MOST_BYTES`` of texts are an error: every task
+    holds all of them."""
+    rows = templates.where("name is not null and text is not null").select("name", "text").distinct()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of templates; {MOST_BYTES} at most")
+    out: dict[str, list[str]] = {}
+    for r in sorted(map(tuple, rows.collect())):
+        out.setdefault(r[0], []).append(r[1])
+    return {n: tuple(t) for n, t in out.items()}
+
+
+def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | DataFrame | None = None, width: int = 5, containment: float = 0.8) -> DataFrame:
     """``(doc_id, license, containment, first_word)``: each license of which a
     row of ``docs`` holds a notice, with its best window.
 
@@ -145,9 +173,12 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, w
     shorter texts hold none; a license with several notices gives the best of
     them; repeated rows each give their rows. Other columns are ignored.
 
-    Templates are a parameter of stated size; the texts are read once, without a
-    shuffle.
+    Templates are a parameter, also as a table ``(name, text)``, of bounded size;
+    of windows that hold as much the earliest counts. The texts are read once,
+    without a shuffle.
     """
+    if isinstance(templates, DataFrame):
+        templates = from_table(templates)
     flat = [(name, text) for name, texts in (TEMPLATES | RESERVED if templates is None else templates).items() for text in texts]
     names, texts = [f[0] for f in flat], [f[1] for f in flat]
 

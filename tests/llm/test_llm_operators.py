@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -226,6 +227,12 @@ def test_a_common_string_in_many_places(spark, monkeypatch):
     assert collected(suffix_dedup.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(found.values(), key=repr)
 
 
+def test_repeats_do_not_depend_on_what_a_task_holds(docs, monkeypatch):
+    want = collected(suffix_dedup.digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    monkeypatch.setattr(suffix_dedup, "HELD", 3000)
+    assert collected(suffix_dedup.digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_suffix_order_sorts_any_bytes():
     rng = np.random.default_rng(0)
     for size, top in ((1, 2), (2, 2), (300, 2), (500, 4), (400, 256)):
@@ -237,6 +244,23 @@ def test_suffix_order_sorts_any_bytes():
 
 
 # ------------------------------------------------------------ 5 neighbours
+def test_whole_license_texts_of_a_table_are_found(spark, monkeypatch):
+    folder, rng = Path("/usr/share/common-licenses"), random.Random(2)
+    texts = {p.name: p.read_text(errors="replace") for p in sorted(folder.glob("*")) if p.is_file() and not p.is_symlink()} if folder.is_dir() else {}
+    texts |= {f"made-{i}": prose(rng, 1500, 5000) for i in range(20 - min(len(texts), 20) + 8)}
+    assert len(texts) >= 20
+    table = spark.createDataFrame([*texts.items(), ("none", None), (None, "x"), ("empty", "")], "name string, text string")
+    rows = [(i, f"{prose(rng, 60)} {t} {prose(rng, 30)}", "clash", 1) for i, t in enumerate(texts.values())] + [(900, prose(rng, 800), "", 2), (901, None, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string, containment int")
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.scan(docs, table).collect()}
+    assert all(got[i, name] == 1.0 for i, name in enumerate(texts)) and not {d for d, _ in got} & {900, 901}
+    monkeypatch.setattr(license_scan, "VERIFIED", 5000)
+    assert {(r.doc_id, r.license): r.containment for r in license_scan.scan(docs, table).collect()} == got
+    monkeypatch.setattr(license_scan, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError, match="at most"):
+        license_scan.scan(docs, table)
+
+
 def test_neighbours_reach_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((30, 24)) * 3
@@ -279,6 +303,19 @@ def test_neighbours_few_tied_and_empty(spark):
     assert lsh_forest.search(df.where("vec_id < 0")).count() == 0
 
 
+def test_neighbours_in_blocks_of_queries_and_of_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.round(3).tolist()) for i, v in enumerate(rng.standard_normal((900, 8)))] + [(100, [9.0] * 8), (100, [-9.0] * 8)]
+    df = spark.createDataFrame([(*r, "x", 1, 0.5) for r in rows], "vec_id long, embedding array<double>, v string, rank int, score double").repartition(4)
+    whole = collected(lsh_forest.search(df), "query_id", "rank", "vec_id", "score")
+    monkeypatch.setattr(lsh_forest, "QUERY_BYTES", 200)
+    assert collected(lsh_forest.search(df), "query_id", "rank", "vec_id", "score") == whole
+    x = np.array([v for i, v in rows if i != 100])
+    least = min(v for i, v in rows if i == 100)
+    far = {round(d, 9) for d in np.sqrt(((x - least) ** 2).sum(axis=1)).tolist()}
+    assert least == [-9.0] * 8 and {round(r[3], 9) for r in whole if r[0] == 100} <= far and sum(r[0] == 100 for r in whole) == 10
+
+
 # ------------------------------------------------------------------ 6 urls
 def test_url_verdicts(spark):
     link = lambda *hosts: "".join(f'<a href="https://{h}/x">l</a>' for h in hosts)
