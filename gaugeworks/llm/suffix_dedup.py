@@ -66,7 +66,7 @@ def _least_at(x: np.ndarray, width: int) -> np.ndarray:
 
 #: Bytes of segments, and beside each, that a task holds to find equal ones before
 #: it sends them on. Equal segments that it sends apart meet by name all the same.
-HELD, HELD_BESIDE = 48_000_000, 150
+HELD, HELD_BESIDE = 128_000_000, 150
 
 
 class Segments:
