@@ -200,16 +200,17 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     step = np.empty(n, dtype=np.int8)
     step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1])
     step[-1] = -1
-    differs = np.flatnonzero(step)
-    smaller = step[differs[np.searchsorted(differs, np.arange(n))]] > 0
-    direct = np.flatnonzero(smaller)
+    # a step of zero goes where the next one that is not does
+    turn = np.minimum.accumulate(np.where(step != 0, np.arange(n, dtype=np.int32), n)[::-1])[::-1]
+    smaller = step[turn] > 0
+    direct = np.flatnonzero(smaller).astype(np.int32)
     padded = np.zeros(n + depth, dtype=np.uint8)
     padded[:n] = t
     keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[direct]
     direct = direct[np.argsort(np.ascontiguousarray(keys).view(f"S{depth}").reshape(-1), kind="stable")]
     cut = np.searchsorted(t[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[t[-1]].append(np.array([n - 1]))
+    induced[t[-1]].append(np.array([n - 1], np.int32))
     out = []
 
     def induce(batch: np.ndarray) -> None:
@@ -241,7 +242,7 @@ def equal_windows(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray
     first = np.concatenate([[0], np.cumsum(lens[:-1] + 1)])
     n = int(first[-1] + lens[-1])
     order = suffix_order(t[:n], span)
-    text = np.searchsorted(first, order, side="right") - 1
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), lens + 1)[order]
     fits = order - first[text] + span <= lens[text]
     order, text = order[fits], text[fits]
     words = np.ndarray(shape=(len(t) - 7,), dtype="<u8", buffer=t, strides=(1,))
