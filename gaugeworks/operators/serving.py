@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import timeline as TL
+from gaugeworks.operators.evaluation import _ranked
 from gaugeworks.sources.stations import hours_between
 
 
@@ -81,8 +81,8 @@ def sample_keys(df: DataFrame, n: int) -> DataFrame:
     """``n`` keys evenly spaced over the order of hour and station."""
     total = df.count()
     step = max(total // max(n, 1), 1)
-    order = W.partitionBy("one").orderBy("hour_utc", "station_id")
-    at = df.select("station_id", "hour_utc").withColumn("one", F.lit(0)).withColumn("i", F.row_number().over(order) - 1)
+    rows = df.select("station_id", "hour_utc", F.lit(1).alias("one"))
+    at = _ranked(rows, ["hour_utc", "station_id"], False, "one").withColumn("i", F.col("upto_one") - 1)
     return at.where((F.col("i") % step == 0) & (F.floor(F.col("i") / step) < n)).select("station_id", "hour_utc")
 
 

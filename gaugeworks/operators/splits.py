@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.evaluation import _ranked
+
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
 
@@ -99,9 +101,12 @@ def discrimination(rows: DataFrame, label: str, score: str, *keys: str) -> DataF
     steps = rows.groupBy(*keys, score).agg(
         F.sum(y).cast("long").alias("pos"), F.count(F.lit(1)).alias("n"), F.sum((F.col(score) - y) * (F.col(score) - y)).alias("square"), F.sum(-F.log(F.when(y == 1, p).otherwise(1 - p))).alias("loss")
     )
-    neg = F.col("n") - F.col("pos")
-    before = F.coalesce(F.sum(neg).over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = steps.withColumns({"neg": neg, "area": F.col("pos") * (before + neg / 2)})
+    steps = steps.withColumn("neg", F.col("n") - F.col("pos"))
+    if keys:
+        before = F.coalesce(F.sum("neg").over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    else:  # ranked over all tasks
+        steps, before = _ranked(steps, [score], False, "neg"), F.col("upto_neg") - F.col("neg")
+    ranked = steps.withColumn("area", F.col("pos") * (before + F.col("neg") / 2))
     return ranked.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("pos").alias("positives"), F.round(F.sum("area") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)), 6).alias("auroc"),
         F.round(F.sum("square") / F.sum("n"), 6).alias("brier"), F.round(F.sum("loss") / F.sum("n"), 6).alias("log_loss"),
@@ -128,8 +133,11 @@ def multilabel(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
 def event_weights(rows: DataFrame, group: str, within: str) -> DataFrame:
     """``rows`` with ``weight``: one over their group's size, scaled to a mean of
     one ``within``."""
-    own = rows.withColumn("__w", 1.0 / F.count(F.lit(1)).over(W.partitionBy(group)))
-    return own.withColumn("weight", F.col("__w") / F.avg("__w").over(W.partitionBy(within))).drop("__w")
+    # both are aggregates met by a join, so that one group may have any share of the rows
+    size = rows.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    own = rows.join(size, F.col(group).eqNullSafe(F.col("__g"))).withColumn("__w", 1.0 / F.col("__n"))
+    mean = own.groupBy(F.col(within).alias("__in")).agg(F.avg("__w").alias("__mean"))
+    return own.join(mean, F.col(within).eqNullSafe(F.col("__in"))).select(*rows.columns, (F.col("__w") / F.col("__mean")).alias("weight"))
 
 
 # The grids that a policy is chosen from.
