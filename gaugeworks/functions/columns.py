@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double rounded as SQL engines do: times ``10 ** digits``, to a whole
+    number, halves away from zero, and divided again. Spark's own ``round`` goes
+    by the printed decimals instead, and differs where these end in a 5."""
+    scale = float(10**digits)
+    return F.round((F.col(value) if isinstance(value, str) else value) * scale) / scale
+
+
 def health_band(score: Column) -> Column:
     return (
         F.when(score.isNull(), "insufficient_history").when(score >= 80, "Healthy")

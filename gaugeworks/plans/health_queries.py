@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import health as H
 from gaugeworks.operators import risk
 from gaugeworks.plans.base_sql import CH, GROUPS, with_tables
@@ -27,12 +28,17 @@ def _states(s, d):
 
 
 def _r(df, *names):
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: rounded(n, 6) for n in names})
 
 
 def _r9(df, *names):
     """To nine places: shares of up to 720 hours have no ties there."""
-    return df.withColumns({n: F.round(n, 9) for n in names})
+    return df.withColumns({n: rounded(n, 9) for n in names})
+
+
+def _text(v):
+    """As ``printf`` writes a number rounded to six places; zero keeps its sign."""
+    return F.format_string("%.6f", F.signum(v) * rounded(F.abs(v), 6))
 
 
 QUERIES = {
@@ -47,7 +53,7 @@ QUERIES = {
     "health_component_correlation": lambda s, d: _r(H.component_correlation(_scores(s, d)), "r"),
     "health_roll_forward": lambda s, d: H.roll_forward(_scores(s, d), 24),
     "outage_duration_curve": lambda s, d: s.createDataFrame([(1,), (6,), (24,), (168,)], "hours int").select(
-        "hours", F.round(C.outage_multiplier(F.col("hours"), F.lit(0)), 9).alias("full"), F.round(C.outage_multiplier(F.lit(0), F.col("hours")), 9).alias("partial")),
+        "hours", rounded(C.outage_multiplier(F.col("hours"), F.lit(0)), 9).alias("full"), rounded(C.outage_multiplier(F.lit(0), F.col("hours")), 9).alias("partial")),
     "future_targets": lambda s, d: risk.future_targets(_states(s, d)),
     "risk_features": lambda s, d: _r9(risk.features(_states(s, d)), "missing_6h", "missing_24h", "missing_72h", "log_since_gap", "log_up_run", "uptime", "log_gaps", "network_absent", "network_gap_24h"),
     "incident_targets": lambda s, d: risk.incident_targets(_states(s, d), 3, 12),
@@ -57,7 +63,7 @@ QUERIES = {
     "slopes": lambda s, d: risk.slopes(_grid(s, d), X, 24, 8),
     "network_features": lambda s, d: risk.network_features(_states(s, d)),
     "calendar_features": lambda s, d: risk.calendar(_grid(s, d)),
-    "past_windows": lambda s, d: risk.windows_of(_grid(s, d), CH[:2], 7).select("station_id", "hour_utc", F.array_join(F.transform(F.flatten("x"), lambda v: F.when(v.isNull(), "-").otherwise(F.format_string("%.6f", F.round(v, 6)))), ",").alias("x")),
+    "past_windows": lambda s, d: risk.windows_of(_grid(s, d), CH[:2], 7).select("station_id", "hour_utc", F.array_join(F.transform(F.flatten("x"), lambda v: F.when(v.isNull(), "-").otherwise(_text(v))), ",").alias("x")),
 }
 
 _W = "OVER (PARTITION BY station_id ORDER BY hour_utc"

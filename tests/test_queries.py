@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import health, rules
 from gaugeworks.plans import catalog, detection_queries, health_queries
 from gaugeworks.plans.base_sql import with_tables
@@ -97,3 +98,24 @@ def test_branches_of_new_queries_occur(denser):
     assert one("forecast_alpha_grid", "count(DISTINCT mae)")[0] > 6
     assert one("hazard_life_table", "max(survival) - min(survival)")[0] > 0.1
     assert one("episode_core_distances", "sum((core IS NULL)::INT), sum((core > 0)::INT)") > (0, 0)
+
+
+def test_rounding_of_ties_is_that_of_the_sql(spark):
+    """32 events of an hour make means that end in a 5 at the seventh place."""
+    cents = [(100 * i * 7919 + 31 * i) % 5_000_000 for i in range(1, 4000)]
+    got = spark.createDataFrame([(c,) for c in cents], "c long").select("c", rounded(F.col("c") / 3200, 6).alias("x")).toPandas()
+    want = duckdb.sql("SELECT c, round(c / 3200, 6) AS x FROM got").df()
+    assert len(set(cents)) > 3000 and got.equals(want)
+    plain = spark.createDataFrame([(c,) for c in cents], "c long").select("c", F.round(F.col("c") / 3200, 6).alias("x")).toPandas()
+    assert not plain.equals(want)
+
+
+def test_past_windows_where_an_hour_has_32_events(spark, tmp_path):
+    means = [(u, h, c) for u in range(3) for h, c in enumerate((52930, 3, 52931, 7, 157, 10_000_001))]
+    values = ", ".join(f"({u}, {h}, {c / 100})" for u, h, c in means)
+    duckdb.execute(f"""COPY (SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-01' + to_hours(h::INTEGER) + to_minutes(i::INTEGER) AS ts, u::BIGINT AS user_id,
+        'view' AS event_type, CASE WHEN i = 0 THEN x::DOUBLE ELSE 0 END AS value, NULL::VARCHAR AS props FROM (VALUES {values}) v(u, h, x), range(32) r(i)) TO '{tmp_path}/events.parquet'""")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = catalog.queries()["past_windows"](spark, str(tmp_path)).toPandas(), c.sql(SQL["past_windows"]).df()
+    assert len(want) == 18 and rows(got) == rows(want)
