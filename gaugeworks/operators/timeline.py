@@ -88,27 +88,31 @@ def nearest(targets: DataFrame, samples: DataFrame, keys: list[str], at: str, sa
     """``value`` of the sample nearest to each target within the tolerance,
     earlier ones before later ones at equal distance; null where none is.
 
-    Samples and targets are put in one sorted sequence per key and the last
-    value before and the first after are read off by two frames: a merge, with
-    no pairs formed. Samples without a value are left out first; of samples of
-    one key and time the least value counts.
+    Samples and targets are put in one sorted sequence per key and day and the
+    last sample before and the next after are read off, the latter in descending
+    order: a merge, with no pairs formed and no frame that starts anew at each
+    row. A sample is copied to every day that its tolerance reaches. Samples
+    without a value or a key are left out first; of samples of one key and time
+    the least value counts.
     """
-    s = samples.where(F.col(value).isNotNull()).groupBy(*keys, F.col(sample_at).alias("__at")).agg(F.min(value).alias("__value"))
-    s = s.select(*keys, "__at", "__value", F.col("__at").alias("__of"), F.lit(0).alias("__target"))
-    t = targets.select(*keys, F.col(at).alias("__at")).distinct()
-    t = t.select(*keys, "__at", F.lit(None).cast("double").alias("__value"), F.lit(None).cast("timestamp_ntz").alias("__of"), F.lit(1).alias("__target"))
-    both = s.unionByName(t)
-    w = W.partitionBy(*keys).orderBy("__at", "__target")
-    pair = F.when(F.col("__of").isNotNull(), F.struct("__of", "__value"))
-    before = F.last(pair, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(pair, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    seen = both.withColumns({"__b": before, "__a": after}).where("__target = 1")
+    held = samples.dropna(subset=[*keys, value])
+    s = held.groupBy(*keys, F.col(sample_at).alias("__at")).agg(F.min(value).alias("__value"))
+    reach = F.expr(f"INTERVAL {tolerance_minutes} MINUTE")
+    s = s.withColumn("__day", F.explode(F.sequence(F.to_date(F.col("__at") - reach), F.to_date(F.col("__at") + reach))))
+    t = targets.select(*keys, F.col(at).alias("__at"), F.struct(*targets.columns).alias("__row"), F.to_date(at).alias("__day"))
+    both = s.unionByName(t, allowMissingColumns=True).withColumn("__target", F.col("__row").isNotNull())
+    w = W.partitionBy(*keys, "__day")
+    pair = F.when(~F.col("__target"), F.struct(F.col("__at").alias("of"), F.col("__value").alias("value")))
+    before = F.last(pair, ignorenulls=True).over(w.orderBy("__at", "__target").rowsBetween(W.unboundedPreceding, 0))
+    after = F.last(pair, ignorenulls=True).over(w.orderBy(F.desc("__at"), F.desc("__target")).rowsBetween(W.unboundedPreceding, -1))
+    seen = both.withColumns({"__b": before, "__a": after}).where("__target")
     gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
-    db, da = gap(F.col("__b.__of"), F.col("__at")), gap(F.col("__at"), F.col("__a.__of"))
+    db, da = gap(F.col("__b.of"), F.col("__at")), gap(F.col("__at"), F.col("__a.of"))
     limit = tolerance_minutes * 60_000_000
     b_ok, a_ok = F.coalesce(db <= limit, F.lit(False)), F.coalesce(da <= limit, F.lit(False))
-    pick = F.when(b_ok & (~a_ok | (db <= da)), F.col("__b.__value")).when(a_ok, F.col("__a.__value"))
-    return targets.join(seen.select(*keys, F.col("__at").alias(at), pick.alias(f"nearest_{value}")), [*keys, at], "left")
+    pick = F.when(b_ok & (~a_ok | (db <= da)), F.col("__b.value")).when(a_ok, F.col("__a.value"))
+    first = [*keys, at, *[c for c in targets.columns if c not in (*keys, at)]]
+    return seen.select(*[F.col("__row").getField(c).alias(c) for c in first], pick.alias(f"nearest_{value}"))
 
 
 def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden cases of single operators: ties, nulls, empty inputs, boundaries."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -51,6 +52,34 @@ def test_nearest_snapshot_prefers_the_earlier_of_equals_and_skips_nulls(spark):
     assert got == {("a", at(0)): 7.0, ("a", at(1)): None, ("b", at(0)): None}
 
 
+def _moments(spark, n):
+    """``n`` samples and targets of two keys on random seconds of three days, times repeated."""
+    rng = random.Random(n)
+    moment = lambda: T0 + timedelta(seconds=rng.randrange(3 * 8640) * 10)
+    s = [(rng.choice("ab"), moment(), rng.choice([None, 1.0, 2.0, 3.0, 4.0])) for _ in range(n)]
+    q = [(rng.choice("ab"), moment(), i) for i in range(n)] + [("a", T0 + timedelta(days=d), -1 - d) for d in range(4)] + [(None, T0, -9), ("a", None, -8)]
+    return s, q, spark.createDataFrame(s, "k string, t timestamp_ntz, v double"), spark.createDataFrame(q, "k string, h timestamp_ntz, i long")
+
+
+@pytest.mark.parametrize("minutes", [4, 15, 2000])
+def test_nearest_snapshot_over_the_ends_of_days_and_wide_tolerances(spark, minutes):
+    s, q, samples, targets = _moments(spark, 300)
+    want, limit = {}, timedelta(minutes=minutes)
+    for k, h, i in q:
+        near = [(abs(t - h), t, v) for key, t, v in s if key == k and v is not None and h is not None and abs(t - h) <= limit]
+        want[i] = min(near)[2] if near else None
+    got = TL.nearest(targets, samples, ["k"], "h", "t", "v", minutes)
+    assert got.columns == ["k", "h", "i", "nearest_v"]
+    rows = got.collect()
+    assert len(rows) == len(q) and {r.i: r.nearest_v for r in rows} == want
+
+
+def test_nearest_snapshot_has_no_frame_that_starts_anew_at_each_row(spark):
+    _, _, samples, targets = _moments(spark, 20)
+    plan = TL.nearest(targets, samples, ["k"], "h", "t", "v", 15)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_fleet_support_and_mad(spark):
     df = spark.createDataFrame([(at(0), 1.0), (at(0), 2.0), (at(1), 1.0), (at(1), 3.0), (at(1), 5.0)], "hour_utc timestamp_ntz, v double")
     got = {r.hour_utc: (r.support, r.fleet_median, r.fleet_mad) for r in residuals.fleet(df, "v", 3).collect()}
