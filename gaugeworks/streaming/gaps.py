@@ -1,11 +1,12 @@
 """Gaps of stations over a stream of events, with state per station.
 
-A station's hours are held until the watermark has passed them: until then a
-late event may still fill one. A passed hour is final; if it lies over an hour
-after the last final one, what is between is a gap, and is written. So the state
-of a station is one number, and one for each hour within the lateness that had
-an event, whatever the stream's length; and how the events are dealt out to
-batches changes nothing. A restart goes on from the checkpoint.
+A station's hours are held by a streaming aggregate until the watermark has
+passed them: until then a late event may still fill one. A passed hour is final,
+and goes on to the station's state as one row, however many events it had; if it
+lies over an hour after the last final one, what is between is a gap, and is
+written. So the state is a row for each hour within the lateness that had an
+event and a number per station, whatever the stream's length; and how the events
+are dealt out to batches changes nothing. A restart goes on from the checkpoint.
 """
 
 from __future__ import annotations
@@ -20,38 +21,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gaugeworks.sources.stations import station_id
 
 SCHEMA = "station_id string, last_before timestamp, first_after timestamp, missing_hours long"
-_HOUR_MS = 3_600_000
 
 
 class GapTracker(StatefulProcessor):
-    """State of a station: its last final hour, and those that may still change.
-    Hours are numbered from the epoch."""
+    """State of a station: its last final hour. Hours are numbered from the
+    epoch; those of a batch all lie after those of the batches before."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.last = handle.getValueState("last", "hour long")
-        self.open = handle.getMapState("open", "hour long", "n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        for row in rows:
-            if (row.hour + 1) * _HOUR_MS <= passed:
-                continue
-            if not self.open.containsKey((row.hour,)):
-                self.open.updateValue((row.hour,), (1,))
-                self.handle.registerTimer((row.hour + 1) * _HOUR_MS)
-        return iter([])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        passed, out = timerValues.getCurrentWatermarkInMs(), []
-        last = self.last.get()[0] if self.last.exists() else None
-        for (hour,) in sorted(k for k in self.open.keys() if (k[0] + 1) * _HOUR_MS <= passed):
+        out, last = [], self.last.get()[0] if self.last.exists() else None
+        for hour in sorted(row.hour for row in rows):
             if last is not None and hour - last > 1:
                 out.append(Row(station_id=key[0], last=last, first=hour))
             last = hour
-            self.open.removeKey((hour,))
-        if last is not None:
-            self.last.update((last,))
+        self.last.update((last,))
         return iter(out)
 
     def close(self) -> None:
@@ -62,10 +47,11 @@ def station_gaps(events: DataFrame, late: str) -> DataFrame:
     """``(station_id, last_before, first_after, missing_hours)`` of each gap, as
     ``availability.structural_gaps`` over the hours that had an event, once the
     watermark, ``late`` behind the latest event, has passed its end. Append mode.
-    ``events (user_id, ts)``; an event later than that is dropped."""
+    ``events (user_id, ts)``; an event whose hour has been passed is dropped."""
     timed = events.select(station_id(F.col("user_id")).alias("station_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    hours = timed.select("station_id", "ts", F.floor(F.unix_seconds("ts") / 3600).cast("long").alias("hour"))
-    made = hours.groupBy("station_id").transformWithState(GapTracker(), "station_id string, last long, first long", "append", "eventTime")
+    hours = timed.groupBy("station_id", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    final = hours.select("station_id", F.floor(F.unix_seconds("w.start") / 3600).cast("long").alias("hour"))
+    made = final.groupBy("station_id").transformWithState(GapTracker(), "station_id string, last long, first long", "append", "none")
     stamp = lambda c: F.timestamp_seconds(F.col(c) * 3600)
     return made.select("station_id", stamp("last").alias("last_before"), stamp("first").alias("first_after"), (F.col("first") - F.col("last") - 1).alias("missing_hours"))
 

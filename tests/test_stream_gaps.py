@@ -59,3 +59,13 @@ def test_late_events_fill_hours_within_the_lateness_only_and_a_restart_goes_on(s
     assert got == [("S01", at(2), at(17), 14), ("S01", at(17), at(20), 2)]
     put(spark, tmp_path / "in", "c", [(1, T0 + dt.timedelta(hours=60))])
     assert run(spark, tmp_path / "in", tmp_path, 1)[2:] == [("S01", at(21), at(40), 18)]
+
+
+def test_an_hour_reaches_the_state_as_one_row_and_is_open_until_its_end(spark, tmp_path):
+    put(spark, tmp_path / "in", "a", [(1, T0 + dt.timedelta(minutes=i)) for i in range(60)] + [(2, T0 + dt.timedelta(hours=20, minutes=30))])
+    plan = gaps.station_gaps(outages.read_events(spark, f"{tmp_path}/in/*"), "6 hours")._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate [station_id" in plan[plan.index("TransformWithState") :]
+    assert run(spark, tmp_path / "in", tmp_path, 1) == []
+    # 14:10 lies behind the watermark, 14:30; its hour does not
+    put(spark, tmp_path / "in", "b", [(1, T0 + dt.timedelta(hours=14, minutes=10)), (1, T0 + dt.timedelta(hours=13)), (2, T0 + dt.timedelta(hours=40))])
+    assert run(spark, tmp_path / "in", tmp_path, 1) == [("S01", T0, T0 + dt.timedelta(hours=14), 13)]
