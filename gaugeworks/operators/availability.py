@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
 from gaugeworks.functions.channels import CHANNELS, group_channels
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 from gaugeworks.sources.stations import hours_between, one_hour
 
@@ -51,7 +52,7 @@ def audit_summary(states: DataFrame, registry: DataFrame) -> DataFrame:
     )
     rate = F.col("n_present") / F.col("n_rows")
     return registry.select("station_id", "region").join(counts, "station_id", "left").withColumns(
-        {"present_rate": F.round(rate, 6), "status_class": C.status_class(rate, F.col("n_padded"))}
+        {"present_rate": rounded(rate, 6), "status_class": C.status_class(rate, F.col("n_padded"))}
     )
 
 
@@ -70,15 +71,15 @@ def missingness(states: DataFrame, channels=CHANNELS) -> DataFrame:
     here = F.col("data_present") == 1
     return long.groupBy("channel").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if("lacking").alias("n_missing"),
-        F.round(F.count_if("lacking") * 100.0 / F.count(F.lit(1)), 6).alias("pct_missing"),
-        F.round(F.count_if(F.col("lacking") & here) * 100.0 / F.count_if(here), 6).alias("pct_missing_present"),
+        rounded(F.count_if("lacking") * 100.0 / F.count(F.lit(1)), 6).alias("pct_missing"),
+        rounded(F.count_if(F.col("lacking") & here) * 100.0 / F.count_if(here), 6).alias("pct_missing_present"),
     )
 
 
 def station_missingness(states: DataFrame, channels=CHANNELS) -> DataFrame:
     """Per station and channel: the null share of its present rows."""
     here = states.where("data_present = 1")
-    return here.groupBy("station_id").agg(*[F.round(F.avg(F.col(c).isNull().cast("int")), 6).alias(c) for c in channels])
+    return here.groupBy("station_id").agg(*[rounded(F.avg(F.col(c).isNull().cast("int")), 6).alias(c) for c in channels])
 
 
 def events_of(flagged: DataFrame, prefix: str = "", gap_hours: int = 1) -> DataFrame:
@@ -146,7 +147,7 @@ def group_availability(classes: DataFrame, channels=CHANNELS) -> DataFrame:
     lost = F.expr("array_contains(gone, sensor_group)")
     return on.groupBy("sensor_group").agg(
         F.count(F.lit(1)).alias("transmitting_hours"), F.count_if(lost).alias("absent_hours"),
-        F.round(100.0 * F.count_if(~lost) / F.count(F.lit(1)), 6).alias("pct_present"),
+        rounded(100.0 * F.count_if(~lost) / F.count(F.lit(1)), 6).alias("pct_present"),
     )
 
 
@@ -160,7 +161,7 @@ def duration_buckets(events: DataFrame) -> DataFrame:
 def duration_summary(events: DataFrame, *keys: str) -> DataFrame:
     d = "duration_hours"
     return events.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum(d).alias("total_hours"), F.round(F.avg(d), 6).alias("mean_hours"),
+        F.count(F.lit(1)).alias("n_events"), F.sum(d).alias("total_hours"), rounded(F.avg(d), 6).alias("mean_hours"),
         F.median(d).alias("median_hours"), F.max(d).alias("max_hours"),
     )
 
@@ -208,10 +209,10 @@ def reliability_summary(classes: DataFrame, full: DataFrame, partial: DataFrame,
     """Per station: uptime, events and hours by class, the last outage and the
     share of transmitting hours that each sensor group covers."""
     active = classes.where("scope = 'active'")
-    groups = [F.round(F.avg(F.when(F.col("is_transmitting"), (~F.array_contains(C.tokens(F.col("absent_groups")), g)).cast("int"))), 6).alias(f"has_{g}") for g in group_channels()]
+    groups = [rounded(F.avg(F.when(F.col("is_transmitting"), (~F.array_contains(C.tokens(F.col("absent_groups")), g)).cast("int"))), 6).alias(f"has_{g}") for g in group_channels()]
     hours = active.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("active_hours"), F.count_if("is_transmitting").alias("transmitting_hours"),
-        F.round(F.avg(F.col("is_transmitting").cast("int")), 6).alias("uptime"), F.max("hour_utc").alias("last_hour"), *groups,
+        rounded(F.avg(F.col("is_transmitting").cast("int")), 6).alias("uptime"), F.max("hour_utc").alias("last_hour"), *groups,
     )
     outages = full.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n_full"), F.count_if(F.col("outage_class") == "coordinated").alias("n_coordinated"),

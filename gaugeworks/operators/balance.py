@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators.evaluation import _ranked
 from gaugeworks.operators.splits import SHARES, hashed
 from gaugeworks.sources.scratch import Scratch
@@ -117,4 +118,4 @@ def imbalance(made: DataFrame, group: str, labels: dict[str, Column], shares: di
     long = made.select(group, "part", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in every.items()]))).alias("label"))
     n = long.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.col(group).cast("string"), F.lit(""))).alias("groups"))
     total = n.groupBy("label").agg(F.sum("n").alias("total"))
-    return n.join(total, "label").select("part", "label", "n", "groups", F.round(F.col("n") / F.col("total"), 6).alias("share"), goal.alias("goal"))
+    return n.join(total, "label").select("part", "label", "n", "groups", rounded(F.col("n") / F.col("total"), 6).alias("share"), goal.alias("goal"))

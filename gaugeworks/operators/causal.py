@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 
 K = ("station_id", "hour_utc")
@@ -47,7 +48,7 @@ def neighbours(registry: DataFrame, radius_km: float) -> DataFrame:
     a = a.withColumn("cell", F.explode(around)).drop("longitude")
     b = known.select(F.col("station_id").alias("neighbour_id"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"), F.col("install_utc").alias("valid_from"), band.alias("band"), cell(band).alias("cell"))
     km = C.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    pairs = a.join(b, ["band", "cell"]).where("station_id <> neighbour_id").withColumn("distance_km", F.round(km, 6))
+    pairs = a.join(b, ["band", "cell"]).where("station_id <> neighbour_id").withColumn("distance_km", rounded(km, 6))
     return pairs.where(F.col("distance_km") <= radius_km).select("station_id", "neighbour_id", "distance_km", "valid_from")
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import channels as CH
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import graph
 from gaugeworks.sources.scratch import Scratch
 
@@ -40,7 +41,7 @@ def episode_features(events: DataFrame) -> DataFrame:
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     return events.select(
         name.alias("item_id"), *[is_(group, g).alias(f"sg_{g}") for g in GROUPS], *[is_(F.col("dominant"), d).alias(f"det_{d}") for d in DETECTORS],
-        number("concordance").alias("concordance"), F.round(F.log1p(number("n_hours")), 9).alias("log_hours"), F.round(number("peak"), 6).alias("peak"),
+        number("concordance").alias("concordance"), rounded(F.log1p(number("n_hours")), 9).alias("log_hours"), rounded(number("peak"), 6).alias("peak"),
     )
 
 
@@ -49,7 +50,7 @@ def points(items: DataFrame, features) -> tuple[DataFrame, DataFrame]:
     ``(point, weight, x)``, and the point of each ``item_id``. A feature that
     does not vary is zero; equal vectors are one point, however many there are."""
     stats = items.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    scaled = [F.round(F.when(F.col(f"s_{c}") > 1e-12, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0), 9) + 0.0 for c in features]
+    scaled = [rounded(F.when(F.col(f"s_{c}") > 1e-12, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0), 9) + 0.0 for c in features]
     rows = items.crossJoin(F.broadcast(stats)).select("item_id", F.array(*scaled).alias("x"))
     each = rows.groupBy("x").agg(F.count(F.lit(1)).alias("weight"), F.min("item_id").alias("point"))
     return each.select("point", "weight", "x"), rows.join(each.select("x", "point"), "x").select("item_id", "point")
@@ -66,7 +67,7 @@ def near(pts: DataFrame, reach: float, cells: list[int]) -> DataFrame:
         other = other.withColumn(f"c{n}", F.explode(F.sequence(F.col(f"k{n}") - 1, F.col(f"k{n}") + 1)))
     d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     met = own.join(other, [f"c{n}" for n in range(len(cells))]).where("u < v")
-    return met.select("u", "v", F.round(d, 9).alias("d")).where(F.col("d") <= reach)
+    return met.select("u", "v", rounded(d, 9).alias("d")).where(F.col("d") <= reach)
 
 
 def core_distances(pts: DataFrame, pairs: DataFrame, samples: int) -> DataFrame:
@@ -142,7 +143,7 @@ class Ladder:
         child = born.where("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.sum(F.col("size") * F.col("birth")).alias("c_sum"), F.sum("size").alias("c_n"))
         met = born.join(left, "cluster", "left").join(child, "cluster", "left")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        return met.select("cluster", "parent", "birth", "size", F.round(zero("sum") + zero("c_sum") - F.col("birth") * (zero("n") + zero("c_n")), 6).alias("stability"))
+        return met.select("cluster", "parent", "birth", "size", rounded(zero("sum") + zero("c_sum") - F.col("birth") * (zero("n") + zero("c_n")), 6).alias("stability"))
 
     def last(self) -> DataFrame:
         """``(point, weight, cluster, rate)``: the last cluster that each point
@@ -214,7 +215,7 @@ def cluster(items: DataFrame, features=FEATURES, size: int = 5, samples: int = 5
     ends = last.where("cluster = label").groupBy("label").agg(F.max("rate").alias("e1"))
     split = tree.clusters().where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.max("birth").alias("e2"))
     ends = chosen.where("cluster = label").select("label").join(ends, "label", "left").join(split, "label", "left").select("label", F.greatest("e1", "e2").alias("end"))
-    share = last.join(ends, "label").select("point", "label", F.round(F.least("rate", "end") / F.col("end"), 6).alias("probability"))
+    share = last.join(ends, "label").select("point", "label", rounded(F.least("rate", "end") / F.col("end"), 6).alias("probability"))
     met = scratch.keep(of.join(share, "point", "left"), "met")
     firsts = met.where("label is not null").groupBy("label").agg(F.min("item_id").alias("first"))
     numbers = firsts.withColumn("one", F.lit(0)).withColumn("cluster", F.row_number().over(W.partitionBy("one").orderBy("first")) - 1)

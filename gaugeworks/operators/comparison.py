@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import health as H
 from gaugeworks.operators import timeline as TL
 from gaugeworks.sources.stations import hours_between
@@ -18,7 +19,7 @@ def hard_zero(scored: DataFrame) -> DataFrame:
     is the uncapped total elsewhere; null before there is enough history."""
     flat = F.when(F.col("base_total").isNull(), F.lit(None)).when(F.col("availability_class") == "full_outage", 0.0).otherwise(F.col("base_total"))
     out = scored.withColumn("health_total", flat)
-    return out.withColumn("health_band", C.health_band(F.round("health_total", 9)))
+    return out.withColumn("health_band", C.health_band(rounded("health_total", 9)))
 
 
 def _long(section: str, df: DataFrame, key: str) -> DataFrame:
@@ -38,7 +39,7 @@ def version_comparison(plain: DataFrame, progressive: DataFrame) -> DataFrame:
         return every.withColumnRenamed("value", name)
 
     both = summaries(plain, "plain").join(summaries(progressive, "progressive"), ["section", "key", "metric"], "full")
-    return both.withColumn("difference", F.round(F.col("progressive") - F.col("plain"), 6))
+    return both.withColumn("difference", rounded(F.col("progressive") - F.col("plain"), 6))
 
 
 def reconstruction_check(before: DataFrame, after: DataFrame, fields: list[str], rtol: float = 1e-10, atol: float = 1e-12) -> DataFrame:
@@ -73,7 +74,7 @@ def projections(scored: DataFrame, horizon: int, window: int = 24) -> DataFrame:
     origin = F.when(F.col("availability_class") == "online", "transmitting_online").when(F.col("availability_class").isin("full_outage", "partial_outage"), "active_outage").otherwise("other")
     return rows.withColumn("__slope", slope).where(now.isNotNull()).select(
         *K, F.lit(horizon).alias("horizon"), origin.alias("origin_condition"),
-        *[F.round(v, 6).alias(f"{n}_level") for n, v in levels.items()], *[F.round(v - now, 6).alias(f"{n}_delta") for n, v in levels.items()],
+        *[rounded(v, 6).alias(f"{n}_level") for n, v in levels.items()], *[rounded(v - now, 6).alias(f"{n}_delta") for n, v in levels.items()],
     )
 
 
@@ -90,6 +91,6 @@ def outage_course(scored: DataFrame, context_hours: int = 72) -> DataFrame:
     plain = hard_zero(scored).select(*K, F.col("health_total").alias("plain"))
     rows = scored.join(F.broadcast(one), "station_id").where(near).join(plain, list(K))
     return rows.select(
-        *K, "availability_class", "full_run", "partial_run", F.round("multiplier", 6).alias("multiplier"), F.round("health_total", 6).alias("progressive"),
-        F.round("plain", 6).alias("plain"), "event_start", "event_end", "event_hours", "recovered",
+        *K, "availability_class", "full_run", "partial_run", rounded("multiplier", 6).alias("multiplier"), rounded("health_total", 6).alias("progressive"),
+        rounded("plain", 6).alias("plain"), "event_start", "event_end", "event_hours", "recovered",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.sources.scratch import Scratch
 from gaugeworks.sources.stations import hours_between
 
@@ -30,7 +31,7 @@ def purged_split(rows: DataFrame, label_hours: int, train: float = 0.70, validat
 def split_summary(split: DataFrame, target: str) -> DataFrame:
     return split.groupBy("part").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("hour_utc").alias("n_hours"), F.sum(target).cast("long").alias("positives"),
-        F.round(F.avg(target), 6).alias("rate"), F.min("hour_utc").alias("first_hour"), F.max("hour_utc").alias("last_hour"),
+        rounded(F.avg(target), 6).alias("rate"), F.min("hour_utc").alias("first_hour"), F.max("hour_utc").alias("last_hour"),
     )
 
 
@@ -45,7 +46,7 @@ def confusion(rows: DataFrame, label: str, positive: Column, *keys: str) -> Data
     pr, rc = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     out = out.withColumns({"precision": pr, "recall": rc, "accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))})
     f1 = _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return out.withColumn("f1", f1).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "accuracy", "f1")})
+    return out.withColumn("f1", f1).withColumns({c: rounded(c, 6) for c in ("precision", "recall", "accuracy", "f1")})
 
 
 def threshold_grid(rows: DataFrame, label: str, score: str, grid: list[float]) -> DataFrame:
@@ -59,8 +60,8 @@ def threshold_grid(rows: DataFrame, label: str, score: str, grid: list[float]) -
         F.sum("pos").alias("all_pos"),
     )
     pr, rc = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("all_pos"))
-    out = both.select("threshold", "tp", "fp", F.round(pr, 6).alias("precision"), F.round(rc, 6).alias("recall"))
-    return out.withColumn("f1", F.round(_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6))
+    out = both.select("threshold", "tp", "fp", rounded(pr, 6).alias("precision"), rounded(rc, 6).alias("recall"))
+    return out.withColumn("f1", rounded(_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6))
 
 
 def choose_threshold(grid: DataFrame, rule: str = "maximin", precision_floor: float = 0.0) -> DataFrame:
@@ -93,7 +94,7 @@ def average_precision(rows: DataFrame, label: str, score: str) -> DataFrame:
     running sums go over distinct scores."""
     steps = rows.groupBy(score).agg(F.sum((F.col(label) == 1).cast("int")).alias("pos"), F.count(F.lit(1)).alias("n"))
     run = _ranked(steps, [score], True, "pos", "n")
-    return run.agg(F.round(F.sum(F.col("pos") * F.col("upto_pos") / F.col("upto_n")) / F.nullif(F.sum("pos"), F.lit(0)), 6).alias("average_precision"), F.sum("pos").alias("positives"))
+    return run.agg(rounded(F.sum(F.col("pos") * F.col("upto_pos") / F.col("upto_n")) / F.nullif(F.sum("pos"), F.lit(0)), 6).alias("average_precision"), F.sum("pos").alias("positives"))
 
 
 def calibration(rows: DataFrame, actual: str, predicted: str, *tie: str, bins: int = 10) -> DataFrame:
@@ -106,8 +107,8 @@ def calibration(rows: DataFrame, actual: str, predicted: str, *tie: str, bins: i
     wide = more * (each + 1)
     decile = F.when(at < wide, F.floor(at / (each + 1))).otherwise(more + F.floor((at - wide) / F.greatest(each, F.lit(1)))) + 1
     return numbered.crossJoin(F.broadcast(total)).withColumn("decile", decile.cast("int")).groupBy("decile").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(predicted), 6).alias("mean_predicted"), F.round(F.avg(actual), 6).alias("mean_actual"),
-        F.round(F.min(predicted), 6).alias("least"), F.round(F.max(predicted), 6).alias("most"),
+        F.count(F.lit(1)).alias("n"), rounded(F.avg(predicted), 6).alias("mean_predicted"), rounded(F.avg(actual), 6).alias("mean_actual"),
+        rounded(F.min(predicted), 6).alias("least"), rounded(F.max(predicted), 6).alias("most"),
     )
 
 
@@ -115,7 +116,7 @@ def regression_metrics(rows: DataFrame, actual: str, predicted: str, *keys: str)
     e = F.col(predicted) - F.col(actual)
     r2 = 1 - F.sum(e * e) / F.nullif(F.var_pop(actual) * F.count(F.lit(1)), F.lit(0.0))
     return rows.where(e.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(r2, 6).alias("r2")
+        F.count(F.lit(1)).alias("n"), rounded(F.avg(F.abs(e)), 6).alias("mae"), rounded(F.sqrt(F.avg(e * e)), 6).alias("rmse"), rounded(r2, 6).alias("r2")
     )
 
 
@@ -128,8 +129,8 @@ def multiclass_metrics(rows: DataFrame, actual: str, predicted: str) -> DataFram
     m = by_a.join(by_p, "k", "full").join(hit, "k", "left").fillna(0)
     f1 = 2 * F.col("hit") / (F.col("support") + F.col("said"))
     return m.agg(
-        F.round(F.sum("hit") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg(F.when(F.col("support") > 0, F.col("hit") / F.col("support"))), 6).alias("balanced_accuracy"),
-        F.round(F.avg(f1), 6).alias("macro_f1"), F.sum("support").alias("n"),
+        rounded(F.sum("hit") / F.sum("support"), 6).alias("accuracy"), rounded(F.avg(F.when(F.col("support") > 0, F.col("hit") / F.col("support"))), 6).alias("balanced_accuracy"),
+        rounded(F.avg(f1), 6).alias("macro_f1"), F.sum("support").alias("n"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import channels as CH
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 
 KEYS = ["station_id", "hour_utc", "channel"]
@@ -54,7 +55,7 @@ def contextual(candidates: DataFrame, members: DataFrame, least: int = 15, floor
     met = met.withColumn("ctx_median", F.when(known, _middle(F.col("rest"))))
     met = met.withColumn("dev", F.array_sort(F.transform("rest", lambda x: F.abs(x - F.col("ctx_median")))))
     met = met.withColumn("ctx_mad", F.when(known, _middle(F.col("dev"))))
-    z = F.round((F.col("value") - F.col("ctx_median")) / F.greatest("ctx_mad", F.lit(floor)), 6)
+    z = rounded((F.col("value") - F.col("ctx_median")) / F.greatest("ctx_mad", F.lit(floor)), 6)
     return met.withColumn("ctx_z", z).select(*KEYS, "ctx_n", "ctx_median", "ctx_mad", "ctx_z", F.coalesce(F.abs("ctx_z") >= limit, F.lit(False)).alias("outlier"))
 
 
@@ -66,7 +67,7 @@ def reference_scores(residuals: DataFrame, channels, floors: dict[str, float]) -
     base = TL.median_and_mad(long, ["station_id", "channel"], "r")
     floor = F.element_at(F.create_map(*[F.lit(x) for c in channels for x in (c, float(floors[c]))]), F.col("channel"))
     z = (F.col("r") - F.col("median")) / F.greatest("mad", floor)
-    return long.join(base, ["station_id", "channel"]).select(*KEYS, F.round(z, 6).alias("ref_z"))
+    return long.join(base, ["station_id", "channel"]).select(*KEYS, rounded(z, 6).alias("ref_z"))
 
 
 def gate(scores: DataFrame, external: DataFrame, context: DataFrame, second: str = "flag_second", first: str = "mad_high", paired: dict[str, str] | None = None) -> DataFrame:
@@ -184,7 +185,7 @@ def benign_review(labels: DataFrame, scores: DataFrame) -> DataFrame:
     met = TL.interval_join(scores.where("flag").select(*KEYS, "zscore", "threshold"), spans, ["station_id"], "hour_utc", "start_utc", "end_utc")
     out = met.groupBy("label_id", "station_id").agg(
         F.count_distinct("hour_utc").alias("flagged_hours"), F.count_distinct("channel").alias("channels"),
-        F.round(F.max(F.abs("zscore")), 6).alias("peak"), F.round(F.max(F.abs("zscore") - F.col("threshold")), 6).alias("margin"),
+        rounded(F.max(F.abs("zscore")), 6).alias("peak"), rounded(F.max(F.abs("zscore") - F.col("threshold")), 6).alias("margin"),
     )
     order = W.partitionBy("station_id").orderBy(F.desc("flagged_hours"), F.desc("peak"), "label_id")
     return out.withColumn("place", F.row_number().over(order))
@@ -196,7 +197,7 @@ def residual_metrics(scored: DataFrame, limit: float = 3.0) -> DataFrame:
     score, and the share of hours as far off as ``limit``."""
     base = TL.median_and_mad(scored, ["station_id", "channel"], "ref_z")
     far = scored.groupBy("station_id", "channel").agg(F.avg((F.abs("ref_z") >= limit).cast("double")).alias("far_share"))
-    return base.join(far, ["station_id", "channel"]).select("station_id", "channel", F.col("n").alias("covered_hours"), F.round("median", 6).alias("median_z"), F.round("mad", 6).alias("mad_z"), F.round("far_share", 6).alias("far_share"))
+    return base.join(far, ["station_id", "channel"]).select("station_id", "channel", F.col("n").alias("covered_hours"), rounded("median", 6).alias("median_z"), rounded("mad", 6).alias("mad_z"), rounded("far_share", 6).alias("far_share"))
 
 
 def spatial_support(episodes: DataFrame, spatial: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def spatial_support(episodes: DataFrame, spatial: DataFrame) -> DataFrame:
     spans = episodes.select("station_id", "start_utc", "end_utc", "p50")
     met = TL.interval_join(spatial.where("residual is not null").select("station_id", "hour_utc", "residual"), spans, ["station_id"], "hour_utc", "start_utc", "end_utc")
     keys = ["station_id", "start_utc", "end_utc", "p50"]
-    out = spans.join(met.groupBy(*keys).agg(F.count(F.lit(1)).alias("spatial_hours"), F.round(F.median("residual"), 6).alias("spatial_median")), keys, "left")
+    out = spans.join(met.groupBy(*keys).agg(F.count(F.lit(1)).alias("spatial_hours"), rounded(F.median("residual"), 6).alias("spatial_median")), keys, "left")
     med = F.col("spatial_median")
     says = F.when(med.isNull(), "unavailable").when(F.col("p50").isNull() | (med == 0), "inconclusive").when(F.signum(med) == F.signum("p50"), "same_direction").otherwise("opposite_direction")
     return out.select(*keys, F.coalesce("spatial_hours", F.lit(0)).alias("spatial_hours"), "spatial_median", says.alias("spatial_support"))
@@ -235,7 +236,7 @@ def offset_queue(episodes: DataFrame, channel: str, label: str = "calibration_of
     n = F.row_number().over(order)
     return episodes.select(
         "station_id", "start_utc", "end_utc", F.col("span_hours").alias("duration_hours"), F.lit(channel).alias("channel"), F.lit(CH.sensor_group(channel)).alias("sensor_group"),
-        n.alias("review_id"), (F.lit(first_cluster + 1) - n).alias("cluster"), F.concat(F.lit("external_offset_"), tier).alias("role"), F.round("peak", 6).alias("score"), F.lit(label).alias("label"),
+        n.alias("review_id"), (F.lit(first_cluster + 1) - n).alias("cluster"), F.concat(F.lit("external_offset_"), tier).alias("role"), rounded("peak", 6).alias("score"), F.lit(label).alias("label"),
     )
 
 
@@ -248,7 +249,7 @@ def systemic_evidence(episodes: DataFrame, external: DataFrame, limit: float = 3
     met = TL.interval_join(external, spans, ["station_id"], "hour_utc", "start_utc", "end_utc")
     keys = ["station_id", "start_utc", "end_utc"]
     per = met.groupBy(*keys, "channel").agg(F.median(F.abs("ref_z")).alias("m"))
-    out = spans.join(per.groupBy(*keys).agg(F.count_if(F.col("m") >= limit).alias("disagree"), F.count(F.lit(1)).alias("channels"), F.round(F.avg("m"), 9).alias("mean_z"), F.round(F.max("m"), 9).alias("max_z")), keys, "left")
+    out = spans.join(per.groupBy(*keys).agg(F.count_if(F.col("m") >= limit).alias("disagree"), F.count(F.lit(1)).alias("channels"), rounded(F.avg("m"), 9).alias("mean_z"), rounded(F.max("m"), 9).alias("max_z")), keys, "left")
     tier = F.when(F.coalesce("channels", F.lit(0)) == 0, "inconclusive").when(F.col("disagree") >= least, "supported").when(F.col("disagree") > 0, "single_channel").otherwise("benign")
     return out.select(*keys, F.coalesce("channels", F.lit(0)).alias("channels"), F.coalesce("disagree", F.lit(0)).alias("disagree"), "mean_z", "max_z", tier.alias("tier"))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import channels as CH
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import evaluation as E
 from gaugeworks.operators import health as H
 from gaugeworks.operators import models as M
@@ -161,7 +162,7 @@ def dataset(scored: DataFrame, horizons=(1, 6, 24), win: H.Windows = H.Windows()
     )
     regime = F.when(F.col("availability_class") == "online", REGIMES[0]).otherwise(REGIMES[1])
     own = own.where(now.isNotNull()).withColumn("regime", regime)
-    network = own.groupBy("hour_utc").agg(F.round(F.avg(now), 9).alias("network_health"))
+    network = own.groupBy("hour_utc").agg(rounded(F.avg(now), 9).alias("network_health"))
     future = scored.where(now.isNotNull()).select("station_id", F.col("hour_utc").alias("target_utc"), now.alias("actual"))
     rows = own.join(network, "hour_utc").join(roll_windows(scored, horizons, win), list(K))
     rows = rows.withColumns({"target_utc": F.expr("hour_utc + make_dt_interval(0, horizon, 0, 0)").cast("timestamp_ntz"), "persistence": now, "no_new_incident": F.col("level")})
@@ -283,7 +284,7 @@ class Run:
         for n in BASELINES:
             level = level.when(F.col("policy") == n, C.clip(F.col(n), 0.0, 100.0))
         rows = self.predicted.where(F.col("part") == part).join(best, ["horizon", "regime", "candidate"])
-        return rows.select(*K, "horizon", "regime", "actual", level.alias("level"), C.health_band(F.round(level, 9)).alias("band"), "policy")
+        return rows.select(*K, "horizon", "regime", "actual", level.alias("level"), C.health_band(rounded(level, 9)).alias("band"), "policy")
 
     def save(self, path: str) -> None:
         """Models, choice and errors under ``path``, to be read by :func:`load`."""
@@ -347,5 +348,5 @@ def summary(done: Run, part: str = "test") -> DataFrame:
     over persistence in percent, per horizon and regime."""
     made = E.regression_metrics(done.forecasts(part), "actual", "level", "horizon", "regime", "policy")
     base = baseline_errors(done.predicted.where(F.col("part") == part).dropDuplicates([*K, "horizon"])).groupBy("horizon", "regime").pivot("method", list(BASELINES)).agg(F.first("mae"))
-    gain = F.when(F.col("persistence") > 0, F.round(100 * (1 - F.col("mae") / F.col("persistence")), 4))
+    gain = F.when(F.col("persistence") > 0, rounded(100 * (1 - F.col("mae") / F.col("persistence")), 4))
     return made.join(base, ["horizon", "regime"]).withColumn("gain_percent", gain)

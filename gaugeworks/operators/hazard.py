@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import evaluation as E
 from gaugeworks.operators import intervals as I
 from gaugeworks.operators import models as M
@@ -88,7 +89,7 @@ def construction(made: DataFrame, horizons=(1, 6)) -> DataFrame:
         n("clean").alias("clean_rows"), n(F.col("clean") & F.col("recovering")).alias("recovering_rows"), F.array(*per).alias("per"),
     )
     rows = one.select(F.explode("per").alias("p"), "*").select("p.*", "incidents", "observed", "qualifying", "of_network", "clean_rows", "recovering_rows")
-    return rows.withColumn("rate", F.round(F.col("positives") / F.nullif(F.col("eligible"), F.lit(0)), 6))
+    return rows.withColumn("rate", rounded(F.col("positives") / F.nullif(F.col("eligible"), F.lit(0)), 6))
 
 
 # --------------------------------------------------------------- discrete time
@@ -113,7 +114,7 @@ def life_table(periods: DataFrame, most: int = 72) -> DataFrame:
     each = periods.where(F.col("t") <= most).groupBy("t").agg(F.count(F.lit(1)).alias("at_stake"), F.sum("event").alias("events"))
     each = each.withColumns({"hazard": F.col("events") / F.col("at_stake"), "one": F.lit(0)})
     past = F.collect_list(1 - F.col("hazard")).over(W.partitionBy("one").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    return each.select("t", "at_stake", "events", F.round("hazard", 6).alias("hazard"), F.round(F.aggregate(past, F.lit(1.0), lambda a, x: a * x), 6).alias("survival"))
+    return each.select("t", "at_stake", "events", rounded("hazard", 6).alias("hazard"), rounded(F.aggregate(past, F.lit(1.0), lambda a, x: a * x), 6).alias("survival"))
 
 
 def survival(hazards: Column) -> Column:

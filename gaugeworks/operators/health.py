@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import channels as CH
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import sliding
 from gaugeworks.operators import timeline as TL
 from gaugeworks.sources.stations import hours_between
@@ -135,7 +136,7 @@ def _capped(s: DataFrame) -> DataFrame:
     hours = lambda kind: F.when(F.col("availability_class") == kind, F.col("run_hours")).otherwise(0)
     s = s.withColumns({"full_run": hours("full_outage"), "partial_run": hours("partial_outage")})
     s = s.withColumn("multiplier", C.outage_multiplier(F.col("full_run"), F.col("partial_run")))
-    s = s.withColumn("health_total", F.col("capped_total") * F.col("multiplier")).withColumn("health_band", C.health_band(F.round("health_total", 9)))
+    s = s.withColumn("health_total", F.col("capped_total") * F.col("multiplier")).withColumn("health_band", C.health_band(rounded("health_total", 9)))
     return s.drop("__new", "__run", "__before")
 
 
@@ -154,21 +155,21 @@ def change_summary(scored: DataFrame, horizons=(6, 12, 24)) -> DataFrame:
         d = scored.select(F.lit(h).alias("horizon"), F.abs(F.lead("health_total", h).over(w) - F.col("health_total")).alias("d")).where("d is not null")
         out = d if out is None else out.unionByName(d)
     return out.groupBy("horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.median("d"), 6).alias("median"), F.round(F.percentile("d", 0.9), 6).alias("p90"),
-        F.round(F.percentile("d", 0.99), 6).alias("p99"), F.round(F.avg((F.col("d") >= 5).cast("int")), 6).alias("share_5"),
+        F.count(F.lit(1)).alias("n"), rounded(F.median("d"), 6).alias("median"), rounded(F.percentile("d", 0.9), 6).alias("p90"),
+        rounded(F.percentile("d", 0.99), 6).alias("p99"), rounded(F.avg((F.col("d") >= 5).cast("int")), 6).alias("share_5"),
     )
 
 
 def histogram(scored: DataFrame) -> DataFrame:
     """Ten bins of ten points, the last closed."""
-    b = F.least(F.floor(F.round("health_total", 6) / 10), F.lit(9)).cast("int")
+    b = F.least(F.floor(rounded("health_total", 6) / 10), F.lit(9)).cast("int")
     return scored.where("health_total is not null").groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def station_summary(scored: DataFrame) -> DataFrame:
     h = "health_total"
     return scored.groupBy("station_id").agg(
-        F.count(h).alias("n"), F.round(F.avg(h), 6).alias("mean"), F.round(F.min(h), 6).alias("least"), F.round(F.max(h), 6).alias("most"), F.round(F.median(h), 6).alias("median")
+        F.count(h).alias("n"), rounded(F.avg(h), 6).alias("mean"), rounded(F.min(h), 6).alias("least"), rounded(F.max(h), 6).alias("most"), rounded(F.median(h), 6).alias("median")
     )
 
 
@@ -187,4 +188,4 @@ def roll_forward(scored: DataFrame, horizon: int) -> DataFrame:
     full = F.when(F.col("full_run") > 0, F.col("full_run") + horizon).otherwise(0)
     partly = F.when(F.col("partial_run") > 0, F.col("partial_run") + horizon).otherwise(0)
     ahead = F.col("capped_total") * C.outage_multiplier(full, partly)
-    return scored.where("health_total is not null").select("station_id", "hour_utc", F.lit(horizon).alias("horizon"), F.round(ahead, 6).alias("projected"))
+    return scored.where("health_total is not null").select("station_id", "hour_utc", F.lit(horizon).alias("horizon"), rounded(ahead, 6).alias("projected"))

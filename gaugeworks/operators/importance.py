@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.sources.scratch import Scratch
 
 #: Rows among which values are exchanged.
@@ -50,5 +51,5 @@ def permutation(rows: DataFrame, keys: list[str], groups: dict[str, list[str]],
     mean = each.where("name is not null").groupBy("name").agg(F.avg("f1").alias("f"), F.stddev_pop("f1").alias("s"))
     out = mean.crossJoin(F.broadcast(base))
     return out.select(
-        "name", F.round("base", 6).alias("base_f1"), F.round("f", 6).alias("shuffled_f1"), F.round(F.col("base") - F.col("f"), 6).alias("drop"), F.round("s", 6).alias("spread")
+        "name", rounded("base", 6).alias("base_f1"), rounded("f", 6).alias("shuffled_f1"), rounded(F.col("base") - F.col("f"), 6).alias("drop"), rounded("s", 6).alias("spread")
     ).orderBy(F.desc("drop"), "name")

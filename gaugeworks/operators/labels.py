@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
 from gaugeworks.functions.channels import sensor_group
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 from gaugeworks.operators.graph import components
 from gaugeworks.sources.scratch import Scratch
@@ -87,8 +88,8 @@ def crosswalk(left: DataFrame, right: DataFrame) -> DataFrame:
     both = hours_between(F.least("end_utc", "o_end"), F.greatest("start_utc", "o_start")) + 1
     n, m = hours("start_utc", "end_utc"), hours("o_start", "o_end")
     return met.select(
-        "station_id", "episode_id", "other_id", both.alias("overlap_hours"), F.round(both / n, 6).alias("share"), F.round(both / m, 6).alias("other_share"),
-        F.round(both / (n + m - both), 6).alias("iou"), F.count(F.lit(1)).over(W.partitionBy("episode_id")).alias("partners"),
+        "station_id", "episode_id", "other_id", both.alias("overlap_hours"), rounded(both / n, 6).alias("share"), rounded(both / m, 6).alias("other_share"),
+        rounded(both / (n + m - both), 6).alias("iou"), F.count(F.lit(1)).over(W.partitionBy("episode_id")).alias("partners"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 from gaugeworks.sources.stations import hours_between
 
@@ -40,13 +41,13 @@ def ratio_episodes(days: DataFrame, high: float = HIGH, low: float = LOW, gap_ho
     x = F.col("rolling_relative")
     flagged = days.withColumn("direction", F.when(x >= high, "over").when(x <= low, "under")).where("direction is not null")
     runs = TL.islands(flagged, ["station_id", "direction"], gap_hours + 24, order="day")
-    parts = lambda c, n: [F.round(F.percentile(c, p), 6).alias(f"{n}_{q}") for p, q in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))]
+    parts = lambda c, n: [rounded(F.percentile(c, p), 6).alias(f"{n}_{q}") for p, q in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))]
     out = runs.groupBy("station_id", "direction", "island").agg(
         F.min("day").alias("start_utc"), F.max("day").alias("end_utc"), (F.count(F.lit(1)) * 24).alias("flagged_hours"), *parts("rolling", "ratio"), *parts("rolling_relative", "relative"),
         F.max("rolling").alias("r1"), F.min("rolling").alias("r0"), F.max("rolling_relative").alias("x1"), F.min("rolling_relative").alias("x0"),
     )
     over = F.col("direction") == "over"
-    out = out.withColumns({"duration_hours": hours_between(F.col("end_utc"), F.col("start_utc")) + 24, "peak_ratio": F.round(F.when(over, F.col("r1")).otherwise(F.col("r0")), 6), "peak_relative": F.round(F.when(over, F.col("x1")).otherwise(F.col("x0")), 6)})
+    out = out.withColumns({"duration_hours": hours_between(F.col("end_utc"), F.col("start_utc")) + 24, "peak_ratio": rounded(F.when(over, F.col("r1")).otherwise(F.col("r0")), 6), "peak_relative": rounded(F.when(over, F.col("x1")).otherwise(F.col("x0")), 6)})
     return out.where(F.col("duration_hours") >= least_days * 24).drop("island", "r0", "r1", "x0", "x1")
 
 
@@ -58,7 +59,7 @@ def ratio_status(days: DataFrame, episodes: DataFrame, least_days: int = LEAST_D
     has = episodes.select("station_id").distinct().withColumn("has", F.lit(True))
     status = F.when(F.col("days") < least_days, "insufficient").when(F.col("has"), "offset").otherwise("clean")
     peak = F.when(F.abs(F.col("x1") - 1) >= F.abs(F.col("x0") - 1), F.col("x1")).otherwise(F.col("x0"))
-    return n.join(has, "station_id", "left").select("station_id", "days", status.alias("status"), F.round(peak, 6).alias("peak_metric"))
+    return n.join(has, "station_id", "left").select("station_id", "days", status.alias("status"), rounded(peak, 6).alias("peak_metric"))
 
 
 def counted(episodes: DataFrame, status: DataFrame) -> DataFrame:

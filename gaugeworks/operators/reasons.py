@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import splits as SP
 from gaugeworks.sources.scratch import Scratch
 
@@ -237,7 +238,7 @@ def predict(rows: DataFrame, heads: Heads, modes: dict[str, str] | None = None)
             if (axis, c) in heads.mix:
                 a, b, _ = heads.mix[axis, c]
                 x = [F.col(f"s_{v}_{axis}__{c}") for v in VIEWS]
-                value = F.round(a * x[0] + b * x[1] + (1 - a - b) * x[2], 9)
+                value = rounded(a * x[0] + b * x[1] + (1 - a - b) * x[2], 9)
             else:
                 value = F.lit(None).cast("double")
             pairs += [F.lit(c), F.when(F.col("gate"), value)]

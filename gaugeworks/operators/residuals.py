@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 from gaugeworks.sources.stations import hours_between
 
@@ -106,11 +107,11 @@ def offset_episodes(flagged: DataFrame, rules: dict[str, OffsetRule] = OFFSET_RU
     out = runs.groupBy(*keys, "island").agg(
         F.min("hour_utc").alias("start_utc"), F.max("hour_utc").alias("end_utc"), F.count(F.lit(1)).alias("flagged_hours"),
         F.when(F.bool_or("offset_high"), "high").otherwise("medium").alias("tier"),
-        F.round(F.percentile("level", 0.1), 6).alias("p10"), F.round(F.percentile("level", 0.5), 6).alias("p50"),
-        F.round(F.percentile("level", 0.9), 6).alias("p90"), F.round(F.max(F.abs("score")), 6).alias("peak"),
+        rounded(F.percentile("level", 0.1), 6).alias("p10"), rounded(F.percentile("level", 0.5), 6).alias("p50"),
+        rounded(F.percentile("level", 0.9), 6).alias("p90"), rounded(F.max(F.abs("score")), 6).alias("peak"),
     )
     span = hours_between(F.col("end_utc"), F.col("start_utc")) + 1
-    out = out.withColumns({"span_hours": span, "density": F.round(F.col("flagged_hours") / span, 6)})
+    out = out.withColumns({"span_hours": span, "density": rounded(F.col("flagged_hours") / span, 6)})
     return out.where((F.col("span_hours") >= min_hours) & (F.col("density") >= min_density)).drop("island")
 
 
@@ -120,7 +121,7 @@ def daily_ratio(frame: DataFrame, ratio: str, min_hours: int, min_stations: int,
     days = frame.where(F.col(ratio).isNotNull()).groupBy("station_id", F.to_date("hour_utc").alias("day")).agg(F.median(ratio).alias("daily"), F.count(ratio).alias("n"))
     days = days.where(F.col("n") >= min_hours)
     all_days = days.groupBy("day").agg(F.median("daily").alias("fleet_daily"), F.count(F.lit(1)).alias("stations")).where(F.col("stations") >= min_stations)
-    relative = F.round(F.col("daily") / F.nullif(F.col("fleet_daily"), F.lit(0.0)), 6)
+    relative = rounded(F.col("daily") / F.nullif(F.col("fleet_daily"), F.lit(0.0)), 6)
     out = days.join(all_days, "day").withColumn("relative", relative)
     return out.withColumn("side", F.when(relative >= high, "over").when(relative <= low, "under").otherwise("within"))
 
@@ -139,7 +140,7 @@ def trailing_mean(targets: DataFrame, samples: DataFrame, value: str, minutes: i
     near = F.expr(f"hour_utc - INTERVAL {width} SECOND") < F.col("sample_utc")
     got = given.where(near & (F.col("sample_utc") <= F.col("hour_utc"))).groupBy("station_id", "hour_utc").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("slots"))
     met = targets.join(got, ["station_id", "hour_utc"], "left")
-    return met.select("station_id", "hour_utc", F.coalesce("slots", F.lit(0)).alias("slots"), F.round(F.when(F.col("slots") >= min_slots, F.col("mean")), 6).alias("trailing_mean"))
+    return met.select("station_id", "hour_utc", F.coalesce("slots", F.lit(0)).alias("slots"), rounded(F.when(F.col("slots") >= min_slots, F.col("mean")), 6).alias("trailing_mean"))
 
 
 def lag_scan(hours: DataFrame, reference: DataFrame, channel: str, lags=range(-3, 4)) -> DataFrame:
@@ -149,7 +150,7 @@ def lag_scan(hours: DataFrame, reference: DataFrame, channel: str, lags=range(-3
     own = hours.where(F.col(channel).isNotNull()).select("station_id", "hour_utc", F.col(channel).alias("x"), shifts.alias("lag"))
     own = own.withColumn("at", F.expr("hour_utc + make_dt_interval(0, CAST(lag AS INT), 0, 0)"))
     ref = reference.where(F.col(f"ref_{channel}").isNotNull()).select(F.col("hour_utc").alias("at"), F.col(f"ref_{channel}").alias("y"))
-    r = own.join(ref, "at").groupBy("station_id", "lag").agg(F.round(C.correlation("x", "y"), 6).alias("r"), F.count(F.lit(1)).alias("n")).where("n >= 3 and r is not null")
+    r = own.join(ref, "at").groupBy("station_id", "lag").agg(rounded(C.correlation("x", "y"), 6).alias("r"), F.count(F.lit(1)).alias("n")).where("n >= 3 and r is not null")
     best = W.partitionBy("station_id").orderBy(F.desc("r"), "lag")
     return r.withColumn("k", F.row_number().over(best)).where("k = 1").select("station_id", F.col("lag").alias("best_lag"), "r", "n")
 
@@ -162,7 +163,7 @@ def neighbours(registry: DataFrame, radius_km: float) -> DataFrame:
     a = registry.select("station_id", F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lon"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     b = registry.select(F.col("station_id").alias("neighbour_id"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"), cell.alias("cell"))
     km = C.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    pairs = a.join(b, "cell").where("station_id <> neighbour_id").withColumn("distance_km", F.round(km, 6))
+    pairs = a.join(b, "cell").where("station_id <> neighbour_id").withColumn("distance_km", rounded(km, 6))
     return pairs.where(F.col("distance_km") <= radius_km).select("station_id", "neighbour_id", "distance_km")
 
 
@@ -189,7 +190,7 @@ def agreement_gate(episodes: DataFrame, residuals: DataFrame, margin: float = 2.
     keys = ["station_id", "channel"]
     spans = episodes.select(*keys, "start_utc", "end_utc", "p50")
     met = TL.interval_join(residuals.where("residual is not null").select(*keys, "hour_utc", "residual"), spans, keys, "hour_utc", "start_utc", "end_utc")
-    med = met.groupBy(spans.columns).agg(F.round(F.median("residual"), 6).alias("reference_median"))
+    med = met.groupBy(spans.columns).agg(rounded(F.median("residual"), 6).alias("reference_median"))
     out = spans.join(med, spans.columns, "left")
     agrees = (F.signum("p50") == F.signum("reference_median")) & (F.abs("reference_median") >= margin)
     return out.withColumn("gate", F.when(F.col("reference_median").isNull(), "unavailable").when(agrees, "kept").otherwise("gated"))
@@ -202,14 +203,14 @@ def lag_summary(scan: DataFrame) -> DataFrame:
     known = F.when(F.col("best_lag").isNotNull(), F.struct("n", (-F.col("best_lag")).alias("k")))
     one = each.agg(F.max(known).alias("top"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
     count = F.coalesce(F.col("top.n"), F.lit(0))
-    return one.select((-F.col("top.k")).alias("modal_lag"), count.alias("n"), F.round(F.coalesce(count / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0)), 6).alias("share"))
+    return one.select((-F.col("top.k")).alias("modal_lag"), count.alias("n"), rounded(F.coalesce(count / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0)), 6).alias("share"))
 
 
 def clear_day_ratio(frame: DataFrame, ratio: str, top: float = 0.1) -> DataFrame:
     """Per station: the median of its clearest days, those at or above the upper
     ``top`` of its daily median ratios, and how many they are."""
     rows = frame.where(F.col(ratio).isNotNull())
-    daily = rows.groupBy("station_id", F.to_date("hour_utc").alias("day")).agg(F.round(F.median(ratio), 6).alias("daily"))
-    edge = daily.groupBy("station_id").agg(F.round(F.percentile("daily", 1 - top), 9).alias("edge"))
+    daily = rows.groupBy("station_id", F.to_date("hour_utc").alias("day")).agg(rounded(F.median(ratio), 6).alias("daily"))
+    edge = daily.groupBy("station_id").agg(rounded(F.percentile("daily", 1 - top), 9).alias("edge"))
     met = daily.join(edge, "station_id").where(F.col("daily") >= F.col("edge"))
-    return met.groupBy("station_id").agg(F.round(F.median("daily"), 6).alias("clear_day_ratio"), F.count(F.lit(1)).alias("n_days"))
+    return met.groupBy("station_id").agg(rounded(F.median("daily"), 6).alias("clear_day_ratio"), F.count(F.lit(1)).alias("n_days"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 from gaugeworks.sources.stations import hours_between
 
@@ -104,10 +105,10 @@ def channel_features(grid: DataFrame, channel: str, lags=(1, 3, 24), windows=(6,
     out = {"now": x}
     for k in lags:
         out[f"lag_{k}"] = F.lag(channel, k).over(order)
-        out[f"delta_{k}"] = F.round(x - F.lag(channel, k).over(order), 6)
+        out[f"delta_{k}"] = rounded(x - F.lag(channel, k).over(order), 6)
     for w in windows:
         p = TL.prior(w, K)
-        out |= {f"mean_{w}": F.round(F.avg(x).over(p), 6), f"std_{w}": F.round(F.stddev_pop(x).over(p), 6), f"min_{w}": F.min(x).over(p), f"max_{w}": F.max(x).over(p)}
+        out |= {f"mean_{w}": rounded(F.avg(x).over(p), 6), f"std_{w}": rounded(F.stddev_pop(x).over(p), 6), f"min_{w}": F.min(x).over(p), f"max_{w}": F.max(x).over(p)}
     return grid.select(K, "hour_utc", *[c.alias(n) for n, c in out.items()])
 
 
@@ -148,7 +149,7 @@ def slopes(grid: DataFrame, channel: str, window: int = 24, least: int | None =
     t = F.unix_seconds(F.col("hour_utc").cast("timestamp")) / 3600.0
     x = F.when(F.col(channel).isNotNull(), t - F.lit(473352.0))
     slope = F.when(F.count(channel).over(w) >= (least or window), F.regr_slope(F.col(channel), x).over(w))
-    return grid.select(K, "hour_utc", F.round(slope, 6).alias("slope"))
+    return grid.select(K, "hour_utc", rounded(slope, 6).alias("slope"))
 
 
 def network_features(states: DataFrame) -> DataFrame:
@@ -156,13 +157,13 @@ def network_features(states: DataFrame) -> DataFrame:
     hourly = states.groupBy("hour_utc").agg(F.avg(F.col("is_outage").cast("int")).alias("out_share")).withColumn("one", F.lit(0))
     w = W.partitionBy("one").orderBy("hour_utc")
     return hourly.select(
-        "hour_utc", F.round(F.lag("out_share").over(w), 6).alias("out_1h"), F.round(F.avg("out_share").over(w.rowsBetween(-24, -1)), 6).alias("out_24h")
+        "hour_utc", rounded(F.lag("out_share").over(w), 6).alias("out_1h"), rounded(F.avg("out_share").over(w.rowsBetween(-24, -1)), 6).alias("out_24h")
     )
 
 
 def calendar(grid: DataFrame, year_days: float = 365.25) -> DataFrame:
     cols = C.calendar(F.col("hour_utc"), year_days)
-    return grid.select("hour_utc").distinct().select("hour_utc", *[(F.round(c, 9) + 0.0).alias(n) for n, c in cols.items()])
+    return grid.select("hour_utc").distinct().select("hour_utc", *[(rounded(c, 9) + 0.0).alias(n) for n, c in cols.items()])
 
 
 def windows_of(grid: DataFrame, channels, hours: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import channels as CH
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 
 STUCK_HOURS, STUCK_VARIANCE = 24, 1e-6
@@ -127,7 +128,7 @@ def leave_one_out(long: DataFrame, least: int = 15, floor: float = 0.1, limit: f
     s = spread.withColumn("__rest", others).withColumn("ctx_median", mid(F.col("__rest")))
     s = s.withColumn("__dev", F.array_sort(F.transform("__rest", lambda x: F.abs(x - F.col("ctx_median"))))).withColumn("ctx_mad", mid(F.col("__dev")))
     z = (F.col("value") - F.col("ctx_median")) / F.greatest(F.col("ctx_mad"), F.lit(floor))
-    return s.select("station_id", "hour_utc", "channel", F.col("__n").alias("n_others"), F.round(z, 6).alias("ctx_z"), (F.abs(z) >= limit).alias("outlier"))
+    return s.select("station_id", "hour_utc", "channel", F.col("__n").alias("n_others"), rounded(z, 6).alias("ctx_z"), (F.abs(z) >= limit).alias("outlier"))
 
 
 def confirm_stuck(samples: DataFrame, spans: DataFrame, decimals: int = 0) -> DataFrame:
@@ -135,14 +136,14 @@ def confirm_stuck(samples: DataFrame, spans: DataFrame, decimals: int = 0) -> Da
     rounded value's share, spread, the longest run of equal values, and the
     category that follows. ``spans (station_id, span_id, span_start, span_end)``."""
     met = TL.interval_join(samples, spans, ["station_id"], "sample_utc", "span_start", "span_end")
-    met = met.withColumn("v", F.round("value", decimals))
+    met = met.withColumn("v", rounded("value", decimals))
     modal = met.groupBy("span_id", "v").count().groupBy("span_id").agg(F.max("count").alias("modal_n"))
     w = W.partitionBy("span_id").orderBy("sample_utc", "event_id")
     runs = met.withColumn("new", (~F.col("v").eqNullSafe(F.lag("v").over(w))).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     longest = runs.groupBy("span_id", "run").count().groupBy("span_id").agg(F.max("count").alias("longest_run"))
     stats = met.groupBy("span_id").agg(
-        F.count(F.lit(1)).alias("n_obs"), F.count_distinct("v").alias("n_distinct"), F.round(F.max("value") - F.min("value"), 6).alias("spread")
+        F.count(F.lit(1)).alias("n_obs"), F.count_distinct("v").alias("n_distinct"), rounded(F.max("value") - F.min("value"), 6).alias("spread")
     )
-    out = stats.join(modal, "span_id").join(longest, "span_id").withColumn("modal_share", F.round(F.col("modal_n") / F.col("n_obs"), 6))
+    out = stats.join(modal, "span_id").join(longest, "span_id").withColumn("modal_share", rounded(F.col("modal_n") / F.col("n_obs"), 6))
     return out.withColumn("category", C.stuck_category(F.col("modal_share"), F.col("spread"), F.col("n_distinct")))

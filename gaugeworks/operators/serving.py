@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import timeline as TL
 from gaugeworks.operators.evaluation import _ranked
 from gaugeworks.sources.stations import hours_between
@@ -30,11 +31,11 @@ def scorecard(scores: DataFrame, registry: DataFrame, reference: Column) -> Data
     uptime of 7 and 30 days, outages and the time since the last, from the
     history up to that hour only. Sorted by health, unknown last."""
     past = scores.where(F.col("hour_utc") <= reference)
-    now = past.where(F.col("hour_utc") == reference).select("station_id", F.round("health_total", 6).alias("health"), "health_band", "availability_class")
+    now = past.where(F.col("hour_utc") == reference).select("station_id", rounded("health_total", 6).alias("health"), "health_band", "availability_class")
     off = F.col("availability_class") == "full_outage"
     began = off & ~F.coalesce(F.lag("availability_class").over(TL.by("station_id")) == "full_outage", F.lit(False))
     age = hours_between(reference, F.col("hour_utc"))
-    up = lambda days: F.round(F.avg(F.when(age < 24 * days, (~off).cast("int"))), 6)
+    up = lambda days: rounded(F.avg(F.when(age < 24 * days, (~off).cast("int"))), 6)
     hist = past.withColumn("began", began).groupBy("station_id").agg(
         up(7).alias("uptime_7d"), up(30).alias("uptime_30d"), F.count_if(F.col("began") & (age < 168)).alias("outages_7d"),
         F.min(F.when(off, age)).alias("hours_since_outage"),
@@ -65,7 +66,7 @@ def null_audit(card: DataFrame) -> DataFrame:
 def snapshot(scores: DataFrame, registry: DataFrame, segments: DataFrame, forecasts: DataFrame, reference: Column) -> DataFrame:
     """The network at an hour: registry, health, the active fault segment and the
     forecasts pivoted by horizon, with a category per station."""
-    now = scores.where(F.col("hour_utc") == reference).select("station_id", F.round("health_total", 6).alias("health"), "health_band", "availability_class")
+    now = scores.where(F.col("hour_utc") == reference).select("station_id", rounded("health_total", 6).alias("health"), "health_band", "availability_class")
     live = segments.where((F.col("start_utc") <= reference) & (F.col("end_utc") >= reference)).select("station_id", hours_between(reference, F.col("start_utc")).alias("alert_hours"))
     fc = forecasts.where(F.col("hour_utc") == reference).groupBy("station_id").pivot("horizon", [6, 24]).agg(F.max("projected"))
     fc = fc.withColumnsRenamed({"6": "in_6h", "24": "in_24h"})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import causal as U
 from gaugeworks.operators import comparison as C
 from gaugeworks.operators import health as H
@@ -94,7 +95,7 @@ def _written(s, d):
 QUERIES = {
     "written_outputs": _written,
     "scorecard_distribution": lambda s, d: O.distribution(_card(s, d)),
-    "causal_channel_features": lambda s, d: _features(S.grid(S.station_hours(s, d))).select(*U.K, *[F.round(c, 6).alias(c) for c in [*_SERIES, *SUMMED]], "absent_count_24h"),
+    "causal_channel_features": lambda s, d: _features(S.grid(S.station_hours(s, d))).select(*U.K, *[rounded(c, 6).alias(c) for c in [*_SERIES, *SUMMED]], "absent_count_24h"),
     "health_future": _health_future,
     "features_future": _features_future,
     "history_future": _history_future,

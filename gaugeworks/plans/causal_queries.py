@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import causal as U
 from gaugeworks.operators import frozen as Z
 from gaugeworks.operators import serving as V
@@ -43,7 +44,7 @@ def _scored(s, d):
 
 
 def _r(df, names):
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: rounded(n, 6) for n in names})
 
 
 QUERIES = {
@@ -51,7 +52,7 @@ QUERIES = {
     "neighbours_as_of": lambda s, d: U.neighbours(U.registry_of(S.station_hours(s, d)), RADIUS),
     "causal_spatial_features": lambda s, d: _r(_features(s, d), [*_COLUMNS, *_SUMMED]).select(*U.K, *[f"near_{c}" for c in CH], *_COLUMNS, *_SUMMED),
     "causal_spatial_future": _future,
-    "frozen_scores": lambda s, d: _scored(s, d).select("station_id", "hour_utc", "channel", "baseline_source", F.round("zscore", 6).alias("zscore"), F.round("threshold", 6).alias("threshold"), "physical", "mad_high", "flag", "reason"),
+    "frozen_scores": lambda s, d: _scored(s, d).select("station_id", "hour_utc", "channel", "baseline_source", rounded("zscore", 6).alias("zscore"), rounded("threshold", 6).alias("threshold"), "physical", "mad_high", "flag", "reason"),
 }
 
 _PLACE = "('0x' || substr(md5(station_id), {a}, 6))::BIGINT % 4000 / 1000.0"

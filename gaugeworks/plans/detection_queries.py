@@ -9,6 +9,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import residuals as R
 from gaugeworks.operators import rules
 from gaugeworks.plans.base_sql import CH, with_tables
@@ -56,27 +57,27 @@ def _spatial(s, d):
 
 
 def _rounded(df, *names):
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: rounded(n, 6) for n in names})
 
 
 QUERIES = {
     "score_channels_long": _long,
     "baselines": lambda s, d: _rounded(rules.baselines(_long(s, d), LEAST), "median", "mad"),
     "limit_flags": lambda s, d: rules.limit_flags(_long(s, d)),
-    "stuck_flags": lambda s, d: rules.stuck_flags(_long(s, d)).select("station_id", "hour_utc", "channel", F.round("variance", 9).alias("variance"), "stuck"),
+    "stuck_flags": lambda s, d: rules.stuck_flags(_long(s, d)).select("station_id", "hour_utc", "channel", rounded("variance", 9).alias("variance"), "stuck"),
     "detector_thresholds": lambda s, d: _rounded(rules.thresholds(_scores(s, d).drop("threshold")), "threshold"),
-    "anomaly_scores": lambda s, d: _scores(s, d).select("station_id", "hour_utc", "channel", "baseline_source", F.round("zscore", 6).alias("zscore"), "physical", "mad_high", "flag", "reason"),
+    "anomaly_scores": lambda s, d: _scores(s, d).select("station_id", "hour_utc", "channel", "baseline_source", rounded("zscore", 6).alias("zscore"), "physical", "mad_high", "flag", "reason"),
     "fault_events": lambda s, d: rules.fault_events(_scores(s, d), 3).select("station_id", "channel", "start_utc", "end_utc", "n_hours", "dominant", "concordance", "reasons"),
     "context_leave_one_out": lambda s, d: rules.leave_one_out(_long(s, d)),
     "stuck_confirmation": lambda s, d: rules.confirm_stuck(S.five_minute(s, d), S.registry(s).selectExpr(
         "station_id", "concat(station_id, '_a') AS span_id", "install_utc AS span_start", "install_utc + INTERVAL 30 HOUR AS span_end")),
     "nearest_snapshot": lambda s, d: _nearest(s, d),
     "trailing_mean": lambda s, d: R.trailing_mean(S.grid(S.station_hours(s, d)).select("station_id", "hour_utc"), S.five_minute(s, d), "value", 120, 2),
-    "external_residuals": lambda s, d: _residuals(s, d).select("station_id", "hour_utc", *[F.round(f"r_{c}", 6).alias(f"r_{c}") for c in CH], F.round("clear_sky_ratio", 6).alias("clear_sky_ratio")),
+    "external_residuals": lambda s, d: _residuals(s, d).select("station_id", "hour_utc", *[rounded(f"r_{c}", 6).alias(f"r_{c}") for c in CH], rounded("clear_sky_ratio", 6).alias("clear_sky_ratio")),
     "external_baseline": lambda s, d: _rounded(R.baseline_scores(_every_hour(s, d), CH, WINDOW, WINDOW_LEAST), "residual", "base", "bmad", "z"),
     "external_hourbin_baseline": lambda s, d: _rounded(R.baseline_scores(_every_hour(s, d), BINNED, DAYS, DAYS_LEAST, hour_bins=True), "residual", "base", "bmad", "z"),
     "fleet_frame": lambda s, d: _rounded(R.fleet(_residuals(s, d), f"r_{T}", 5), "fleet_median", "fleet_mad"),
-    "offset_flags": lambda s, d: _offsets(s, d).select("station_id", "hour_utc", "channel", F.round("level", 6).alias("level"), F.round("score", 6).alias("score"), "offset_high", "offset_medium", "offset_any"),
+    "offset_flags": lambda s, d: _offsets(s, d).select("station_id", "hour_utc", "channel", rounded("level", 6).alias("level"), rounded("score", 6).alias("score"), "offset_high", "offset_medium", "offset_any"),
     "offset_episodes": _offset_episodes,
     "external_agreement_gate": lambda s, d: R.agreement_gate(_offset_episodes(s, d), R.long_residuals(_every_hour(s, d), list(OFFSETS))),
     "daily_ratio": lambda s, d: R.daily_ratio(_residuals(s, d), "clear_sky_ratio", 2, 3).withColumn("day", F.col("day").cast("string")),

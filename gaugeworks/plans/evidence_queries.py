@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import evidence as EV
 from gaugeworks.operators import labels as L
 from gaugeworks.operators import residuals as R
@@ -70,9 +71,9 @@ def _crosswalk(s, d):
 
 
 QUERIES = {
-    "contextual_evidence": lambda s, d: _context(_scores(s, d)).withColumns({n: F.round(n, 6) for n in ("ctx_median", "ctx_mad")}),
+    "contextual_evidence": lambda s, d: _context(_scores(s, d)).withColumns({n: rounded(n, 6) for n in ("ctx_median", "ctx_mad")}),
     "reference_scores": lambda s, d: _external(s, d),
-    "statistical_evidence": lambda s, d: _gate(s, d).withColumn("zscore", F.round("zscore", 6)),
+    "statistical_evidence": lambda s, d: _gate(s, d).withColumn("zscore", rounded("zscore", 6)),
     "gate_failures": lambda s, d: EV.gate_summary(_gate(s, d)),
     "statistical_review": lambda s, d: EV.review(_gate(s, d), V._episodes(s, d)),
     "episode_labels": lambda s, d: _labels(s, d),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import reasons as N
 from gaugeworks.operators import timeline as TL
 from gaugeworks.plans import detection_queries as D
@@ -30,7 +31,7 @@ def _rows(s, d):
     features = []
     for c, g in _OF.items():
         values = {"z": F.col("zscore"), "step": F.col("step"), "ref": F.col("ref_z"), "hard": F.col("physical").cast("double")}
-        features += [F.round(of(c, x), 6).alias(f"{n}__{g}") for n, x in values.items()] + [F.when(F.count_if(F.col("channel") == c) == 0, 1.0).otherwise(0.0).alias(f"missing__{g}")]
+        features += [rounded(of(c, x), 6).alias(f"{n}__{g}") for n, x in values.items()] + [F.when(F.count_if(F.col("channel") == c) == 0, 1.0).otherwise(0.0).alias(f"missing__{g}")]
     flagged = F.col("flag") | far
     codes = F.array_compact(F.array(*[F.when(F.bool_or(F.coalesce(f, F.lit(False))), n) for n, f in named.items()]))
     return sc.groupBy("station_id", "hour_utc").agg(
@@ -41,7 +42,7 @@ def _rows(s, d):
 def _policy(s, d):
     """Plain scores, a channel's distance over ten, by both policies."""
     rows = _rows(s, d)
-    scores = F.create_map(*[x for g in N.CODES["component"] for x in (F.lit(g), F.round(F.abs(F.col(f"z__{g}")) / 10, 6) if g in GROUPS else F.lit(None).cast("double"))])
+    scores = F.create_map(*[x for g in N.CODES["component"] for x in (F.lit(g), rounded(F.abs(F.col(f"z__{g}")) / 10, 6) if g in GROUPS else F.lit(None).cast("double"))])
     for mode in ("threshold", "minimum_one"):
         rows = rows.withColumn(mode, N.policy(scores, N.CODES["component"], THRESHOLDS, F.col("gate"), mode))
     return rows.select("station_id", "hour_utc", *[F.array_join(m, "|").alias(m) for m in ("threshold", "minimum_one")], N.status(F.col("threshold"), F.col("gate")).alias("status"))

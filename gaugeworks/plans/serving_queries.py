@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import evaluation as E
 from gaugeworks.operators import health as H
 from gaugeworks.operators import labels as L
@@ -51,7 +52,7 @@ def _with_hours(flags, s, d):
 def _predictions(s, d):
     """A simple risk score: the share of the last day that was missing."""
     f = risk.features(risk.future_targets(risk.prepare(S.grid(S.station_hours(s, d))), (6,)))
-    return f.where("eligible_6h").select("station_id", "hour_utc", F.col("y_6h").alias("y"), F.round("missing_24h", 4).alias("p"))
+    return f.where("eligible_6h").select("station_id", "hour_utc", F.col("y_6h").alias("y"), rounded("missing_24h", 4).alias("p"))
 
 
 def _projected(s, d):
@@ -64,8 +65,8 @@ def _forecast_errors(s, d):
 
     sc = Q._scores(s, d)
     w = W.partitionBy("station_id").orderBy("hour_utc")
-    now = F.round("health_total", 6)
-    pairs = sc.select("station_id", "hour_utc", now.alias("predicted"), F.round(F.lead("health_total", 6).over(w), 6).alias("actual")).where("predicted is not null and actual is not null")
+    now = rounded("health_total", 6)
+    pairs = sc.select("station_id", "hour_utc", now.alias("predicted"), rounded(F.lead("health_total", 6).over(w), 6).alias("actual")).where("predicted is not null and actual is not null")
     return pairs.withColumns({"p_band": H.C.health_band(F.col("predicted")), "a_band": H.C.health_band(F.col("actual"))})
 
 
@@ -73,7 +74,7 @@ def _clusters(s, d):
     e = _events(s, d)
     name = F.concat_ws("_", "station_id", "channel", F.date_format("start_utc", "yyyyMMddHH"))
     cluster = F.when(F.col("n_hours") == 1, -1).otherwise(F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(CH) for x in (c, i)]), F.col("channel")))
-    return e.select(name.alias("item_id"), cluster.alias("cluster"), F.round(F.least(F.col("n_hours") / 10, F.lit(1.0)), 6).alias("probability"), F.round("peak", 6).alias("score"))
+    return e.select(name.alias("item_id"), cluster.alias("cluster"), rounded(F.least(F.col("n_hours") / 10, F.lit(1.0)), 6).alias("probability"), rounded("peak", 6).alias("score"))
 
 
 def _pairs(s, d):
@@ -85,8 +86,8 @@ def _pairs(s, d):
 def _matrix(s, d):
     hours = S.station_hours(s, d)
     context = S.registry(s).select("station_id", "elevation")
-    scores = D._scores(s, d).select("station_id", "hour_utc", "channel", F.round("zscore", 6).alias("zscore"))
-    return L.feature_matrix(hours, scores, D._spatial(s, d).withColumn("residual", F.round("residual", 6)), context)
+    scores = D._scores(s, d).select("station_id", "hour_utc", "channel", rounded("zscore", 6).alias("zscore"))
+    return L.feature_matrix(hours, scores, D._spatial(s, d).withColumn("residual", rounded("residual", 6)), context)
 
 
 FEATURES = ["missing_6h", "missing_24h", "missing_72h", "log_since_gap", "log_up_run", "uptime"]
@@ -109,7 +110,7 @@ def _platt(s, d):
     model = M.platt(rows, "p", "y")
     p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
     out = model.transform(rows.withColumn("logit", F.log(p / (1 - p))))
-    return out.select("station_id", "hour_utc", "y", F.round(M.vector_to_array("probability")[1], 6).alias("calibrated"))
+    return out.select("station_id", "hour_utc", "y", rounded(M.vector_to_array("probability")[1], 6).alias("calibrated"))
 
 
 def _stream(kind):

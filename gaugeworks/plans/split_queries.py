@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import columns as C
+from gaugeworks.functions.columns import rounded
 from gaugeworks.operators import evaluation as E
 from gaugeworks.operators import risk
 from gaugeworks.operators import splits as P
@@ -27,7 +28,7 @@ def _blocked(s, d):
 
 def _policy_rows(s, d):
     r = P.event_weights(_rows(s, d).withColumn("fold", P.fold_of("day_id")), "day_id", "fold")
-    return r.withColumns({"s1": F.col("p"), "s2": F.round(F.col("p") * F.col("p"), 6), "s3": F.round(1 - F.col("p"), 6)})
+    return r.withColumns({"s1": F.col("p"), "s2": rounded(F.col("p") * F.col("p"), 6), "s3": rounded(1 - F.col("p"), 6)})
 
 
 def _plain(s, d):
@@ -60,7 +61,7 @@ QUERIES = {
     "discrimination": lambda s, d: P.discrimination(_rows(s, d), "y", "p", "station_id"),
     "forecast_gain": _gain,
     "multilabel_metrics": _multi,
-    "event_weights": lambda s, d: P.event_weights(_rows(s, d), "day_id", "station_id").select("station_id", "hour_utc", F.round("weight", 6).alias("weight")),
+    "event_weights": lambda s, d: P.event_weights(_rows(s, d), "day_id", "station_id").select("station_id", "hour_utc", rounded("weight", 6).alias("weight")),
     "policy_grid": lambda s, d: P.policies(_policy_rows(s, d), "y", ("s1", "s2", "s3"), "weight", "fold"),
     "policy_choice": lambda s, d: P.choose_policy(P.policies(_policy_rows(s, d), "y", ("s1", "s2", "s3"), "weight", "fold")),
     "operating_points": lambda s, d: P.operating_points(E.threshold_grid(V._predictions(s, d), "y", "p", V.GRID)),
