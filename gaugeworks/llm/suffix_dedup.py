@@ -41,6 +41,8 @@ CHUNK = 1_000_000
 #: Bits of a filter: 16 per name, at most 32 MB in all. A fuller filter passes
 #: more names; results do not depend on it.
 MOST_BITS = 1 << 28
+#: Bits of a part of a filter, which holds whole names and travels as one row.
+PART = 1 << 15
 
 _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
@@ -140,7 +142,8 @@ def name_counts(docs: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- filters
 class Names:
-    """A Bloom filter of names."""
+    """A Bloom filter of names, in parts: the low bits of a name tell its part,
+    which has all of its places."""
 
     def __init__(self, bits: int, words: np.ndarray | None = None):
         self.bits = bits
@@ -148,11 +151,15 @@ class Names:
 
     @staticmethod
     def room(n: int) -> int:
-        return min(MOST_BITS, max(1 << 12, 1 << int(16 * n).bit_length()))
+        return max(PART, min(MOST_BITS, 1 << int(16 * n).bit_length()))
+
+    def part(self, name: np.ndarray) -> np.ndarray:
+        return name & _U(self.bits // PART - 1)
 
     def _places(self, name: np.ndarray):
+        first = self.part(name) * _U(PART)
         for salt in (1, 2, 3):
-            yield K.mix(name + _U(salt * 0x9E3779B97F4A7C15 & int(_TOP))) & _U(self.bits - 1)
+            yield first + (K.mix(name + _U(salt * 0x9E3779B97F4A7C15 & int(_TOP))) & _U(PART - 1))
 
     def add(self, name: np.ndarray) -> None:
         for p in self._places(name):
@@ -166,22 +173,26 @@ class Names:
 
     @classmethod
     def of(cls, names: DataFrame) -> Names:
-        """Filled by tasks and or-ed word by word; what comes to the driver is
-        bounded by the filter's size."""
+        """Filled by tasks, each with all names of its parts. The driver gets a
+        row per part, of its bytes: at most the filter once, whatever the names."""
         bits = cls.room(names.count())
 
         def run(batches):
-            own = cls(bits)
+            own, seen = cls(bits), np.zeros(bits // PART, dtype=bool)
             for batch in batches:
-                own.add(batch.column("name").to_numpy(zero_copy_only=False).view(_U))
-            at = np.flatnonzero(own.words)
-            for lo in range(0, len(at), 65536):
-                some = at[lo : lo + 65536]
-                yield pa.record_batch([pa.array(some), pa.array(own.words[some].view(np.int64))], names=["i", "word"])
-
-        rows = names.select("name").mapInArrow(run, "i long, word long").groupBy("i").agg(F.bit_or("word").alias("word")).toPandas()
+                name = batch.column("name").to_numpy(zero_copy_only=False).view(_U)
+                own.add(name)
+                seen[own.part(name)] = True
+            part, words = np.flatnonzero(seen), own.words.reshape(-1, PART // 64)
+            for lo in range(0, len(part), 256):
+                some = part[lo : lo + 256]
+                yield pa.record_batch([pa.array(some), pa.array([words[p].tobytes() for p in some], pa.binary())], names=["part", "words"])
+
+        dealt = names.select("name").repartition(F.col("name").bitwiseAND(F.lit(bits // PART - 1)))
         out = cls(bits)
-        out.words[rows.i.to_numpy(np.int64)] = rows.word.to_numpy(np.int64).view(_U)
+        words = out.words.reshape(-1, PART // 64)
+        for r in dealt.mapInArrow(run, "part long, words binary").collect():
+            words[r.part] = np.frombuffer(r.words, dtype=_U)
         return out
 
 

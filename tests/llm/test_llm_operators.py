@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -233,6 +234,31 @@ def test_repeats_do_not_depend_on_what_a_task_holds(docs, monkeypatch):
     assert collected(suffix_dedup.digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_a_filter_of_names_costs_the_driver_little_more_than_its_bits(spark):
+    rows = spark.range(0, 400_000, 1, 4).select(F.xxhash64("id").alias("name"))
+    suffix_dedup.Names.of(rows.limit(1))
+    tracemalloc.start()
+    try:
+        found = suffix_dedup.Names.of(rows)
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert found.bits == 1 << 23 and most < 6 * found.words.nbytes
+    names = rows.toPandas().name.to_numpy().view(np.uint64)
+    assert found.has(names).all()
+    assert found.has(np.random.default_rng(31).integers(0, 1 << 63, 400_000).astype(np.uint64)).mean() < 0.01
+    few = suffix_dedup.Names.of(rows.limit(3))
+    assert few.has(names).sum() >= 3 and few.has(names).mean() < 0.001
+    none = suffix_dedup.Names.of(rows.limit(0))
+    assert not none.words.any() and not none.has(names).any()
+
+
+def test_repeats_do_not_depend_on_the_room_of_the_filter(docs, monkeypatch):
+    want = collected(suffix_dedup.digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    monkeypatch.setattr(suffix_dedup, "MOST_BITS", 1)  # one part for all names
+    assert collected(suffix_dedup.digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_suffix_order_sorts_any_bytes():
     rng = np.random.default_rng(0)
     for size, top in ((1, 2), (2, 2), (300, 2), (500, 4), (400, 256)):
